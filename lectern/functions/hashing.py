@@ -15,7 +15,7 @@ HASH_MODEL = "local-hash-baseline"
 def json_string(value: Column | str) -> Column:
     """A string as a JSON literal, quotes included."""
     wrapped = F.to_json(F.struct(T._col(value).alias("v")), {"ignoreNullFields": "false"})
-    return F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
+    return F.rtrim(F.substring(wrapped, 6, 2_000_000_000), F.lit("}"))
 
 
 def stable_hash(fields: dict[str, Column], length: int = 16) -> Column:
@@ -51,7 +51,8 @@ def hash_embedding(df: DataFrame, key: str, text: str, dimensions: int = HASH_DI
     rows = df.select(key, T.tokens(text).alias("_tokens")).repartition(key)
     slot, sign = _token_slot(F.col("_token"), dimensions)
     weights = (
-        rows.select(key, F.explode("_tokens").alias("_token"))
+        rows.select(key, F.explode_outer("_tokens").alias("_token"))
+        .filter(F.col("_token").isNotNull())
         .groupBy(key, slot.alias("_slot"))
         .agg(F.sum(sign).alias("_weight"))
         .filter(F.col("_weight") != 0)

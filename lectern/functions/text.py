@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 # Character classes and patterns that decide token and quality results.
 WS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
+WS_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 TOKEN = r"[A-Za-z0-9][A-Za-z0-9_+/#.-]*"
 UNREADABLE = (
@@ -46,7 +50,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column | str) -> Column:
     """Remove leading and trailing whitespace."""
-    return F.regexp_replace(_col(text), rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(_col(text), F.lit(WS_CHARACTERS))
 
 
 def collapse(text: Column | str) -> Column:

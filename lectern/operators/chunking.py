@@ -98,12 +98,17 @@ def assemble(rows: DataFrame) -> DataFrame:
 
 
 def _numbered_pieces(pages: DataFrame, pieces: Column) -> DataFrame:
-    """One row per entry of ``pieces`` with its 1-based sequence inside the document."""
+    """One row per entry of ``pieces`` with its 1-based sequence inside the document.
+
+    The outer explode keeps the optimizer from deriving a size filter that would evaluate ``pieces``
+    again below the join.
+    """
     kept = [c for c in (*DOCUMENT_COLUMNS, "page_number", *PAGE_FLAGS) if c in pages.columns]
     prepared = pages.select(*kept, pieces.alias("_pieces"))
     placed = skew.running_offset(prepared, "document_id", "page_number", F.size("_pieces"))
     return (
-        placed.select(*kept, "offset", F.posexplode("_pieces").alias("_pos", "_piece"))
+        placed.select(*kept, "offset", F.posexplode_outer("_pieces").alias("_pos", "_piece"))
+        .filter(F.col("_pos").isNotNull())
         .withColumn("sequence", (F.col("offset") + F.col("_pos") + 1).cast("int"))
         .drop("offset", "_pos")
     )
@@ -168,7 +173,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
     """Pages with at least one line, as ``lines array<string>`` (right-stripped)."""
     raw = F.split("clean_text", T.LINE_BREAK)
     trimmed = F.when(F.element_at(raw, -1) == "", F.slice(raw, 1, F.greatest(F.size(raw) - 1, F.lit(0)))).otherwise(raw)
-    right = F.transform(trimmed, lambda x: F.regexp_replace(x, rf"{T.WS}+\z", ""))
+    right = F.transform(trimmed, lambda x: F.rtrim(x, F.lit(T.WS_CHARACTERS)))
     return pages.withColumn("lines", right).filter(F.size("lines") > 0)
 
 
@@ -187,9 +192,9 @@ def _label_events(pages: DataFrame, mark_scheme: bool) -> DataFrame:
     exploded = joined.select(
         "document_id",
         "page_number",
-        F.posexplode("lines").alias("line", "text"),
+        F.posexplode_outer("lines").alias("line", "text"),
         F.concat("lines", "_ahead").alias("_all"),
-    ).select(
+    ).filter(F.col("line").isNotNull()).select(
         "document_id", "page_number", "line", "text",
         F.get(
             F.filter(F.transform(F.slice("_all", F.col("line") + 2, 3), T.strip), lambda x: x != ""), F.lit(0)

@@ -155,3 +155,184 @@ grades_t AS (
          50.0 AS max_score, l_linestatus AS comments, l_discount AS confidence_score
   FROM lineitem)
 """
+
+INDEX = f"""
+idx AS (SELECT chunk_id, ord, document_type, level, {tokens('retrieval_text')} AS toks
+        FROM chunks_t WHERE content_type <> 'PARENT_CONTEXT'),
+post AS (SELECT chunk_id, ord, document_type, level, dl, term, count(*) AS tf
+         FROM (SELECT chunk_id, ord, document_type, level, len(toks) AS dl, unnest(toks) AS term FROM idx) GROUP BY ALL),
+tdf AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+st AS (SELECT count(*) AS n, avg(len(toks)) AS average_length FROM idx)
+"""
+
+
+def _rule(name: str, test: str) -> str:
+    return f"WHEN {test} THEN '{name}'"
+
+
+_W = lambda body: word_test("query", body)
+CATEGORY = "CASE " + " ".join([
+    _rule("ASSESSMENT_GENERATION",
+          _W(f"(?:generate|create|make){EDGE}(?:[^\\n]*{EDGE})?(?:quiz|mock paper|assessment|assignment)")),
+    _rule("MCQ", r"regexp_matches(query, '(?i)(?:^|\n)\s*(?:[A-D][.)]|\([A-D]\))\s+')"),
+    _rule("FILL_IN_THE_BLANK", f"(regexp_matches(query, '_{{3,}}') OR {_W('fill (?:in )?the blank')})"),
+    _rule("SQL", _W("SQL|SELECT|INSERT|UPDATE|DELETE FROM|CREATE TABLE|JOIN|primary key|foreign key")),
+    _rule("DEBUGGING", _W(f"(?:debug|fix|correct)[^\\n]*{EDGE}(?:code|program|algorithm)|(?:syntax|logic|runtime) error")),
+    _rule("TRACE_TABLE", _W("trace table|dry[ -]?run|trace the algorithm|variable values")),
+    _rule("PROGRAMMING", _W("pseudocode|algorithm|procedure|function|recursion|binary search|linear search|bubble sort"
+                            "|insertion sort|write (?:a )?program|Python")),
+    _rule("CALCULATION", _W("calculate|convert|show your working|binary addition|hexadecimal conversion|floating[ -]?point")),
+    _rule("COMPARISON", _W("compare|contrast|difference between|similarities and differences")),
+    _rule("DEFINITION", f"regexp_matches(query, '(?i)^\\s*(?:define|what is|what does [^\\n]+ mean)(?:{EDGE}|$)')"),
+    _rule("EXAMINER_FEEDBACK", _W("examiner report|candidate mistake|common mistake")),
+    _rule("SYLLABUS", _W("syllabus|learning objective|assessment objective")),
+]) + " ELSE 'THEORY' END"
+
+_HEADER = r"(?i)\b(2210|9618)\s*/?\s*(\d{2})?\s*/?\s*(M/J|MJ|F/M|FM|O/N|ON)?\s*/?\s*(20\d{2}|\d{2})?"
+PROFILE = f"""
+ref_t AS (
+  SELECT *, nullif(regexp_extract(query, '{_HEADER}', 1), '') AS subject_code,
+    coalesce(nullif(regexp_extract(query, '(?i)\\bpaper\\s*(\\d)', 1), ''), nullif(regexp_extract(query, '{_HEADER}', 2), '')) AS component,
+    nullif(upper(replace(regexp_extract(query, '{_HEADER}', 3), '/', '')), '') AS session,
+    TRY_CAST(coalesce(nullif(regexp_extract(query, '\\b(20\\d{{2}})\\b', 1), ''),
+      CASE WHEN length(regexp_extract(query, '{_HEADER}', 4)) = 2 THEN '20' || regexp_extract(query, '{_HEADER}', 4)
+           ELSE nullif(regexp_extract(query, '{_HEADER}', 4), '') END) AS INTEGER) AS year,
+    nullif(regexp_replace(regexp_extract(query, '(?i)(?:question|q\\.)\\s*(\\d+(?:\\s*\\([a-z0-9]+\\))*)', 1), '\\s+', '', 'g'), '') AS question_number,
+    {CATEGORY} AS rule_category
+  FROM questions_t),
+profile_t AS (
+  SELECT query_id, item_id, passage, query, subject_code, component, session, year, question_number,
+    CASE WHEN question_number IS NOT NULL AND component IS NOT NULL THEN 'EXAM_QUESTION' ELSE rule_category END AS category,
+    coalesce(level, CASE subject_code WHEN '9618' THEN 'A_LEVEL' WHEN '2210' THEN 'O_LEVEL' END) AS level
+  FROM ref_t),
+plan_t AS (
+  SELECT *, category IN ('ASSESSMENT_GENERATION','COMPARISON','PROGRAMMING','SQL','DEBUGGING','TRACE_TABLE','MCQ') AS multi_query,
+    CASE category
+      WHEN 'ASSESSMENT_GENERATION' THEN ['TEXTBOOK','SYLLABUS','QUESTION_PAPER','MARK_SCHEME','EXAMINER_REPORT']
+      WHEN 'PROGRAMMING' THEN ['TEXTBOOK','SYLLABUS','QUESTION_PAPER'] WHEN 'SQL' THEN ['TEXTBOOK','SYLLABUS','QUESTION_PAPER']
+      WHEN 'DEBUGGING' THEN ['TEXTBOOK','QUESTION_PAPER','SYLLABUS'] WHEN 'TRACE_TABLE' THEN ['QUESTION_PAPER','TEXTBOOK','MARK_SCHEME']
+      WHEN 'CALCULATION' THEN ['TEXTBOOK','QUESTION_PAPER','MARK_SCHEME'] WHEN 'MCQ' THEN ['QUESTION_PAPER','MARK_SCHEME','TEXTBOOK','SYLLABUS']
+      WHEN 'FILL_IN_THE_BLANK' THEN ['QUESTION_PAPER','MARK_SCHEME','TEXTBOOK']
+      WHEN 'EXAM_QUESTION' THEN ['QUESTION_PAPER','MARK_SCHEME','TEXTBOOK','SYLLABUS','MARKING_PATTERN']
+      ELSE ['TEXTBOOK','SYLLABUS'] END AS preferred_types,
+    CASE category WHEN 'ASSESSMENT_GENERATION' THEN 12 WHEN 'DEFINITION' THEN 5 WHEN 'COMPARISON' THEN 8 WHEN 'PROGRAMMING' THEN 8
+      WHEN 'SQL' THEN 8 WHEN 'DEBUGGING' THEN 8 WHEN 'TRACE_TABLE' THEN 8 WHEN 'CALCULATION' THEN 7 WHEN 'MCQ' THEN 5
+      WHEN 'FILL_IN_THE_BLANK' THEN 5 WHEN 'EXAM_QUESTION' THEN 8 ELSE 6 END AS context_chunks,
+    CASE category WHEN 'ASSESSMENT_GENERATION' THEN 20000 WHEN 'DEFINITION' THEN 9000 WHEN 'COMPARISON' THEN 15000 WHEN 'PROGRAMMING' THEN 16000
+      WHEN 'SQL' THEN 16000 WHEN 'DEBUGGING' THEN 16000 WHEN 'TRACE_TABLE' THEN 16000 WHEN 'CALCULATION' THEN 13000 WHEN 'MCQ' THEN 9000
+      WHEN 'FILL_IN_THE_BLANK' THEN 9000 WHEN 'EXAM_QUESTION' THEN 15000 ELSE 12000 END AS context_chars
+  FROM profile_t)
+"""
+
+
+def _bare(pattern: str) -> str:
+    spaced = f"regexp_replace(query, '(?i)\\b(?:{pattern})\\b', ' ', 'g')"
+    single = f"regexp_replace({spaced}, '{WS}+', ' ', 'g')"
+    return f"regexp_replace({single}, '^[ .:\\-]+|[ .:\\-]+$', '', 'g')"
+
+
+VARIANTS = f"""
+bare_t AS (SELECT *, {strip('query')} AS q1, {_bare('answer|question|marks?|explain|state|give|write|show your working')} AS bare,
+   CASE category WHEN 'SQL' THEN 'SQL syntax example database' WHEN 'PROGRAMMING' THEN 'algorithm pseudocode worked example'
+     WHEN 'DEBUGGING' THEN 'program error correction explanation' WHEN 'TRACE_TABLE' THEN 'algorithm trace variable values'
+     WHEN 'MCQ' THEN 'definition concept evidence' WHEN 'COMPARISON' THEN 'similarities differences advantages disadvantages' END AS suffix
+   FROM plan_t),
+both_t AS (SELECT *, CASE WHEN NOT multi_query THEN NULL WHEN bare <> '' AND lower(bare) <> lower(q1) THEN bare
+   WHEN suffix IS NOT NULL THEN (CASE WHEN bare = '' THEN query ELSE bare END) || ' ' || suffix END AS q2 FROM bare_t),
+variants_t AS (
+  SELECT query_id, CAST(1 AS INTEGER) AS variant, q1 AS vquery, level FROM both_t
+  UNION ALL SELECT query_id, CAST(2 AS INTEGER), q2, level FROM both_t WHERE q2 IS NOT NULL AND q2 <> q1)
+"""
+
+SPARSE = f"""
+vt AS (SELECT query_id, variant, level AS want, term, count(*) AS qtf
+       FROM (SELECT query_id, variant, level, unnest({tokens('vquery')}) AS term FROM variants_t) GROUP BY ALL),
+sparse_s AS (
+  SELECT query_id, variant, chunk_id, ord, document_type,
+     round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
+        / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(1.0, average_length)))), 9) AS score
+  FROM vt JOIN post USING (term) JOIN tdf USING (term), st
+  WHERE want IS NULL OR want = level GROUP BY ALL),
+sparse_r AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, ord) AS rank
+             FROM sparse_s WHERE score <> 0 QUALIFY rank <= 80)
+"""
+
+
+def slots(rows: str, key: str) -> str:
+    """Hash-embedding cells of ``rows(key, term)``: slot, weight, norm."""
+    return f"""
+  SELECT {key}, slot, w, sqrt(sum(w * w) OVER (PARTITION BY {key})) AS norm FROM (
+    SELECT {key}, v % 384 AS slot, sum(CASE WHEN v % 2 = 1 THEN 1.0 ELSE -1.0 END) AS w
+    FROM (SELECT {key}, CAST('0x' || left(sha256(term), 8) AS BIGINT) AS v FROM {rows}) GROUP BY ALL) WHERE w <> 0"""
+
+
+DENSE = f"""
+chunk_cells AS ({slots("(SELECT chunk_id, unnest(toks) AS term FROM idx)", "chunk_id")}),
+query_cells AS ({slots("(SELECT query_id || '#' || variant AS qv, unnest(" + tokens('vquery') + ") AS term FROM variants_t)", "qv")}),
+dense_pairs AS (
+  SELECT qv, chunk_id, sum(q.w * c.w / q.norm / c.norm) AS s
+  FROM query_cells q JOIN chunk_cells c USING (slot) GROUP BY ALL),
+dense_s AS (
+  SELECT v.query_id, v.variant, i.chunk_id, i.ord, i.document_type, round(coalesce(s, 0.0), 9) + 0.0 AS score
+  FROM variants_t v CROSS JOIN idx i LEFT JOIN dense_pairs p ON p.qv = v.query_id || '#' || v.variant AND p.chunk_id = i.chunk_id
+  WHERE (v.level IS NULL OR v.level = i.level) AND len(i.toks) > 0),
+dense_r AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, ord) AS rank
+            FROM dense_s QUALIFY rank <= 80)
+"""
+
+EXACT = """
+exact_t AS (
+  SELECT p.query_id, c.chunk_id, c.document_type, c.page_start, c.ord,
+    row_number() OVER (PARTITION BY p.query_id ORDER BY c.document_type <> 'MARK_SCHEME', c.page_start, c.ord) AS place
+  FROM plan_t p JOIN chunks_t c ON c.subject_code = p.subject_code AND c.year = p.year AND c.session = p.session
+    AND c.component = p.component
+    AND (p.question_number IS NULL OR c.question_number = p.question_number
+         OR starts_with(c.question_number, p.question_number || '(')))
+"""
+
+FUSED = """
+both_r AS (SELECT query_id, variant, chunk_id, document_type, rank, 0 AS lane FROM sparse_r
+           UNION ALL SELECT query_id, variant, chunk_id, document_type, rank, 1 FROM dense_r),
+rrf_t AS (SELECT query_id, chunk_id, document_type, round(sum(1.0 / (60 + rank)), 12) AS rrf_score,
+            min({'l': lane, 'v': variant, 'r': rank}) AS first_seen FROM both_r GROUP BY ALL),
+fused_t AS (
+  SELECT r.query_id, r.chunk_id, r.document_type, r.rrf_score,
+    row_number() OVER (PARTITION BY r.query_id ORDER BY round(r.rrf_score + CASE WHEN list_position(preferred_types, r.document_type) > 0
+       THEN (len(preferred_types) + 1 - list_position(preferred_types, r.document_type)) * 1e-6 ELSE 0 END, 12) DESC, first_seen) AS rn
+  FROM rrf_t r JOIN plan_t p USING (query_id)
+  WHERE list_contains(preferred_types, r.document_type)
+    AND NOT EXISTS (SELECT 1 FROM exact_t e WHERE e.query_id = r.query_id AND e.chunk_id = r.chunk_id)),
+exact_n AS (SELECT query_id, count(*) AS n_exact FROM exact_t GROUP BY 1),
+cand_t AS (
+  SELECT query_id, chunk_id, document_type, 1.0 AS rrf_score, 'exact_metadata' AS route, place FROM exact_t
+  UNION ALL
+  SELECT f.query_id, f.chunk_id, f.document_type, f.rrf_score, 'hybrid_rrf', coalesce(n_exact, 0) + rn
+  FROM fused_t f LEFT JOIN exact_n USING (query_id) WHERE rn <= greatest(1, 24 - coalesce(n_exact, 0)))
+"""
+
+RETRIEVAL = ",".join([CHUNKS, INDEX, QUESTIONS, PROFILE, VARIANTS, SPARSE, DENSE, EXACT, FUSED])
+
+COVERAGE_STOP = ("['what','when','where','which','that','this','with','from','into','about','explain','define','answer',"
+                 "'question','using','write','show']")
+RANKED = f"""
+question_w AS (SELECT query_id, arg_min(c.text, place) AS wording FROM exact_t JOIN chunks_t c USING (chunk_id)
+               WHERE c.document_type = 'QUESTION_PAPER' GROUP BY 1),
+rerank_in AS (
+  SELECT d.query_id, d.chunk_id, d.place, list_distinct({tokens("coalesce(nullif(wording, ''), p.query)")}) AS qt,
+         list_distinct({tokens('c.retrieval_text')}) AS ct, c.authority_level, greatest(p.context_chunks, 8) AS k
+  FROM cand_t d JOIN plan_t p USING (query_id) JOIN chunks_t c USING (chunk_id) LEFT JOIN question_w w USING (query_id)
+  WHERE route = 'hybrid_rrf'),
+rerank_t AS (
+  SELECT query_id, chunk_id, round(len(list_intersect(qt, ct)) / CAST(greatest(1, len(qt)) AS DOUBLE) + 0.01 * authority_level, 9) AS score,
+    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS rn, k FROM rerank_in QUALIFY rn <= k),
+ranked_t AS (
+  SELECT query_id, chunk_id, CAST(NULL AS DOUBLE) AS score, place AS position, route FROM cand_t WHERE route = 'exact_metadata'
+  UNION ALL SELECT r.query_id, r.chunk_id, r.score, coalesce(n_exact, 0) + rn, 'hybrid_rrf' FROM rerank_t r LEFT JOIN exact_n USING (query_id)),
+cover_t AS (
+  SELECT r.query_id, max(CASE WHEN c.document_type IN ('TEXTBOOK','SYLLABUS','EXAMINER_REPORT') AND len(terms) > 0
+      THEN len(list_intersect(terms, list_distinct({tokens('c.text')}))) / CAST(len(terms) AS DOUBLE) ELSE 0.0 END) AS coverage,
+    bool_or(route = 'exact_metadata' AND c.document_type = 'MARK_SCHEME') AS scheme, count(*) AS n_rows
+  FROM ranked_t r JOIN chunks_t c USING (chunk_id)
+  JOIN (SELECT query_id, list_filter(list_distinct({tokens('query')}), lambda t: length(t) > 2 AND NOT list_contains({COVERAGE_STOP}, t)) AS terms
+        FROM plan_t) q USING (query_id) GROUP BY 1)
+"""

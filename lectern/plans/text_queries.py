@@ -17,7 +17,7 @@ from lectern.sources import adapters as A
 SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_terms, md5(array_to_string(t, ' ')) AS token_hash
 FROM (SELECT doc_id, {Q.tokens('text')} AS t FROM documents)""")
 def tokenize(spark: SparkSession, sf: str) -> DataFrame:
-    rows = A.table(spark, sf, "documents").select("doc_id", T.tokens("text").alias("t"))
+    rows = A.spread(A.table(spark, sf, "documents")).select("doc_id", T.tokens("text").alias("t"))
     return rows.select(
         "doc_id",
         F.size("t").cast("bigint").alias("n_tokens"),
@@ -31,8 +31,8 @@ SELECT page_id, length(c) AS n_chars, md5(c) AS text_hash FROM (SELECT page_id,
 UNION ALL
 SELECT -1 - doc_id AS page_id, length(c), md5(c) FROM (SELECT doc_id, {Q.clean('text')} AS c FROM documents)""")
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
-    html = A.table(spark, sf, "pages").select("page_id", T.clean_text("html").alias("c"))
-    docs = A.table(spark, sf, "documents").select((-1 - F.col("doc_id")).alias("page_id"), T.clean_text("text").alias("c"))
+    html = A.spread(A.table(spark, sf, "pages")).select("page_id", T.clean_text("html").alias("c"))
+    docs = A.spread(A.table(spark, sf, "documents")).select((-1 - F.col("doc_id")).alias("page_id"), T.clean_text("text").alias("c"))
     return html.unionByName(docs).select(
         "page_id", F.length("c").cast("bigint").alias("n_chars"), F.md5("c").alias("text_hash")
     )
@@ -88,7 +88,7 @@ SELECT doc_id, {Q.content_hash('text')} AS content_hash,
 FROM documents""")
 def text_hashes(spark: SparkSession, sf: str) -> DataFrame:
     fields = {name: F.col(name) for name in ("text", "lang", "source")}
-    return A.table(spark, sf, "documents").select(
+    return A.spread(A.table(spark, sf, "documents")).select(
         "doc_id",
         H.content_hash("text").alias("content_hash"),
         H.stable_hash(fields, 16).alias("record_hash"),

@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when a table is a single small file; a scan with enough splits is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
@@ -34,7 +40,7 @@ def _div(column: str, n: int) -> Column:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-page documents of the five types; 25 consecutive source rows make five documents."""
-    src = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    src = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     kind, shelf = F.col("doc_id") % 5, _div("doc_id", 25)
     return src.select(
         F.concat(_pick(PREFIXES, kind), F.lit("_"), shelf.cast("string")).alias("document_id"),
