@@ -139,11 +139,21 @@ def category_matches(query: Column | str) -> Column:
     return F.array_compact(F.array(*hits))
 
 
-def profile(query: Column | str, level: Column | None = None, exam_year: Column | None = None) -> Column:
-    """The full question profile as one struct column."""
-    q = T._col(query)
-    ref = paper_reference(q)
-    matches = category_matches(q)
+def with_profile(queries: DataFrame) -> DataFrame:
+    """Add the ``profile`` struct to ``(query, level, exam_year)`` rows.
+
+    The pattern matches are generated first, through an outer explode of one element: the optimizer
+    cannot copy them into the many expressions and filters that read the profile.
+    """
+    base = F.struct(paper_reference("query").alias("ref"), category_matches("query").alias("matches"))
+    based = queries.select("*", F.explode_outer(F.array(base)).alias("_base"))
+    built = _profile(
+        F.col("query"), F.col("_base.ref"), F.col("_base.matches"), F.col("level"), F.col("exam_year").cast("int")
+    )
+    return based.select("*", F.explode_outer(F.array(built)).alias("profile")).drop("_base")
+
+
+def _profile(q: Column, ref: Column, matches: Column, level: Column, exam_year: Column) -> Column:
     is_exam = ref["question_number"].isNotNull() & ref["component"].isNotNull()
     category = (
         F.when(is_exam, "EXAM_QUESTION")
@@ -171,7 +181,6 @@ def profile(query: Column | str, level: Column | None = None, exam_year: Column
     reasoning = category.isin(
         "COMPARISON", "PROGRAMMING", "SQL", "DEBUGGING", "TRACE_TABLE", "CALCULATION", "MCQ"
     )
-    known_level = level if level is not None else F.lit(None).cast("string")
     return F.struct(
         category.alias("category"),
         intent.alias("intent"),
@@ -183,8 +192,8 @@ def profile(query: Column | str, level: Column | None = None, exam_year: Column
         category.isin("PROGRAMMING", "SQL", "DEBUGGING").alias("needs_code"),
         confidence.alias("confidence"),
         evidence.alias("evidence"),
-        F.coalesce(known_level, F.try_element_at(_text_map(SUBJECT_LEVELS), ref["subject_code"])).alias("level"),
-        (exam_year if exam_year is not None else F.lit(None).cast("int")).alias("exam_year"),
+        F.coalesce(level, F.try_element_at(_text_map(SUBJECT_LEVELS), ref["subject_code"])).alias("level"),
+        exam_year.alias("exam_year"),
         *[ref[name].alias(name) for name in
           ("subject_code", "component", "session", "year", "question_number", "marks")],
     )

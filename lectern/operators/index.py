@@ -23,7 +23,7 @@ class Index:
 
     ``postings``: one row per (chunk, term) with tf, chunk length and the filter columns.
     ``terms``: document frequency per term.  ``stats``: one row, chunk count and average length.
-    ``vectors``: optional, ``chunk_id, ord, document_type, level, embedding``.
+    ``vectors``: optional, ``chunk_id, ord, document_type, level`` and ``embedding`` (or sparse ``slots, weights``).
     """
 
     chunks: DataFrame
@@ -60,10 +60,10 @@ def lexical(chunks: DataFrame) -> Index:
 
 
 def hash_vectors(chunks: DataFrame) -> DataFrame:
-    """Vectors of the deterministic hash embedding for every searchable chunk with any token."""
+    """Sparse vectors of the deterministic hash embedding for every searchable chunk with any token."""
     rows = chunking.indexable(chunks).select(*ROUTING, F.coalesce("retrieval_text", "text").alias("_text"))
     sparse = H.hash_embedding(rows, "chunk_id", "_text")
-    return rows.drop("_text").join(H.dense_embedding(sparse, "chunk_id"), "chunk_id")
+    return rows.drop("_text").join(sparse, "chunk_id")
 
 
 def embed(texts: DataFrame, key: str, text: str, embed_fn: Callable[[list[str]], np.ndarray]) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lectern.functions import text as T
+from lectern.functions.hashing import HASH_DIMENSIONS
 from lectern.functions import understanding as U
 from lectern.operators import skew
 from lectern.operators.index import Index
@@ -101,15 +102,23 @@ def bm25(queries: DataFrame, index: Index, k: int = DEPTH) -> DataFrame:
 HIT_SCHEMA = "query_id string, variant int, chunk_id string, ord bigint, document_type string, score double"
 
 
-def _unit(rows: list) -> np.ndarray:
-    matrix = np.asarray(np.stack([np.asarray(r, dtype=np.float64) for r in rows]))
+def _unit(frame: pd.DataFrame) -> np.ndarray:
+    """Unit row vectors from an ``embedding`` column or from sparse ``slots`` and ``weights``."""
+    if "embedding" in frame.columns:
+        matrix = np.stack([np.asarray(r, dtype=np.float64) for r in frame["embedding"]])
+    else:
+        matrix = np.zeros((len(frame), HASH_DIMENSIONS))
+        lengths = frame["slots"].map(len).to_numpy()
+        matrix[np.repeat(np.arange(len(frame)), lengths), np.concatenate(frame["slots"].tolist())] = np.concatenate(
+            frame["weights"].tolist()
+        )
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
 def _block_hits(queries: pd.DataFrame, unit_queries: np.ndarray, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
     """Best ``k`` vectors of one batch for every query."""
-    scores = np.round(_unit(vectors["embedding"].tolist()) @ unit_queries.T, 9)
+    scores = np.round(_unit(vectors) @ unit_queries.T, 9)
     for want, have in (("level", "level"), ("document_type", "document_type")):
         wanted = queries[want].to_numpy(dtype=object)
         allowed = (vectors[have].to_numpy(dtype=object)[:, None] == wanted[None, :]) | pd.isna(wanted)[None, :]
@@ -143,12 +152,13 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = DEPTH) -> DataFrame:
     Up to ``BROADCAST_QUERIES`` queries travel as one matrix.  More are cut into hashed query and
     vector blocks of bounded size that meet pairwise, which is exact for any number of queries.
     """
-    asked = _with_filters(queries).select("query_id", "variant", "level", "document_type", "embedding")
-    stored = vectors.select("chunk_id", "ord", "level", "document_type", "embedding")
+    values = ["embedding"] if "embedding" in vectors.columns else ["slots", "weights"]
+    asked = _with_filters(queries).select("query_id", "variant", "level", "document_type", *values)
+    stored = vectors.select("chunk_id", "ord", "level", "document_type", *values)
     head = asked.limit(BROADCAST_QUERIES + 1).toPandas()
     if len(head) <= BROADCAST_QUERIES:
         shared = queries.sparkSession.sparkContext.broadcast(
-            (head.drop(columns="embedding"), _unit(head["embedding"].tolist()) if len(head) else np.zeros((0, 1)))
+            (head.drop(columns=values), _unit(head) if len(head) else np.zeros((0, 1)))
         )
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +179,7 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = DEPTH) -> DataFrame:
         def meet(some_queries: pd.DataFrame, some_vectors: pd.DataFrame) -> pd.DataFrame:
             if not len(some_queries) or not len(some_vectors):
                 return pd.DataFrame(columns=["query_id", "variant", "chunk_id", "ord", "document_type", "score"])
-            return _block_hits(some_queries, _unit(some_queries["embedding"].tolist()), some_vectors, k)
+            return _block_hits(some_queries, _unit(some_queries), some_vectors, k)
 
         local = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(meet, HIT_SCHEMA)
     return top_k(local, ["query_id", "variant"], [F.desc("score"), F.col("ord")], k).withColumn(

@@ -30,19 +30,19 @@ def hash_queries(variants: DataFrame) -> DataFrame:
     """Query vectors of the hash embedding; a query without tokens has no vector."""
     keyed = variants.withColumn("_key", F.concat_ws("#", "query_id", F.col("variant").cast("string")))
     sparse = H.hash_embedding(keyed, "_key", "query")
-    return keyed.join(H.dense_embedding(sparse, "_key"), "_key").drop("_key")
+    return keyed.join(sparse, "_key").drop("_key")
 
 
 def understand(queries: DataFrame) -> DataFrame:
     """Profile and plan of every query (``query_id, query, level, exam_year, document_type``)."""
-    return U.with_plan(queries.withColumn("profile", U.profile("query", F.col("level"), F.col("exam_year"))))
+    return U.with_plan(U.with_profile(queries))
 
 
 def variants(understood: DataFrame) -> DataFrame:
     texts = U.query_variants("query", F.col("profile.category"), F.col("multi_query"))
     return understood.select(
-        "query_id", F.col("profile.level").alias("level"), "document_type", F.posexplode(texts).alias("_pos", "query")
-    ).select("query_id", (F.col("_pos") + 1).alias("variant"), "query", "level", "document_type")
+        "query_id", F.col("profile.level").alias("level"), "document_type", F.posexplode_outer(texts).alias("_pos", "query")
+    ).filter(F.col("query").isNotNull()).select("query_id", (F.col("_pos") + 1).alias("variant"), "query", "level", "document_type")
 
 
 def rankings(understood: DataFrame, index: Index, embedder: Embedder | None = hash_queries) -> DataFrame:

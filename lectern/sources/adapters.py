@@ -119,7 +119,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def profiled(queries: DataFrame) -> DataFrame:
     """Queries with their profile struct and plan columns."""
-    return U.with_plan(queries.withColumn("profile", U.profile("query", F.col("level"), F.col("exam_year"))))
+    return U.with_plan(U.with_profile(queries))
 
 
 def exchanges(spark: SparkSession, sf_dir: str, dialogues: int | None = None) -> DataFrame:
