@@ -125,11 +125,11 @@ def apply_reviews(grades: DataFrame, reviews: DataFrame, submissions: DataFrame,
 def agreement(pairs: DataFrame) -> DataFrame:
     """Pair count, mean absolute error and Pearson correlation (null without variance)."""
     both = pairs.filter(F.col("ai_score").isNotNull() & F.col("human_score").isNotNull())
-    flat = (F.stddev_pop("ai_score") == 0) | (F.stddev_pop("human_score") == 0)
+    spread = F.stddev_pop("ai_score") * F.stddev_pop("human_score")
     return both.agg(
         F.count("*").alias("count"),
         F.round(F.avg(F.abs(F.col("ai_score") - F.col("human_score"))), 4).alias("mae"),
-        F.when(~flat, F.round(F.corr("ai_score", "human_score"), 4)).alias("pearson_correlation"),
+        F.round(F.covar_pop("ai_score", "human_score") / F.nullif(spread, F.lit(0.0)), 4).alias("pearson_correlation"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import hashing as H
 from lectern.functions import text as T
 from lectern.functions import understanding as U
-from lectern.operators import context, search
+from lectern.operators import context, grading, search
 from lectern.operators.index import Index
 from lectern.session import checkpoint_dir
 
@@ -165,3 +165,48 @@ def relevance(document_id: Column, page: Column, chunk_id: Column, source: Colum
     return (document_id == source["document_id"]) & F.coalesce(
         F.when((policy == "PAGE") | source["chunk_id"].isNull(), on_page).otherwise(by_chunk), F.lit(False)
     )
+
+
+def assessment_lanes(requests: DataFrame, index: Index, scorer: search.Scorer | None = None) -> DataFrame:
+    """Unscoped assessment evidence: textbook, past-paper and marking lanes of each request.
+
+    ``requests``: request_id, topic, assessment_type, level.  The three lanes are one query table, so
+    they share a single pass over the index.
+    """
+    lane = lambda name, text, kind: F.struct(
+        F.lit(name).alias("lane"), text.alias("query"), F.lit(kind).cast("string").alias("document_type")
+    )
+    marking = F.concat(
+        F.lit("Generate a Cambridge Computer Science "), F.col("assessment_type"),
+        F.lit(" using mark scheme marking criteria and answer quality patterns for "), F.col("topic"),
+    )
+    lanes = F.array(
+        lane("TEXTBOOK_CONTENT", F.col("topic"), "TEXTBOOK"),
+        lane("PAST_PAPER_STYLE", F.concat(F.lit("Cambridge Computer Science past paper question "), F.col("topic")), "QUESTION_PAPER"),
+        lane("MARKING_PATTERN", marking, None),
+    )
+    asked = requests.select("request_id", "level", F.explode(lanes).alias("l")).select(
+        F.concat_ws("#", "request_id", "l.lane").alias("query_id"), "l.query", "level", F.lit(None).cast("int").alias("exam_year"),
+        "l.document_type",
+    )
+    rows, _ = retrieve(asked, index, scorer)
+    placed = rows.select(
+        F.substring_index("query_id", "#", 1).alias("request_id"), F.substring_index("query_id", "#", -1).alias("lane"),
+        "context_position", "chunk_id", "document_id", "document_type", "page_start", "text",
+    )
+    wanted = (
+        ((F.col("lane") == "TEXTBOOK_CONTENT") & (F.col("document_type") == "TEXTBOOK") & (F.col("context_position") <= 8))
+        | ((F.col("lane") == "PAST_PAPER_STYLE") & (F.col("document_type") == "QUESTION_PAPER") & (F.col("context_position") <= 10))
+        | ((F.col("lane") == "MARKING_PATTERN") & F.col("document_type").isin("MARK_SCHEME", "EXAMINER_REPORT", "SYLLABUS"))
+    )
+    role = F.when((F.col("lane") == "MARKING_PATTERN") & (F.col("document_type") == "SYLLABUS"), "CURRICULUM_SCOPE").otherwise(F.col("lane"))
+    return placed.filter(wanted).withColumn("role", role)
+
+
+def grading_evidence(aligned: DataFrame, index: Index, level: str | None = None) -> DataFrame:
+    """Official marking evidence for every submission question, six chunks at most."""
+    asked = grading.grading_queries(aligned).withColumns({
+        "level": F.lit(level).cast("string"), "exam_year": F.lit(None).cast("int"), "document_type": F.lit(None).cast("string"),
+    })
+    rows, _ = retrieve(asked, index, maximum_chunks=6)
+    return grading.official_only(rows)

@@ -54,7 +54,7 @@ def test_question_runs_over_pages(spark):
 
 def naive_labels(texts, scheme):
     """A plain line scan written for this test."""
-    lines = [x.rstrip() for t in texts for x in t.split("\n")]
+    lines = [x.rstrip() for t in texts for x in t.splitlines()]
     out, high, letter, is_open = [], 0, None, False
     for i, line in enumerate(lines):
         if not scheme and is_open:
@@ -166,7 +166,7 @@ def test_truth_table_and_lists(spark):
 
 
 def test_fence_and_ruled_table():
-    blocks = markdown.text_blocks("```sql\nSELECT 1\n```\n| a | b |\n|---|---|\n| 1 | 2 |\ntext | more")
+    blocks = markdown.text_blocks("```sql\nSELECT 1\n```\n| a | b |\n|---|---|\n| 1 | 2 |\ntext more")
     assert [b["type"] for b in blocks] == ["code", "table", "paragraph"]
     assert blocks[0] == {"type": "code", "language": "sql", "text": "SELECT 1"}
 
