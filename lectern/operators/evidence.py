@@ -133,37 +133,36 @@ def is_navigation(document_type: Column, page: Column, text: Column) -> Column:
     return marked | front | ((number <= 5) & (T.token_count(text) < 180))
 
 
-def topic_score(phrases: Column, strict: Column, ranged: Column, document_type: Column, text: Column, content_type: Column) -> Column:
-    """Topic relevance of a chunk that already passed type, navigation and page-range checks; -1 rejects."""
-
-    def weigh(lowered: Column) -> Column:
-        counts = F.transform(phrases, lambda p: F.least(T.count_occurrences(lowered, p), F.lit(5)))
-        exact = F.aggregate(counts, F.lit(0), lambda a, c: a + c)
-        wanted = F.array_distinct(F.filter(F.flatten(F.transform(phrases, T.tokens)), lambda t: F.length(t) > 2))
-        shared = T.overlap(wanted, T.token_set(lowered))
-        opening = F.regexp_replace(F.substring(lowered, 1, 240), rf"{T.WS}+", " ")
-        heading = F.exists(phrases, lambda p: (F.length(p) > 3) & F.contains(opening, p))
-        task = F.exists(F.array(*[F.lit(w) for w in TASK_WORDS]), lambda w: F.contains(lowered, w))
-
-        def total(parts: Column) -> Column:
-            is_paper = document_type == "QUESTION_PAPER"
-            open_scope = (document_type != "TEXTBOOK") | ~ranged
-            reject = (is_paper & (parts["exact"] == 0)) | (
-                open_scope & (parts["exact"] == 0) & (strict | (parts["shared"] < 1))
-            )
-            score = (
-                parts["exact"] * 8.0 + parts["shared"] + F.when(heading, 5.0).otherwise(0.0)
-                + F.when(content_type == "PARENT_CONTEXT", 0.5).otherwise(2.0)
-                + F.when(is_paper & task, 2.0).otherwise(0.0)
-            )
-            return F.when(reject, F.lit(-1.0)).otherwise(score)
+CHUNK_FIELDS = ("chunk_id", "document_id", "document_type", "page_start", "content_type", "text", "marks")
 
-        return T.let(F.struct(exact.alias("exact"), shared.alias("shared")), total)
 
-    return T.let(F.lower(text), weigh)
+def _topic_score(strict: Column, ranged: Column) -> Column:
+    """Relevance of a (topic, chunk) pair that passed the type, navigation and page checks; -1 rejects.
 
+    Reads ``phrases, wanted`` of the topic and ``_low, _toks, _opening`` of the chunk, which were
+    computed once per row before the join.
+    """
+    text = F.col("_low")
+    exact = F.aggregate("phrases", F.lit(0), lambda a, p: a + F.least(T.count_occurrences(text, p), F.lit(5)))
+    heading = F.exists("phrases", lambda p: (F.length(p) > 3) & F.contains(F.col("_opening"), p))
+    task = F.lit(False)
+    for word in TASK_WORDS:
+        task = task | F.contains(text, F.lit(word))
+    is_paper = F.col("document_type") == "QUESTION_PAPER"
+
+    def total(parts: Column) -> Column:
+        open_scope = (F.col("document_type") != "TEXTBOOK") | ~ranged
+        reject = (is_paper & (parts["exact"] == 0)) | (
+            open_scope & (parts["exact"] == 0) & (strict | (parts["shared"] < 1))
+        )
+        score = (
+            parts["exact"] * 8.0 + parts["shared"] + F.when(heading, 5.0).otherwise(0.0)
+            + F.when(F.col("content_type") == "PARENT_CONTEXT", 0.5).otherwise(2.0)
+            + F.when(is_paper & task, 2.0).otherwise(0.0)
+        )
+        return F.when(reject, F.lit(-1.0)).otherwise(score)
 
-CHUNK_FIELDS = ("chunk_id", "document_id", "document_type", "page_start", "content_type", "text", "marks")
+    return T.let(F.struct(exact.alias("exact"), T.overlap(F.col("wanted"), F.col("_toks")).alias("shared")), total)
 
 
 def topic_candidates(topics: DataFrame, chunks: DataFrame, document_type: str) -> DataFrame:
@@ -177,11 +176,17 @@ def topic_candidates(topics: DataFrame, chunks: DataFrame, document_type: str) -
     dimension = topics.select(
         "topic_id", "level", F.transform(phrases, F.lower).alias("phrases"), "strict_phrases",
         F.col("pdf_page_start").alias("_from"), F.col("pdf_page_end").alias("_to"),
+    ).withColumn(
+        "wanted", F.array_distinct(F.filter(F.flatten(F.transform("phrases", T.tokens)), lambda t: F.length(t) > 2))
     )
     fields = [c if c in chunks.columns else F.lit(None).cast("int").alias(c) for c in CHUNK_FIELDS]
+    low = F.lower("text")
     rows = chunks.filter(F.col("document_type") == document_type).filter(
         ~is_navigation(F.col("document_type"), F.col("page_start"), F.col("text"))
-    ).select("level", *fields)
+    ).select(
+        "level", *fields, low.alias("_low"), T.token_set(low).alias("_toks"),
+        F.regexp_replace(F.substring(low, 1, 240), rf"{T.WS}+", " ").alias("_opening"),
+    )
     bucket = lambda c: F.floor(F.col(c) / PAGE_BUCKET).cast("int")
     if document_type == "TEXTBOOK":
         ranged = dimension.filter(F.col("_from").isNotNull()).withColumn(
@@ -194,15 +199,12 @@ def topic_candidates(topics: DataFrame, chunks: DataFrame, document_type: str) -
     else:
         in_range, free = None, dimension
     small = skew.maybe_broadcast(free.withColumnRenamed("level", "_level"), TOPIC_ROWS)
-    mentions = F.exists("phrases", lambda p: F.contains(F.lower("text"), p))
+    mentions = F.exists("phrases", lambda p: F.contains(F.col("_low"), p))
     if document_type != "QUESTION_PAPER":
-        mentions = mentions | F.arrays_overlap(F.flatten(F.transform("phrases", T.tokens)), T.tokens("text"))
+        mentions = F.arrays_overlap("wanted", "_toks") | mentions
     by_level = rows.join(small, (F.col("level") == F.col("_level")) & mentions).drop("_level")
     pairs = by_level if in_range is None else in_range.unionByName(by_level)
-    score = topic_score(
-        F.col("phrases"), F.col("strict_phrases"), F.col("_from").isNotNull(), F.col("document_type"), F.col("text"),
-        F.col("content_type"),
-    )
+    score = _topic_score(F.col("strict_phrases"), F.col("_from").isNotNull())
     scored = pairs.select("topic_id", *CHUNK_FIELDS, F.explode_outer(F.array(score)).alias("score"))
     return scored.filter(F.col("score") >= 0)
 

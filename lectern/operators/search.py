@@ -28,6 +28,7 @@ DEPTH = 80
 FUSED_LIMIT = 24
 PRIORITY_STEP = 1e-6
 BROADCAST_TERMS = 1_000_000
+MATRIX_CELLS = 8_000_000
 BROADCAST_QUERIES = 2_048
 VECTOR_BLOCK = 50_000
 
@@ -70,25 +71,33 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, index: Index, k: int = DEPTH) -> DataFrame:
     """Top ``k`` chunks per (query, variant) by BM25 with whole-collection statistics.
 
-    The weighted query terms are broadcast when their number is checked to be small; otherwise
-    postings and terms meet in a salted join, so a term found in a third of all chunks is spread.
-    Each (query, chunk) sum is combined before its shuffle.
+    Three exact forms, chosen by checked sizes.  A weight matrix (terms by queries) of bounded size is
+    broadcast and multiplied with the term frequencies of each chunk batch, so only local winners are
+    shuffled.  A larger but bounded term list is broadcast into a join.  Beyond that, postings and
+    terms meet in a salted join, so a term found in a third of all chunks is spread.
     """
     terms = query_terms(queries)
-    small = skew.fits(terms, BROADCAST_TERMS)
     n = index.stats.select("n").scalar()
     average = F.greatest(F.lit(1.0), index.stats.select("average_length").scalar())
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    small = skew.fits(terms, BROADCAST_TERMS)
     wanted = F.broadcast(terms) if small else terms
     weighted = index.terms.join(wanted, "term").withColumn("weight", F.col("qtf") * idf).drop("df", "qtf")
+    saturation = F.col("tf") * K1_PLUS_1 / (F.col("tf") + K1 * (KEEP + SLOPE * F.col("dl") / average))
     if small:
+        head = weighted.limit(MATRIX_CELLS).toPandas()
+        cells = head["term"].nunique() * len(head[["query_id", "variant"]].drop_duplicates())
+        if len(head) < MATRIX_CELLS and cells <= MATRIX_CELLS:
+            scored = _matrix_scores(head, index.postings, saturation, k)
+            return top_k(scored, ["query_id", "variant"], [F.desc("score"), F.col("ord")], k).withColumn(
+                "lane", F.lit("sparse")
+            )
         joined = index.postings.join(F.broadcast(weighted), "term")
     else:
         joined = skew.salted_join(index.postings, weighted, ["term"], "chunk_id")
     joined = joined.filter(
         matches(F.col("want_level"), F.col("level")) & matches(F.col("want_type"), F.col("document_type"))
     )
-    saturation = F.col("tf") * K1_PLUS_1 / (F.col("tf") + K1 * (KEEP + SLOPE * F.col("dl") / average))
     scored = joined.groupBy("query_id", "variant", "chunk_id", "ord", "document_type").agg(
         F.round(F.sum(F.col("weight") * saturation), 9).alias("score")
     ).filter(F.col("score") != 0)
@@ -97,6 +106,48 @@ def bm25(queries: DataFrame, index: Index, k: int = DEPTH) -> DataFrame:
     )
 
 
+def _matrix_scores(weighted: pd.DataFrame, postings: DataFrame, saturation: Column, k: int) -> DataFrame:
+    """Local BM25 winners of every chunk batch from one broadcast weight matrix.
+
+    Postings are cut to the query vocabulary and packed per chunk (never more cells than the chunk has
+    terms); Python sees one row per chunk.
+    """
+    spark = postings.sparkSession
+    asked = weighted[["query_id", "variant", "want_level", "want_type"]].drop_duplicates(["query_id", "variant"]).reset_index(drop=True)
+    asked = asked.rename(columns={"want_level": "level", "want_type": "document_type"})
+    vocabulary = pd.Index(sorted(weighted["term"].unique()))
+    column = pd.MultiIndex.from_frame(asked[["query_id", "variant"]]).get_indexer(
+        pd.MultiIndex.from_frame(weighted[["query_id", "variant"]])
+    )
+    weights = np.zeros((len(vocabulary), len(asked)))
+    np.add.at(weights, (vocabulary.get_indexer(weighted["term"]), column), weighted["weight"].to_numpy(dtype=float))
+    shared = spark.sparkContext.broadcast((asked, weights))
+    slots = spark.createDataFrame([(t, i) for i, t in enumerate(vocabulary)], "term string, slot int")
+    packed = (
+        postings.join(F.broadcast(slots), "term")
+        .select("chunk_id", "ord", "document_type", "level", F.struct("slot", saturation.alias("value")).alias("_cell"))
+        .groupBy("chunk_id", "ord", "document_type", "level")
+        .agg(F.collect_list("_cell").alias("_cells"))
+        .select("chunk_id", "ord", "document_type", "level", F.col("_cells.slot").alias("slots"), F.col("_cells.value").alias("values"))
+    )
+    step = max(1, MATRIX_CELLS // max(1, len(vocabulary)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame, matrix = shared.value
+        for batch in batches:
+            for start in range(0, len(batch), step):
+                part = batch.iloc[start:start + step]
+                found = np.zeros((len(part), matrix.shape[0]))
+                sizes = part["slots"].map(len).to_numpy()
+                found[np.repeat(np.arange(len(part)), sizes), np.concatenate(part["slots"].tolist())] = np.concatenate(
+                    part["values"].tolist()
+                )
+                hits = _winners(frame, np.round(found @ matrix, 9), part, k)
+                yield hits[hits["score"] != 0]
+
+    return packed.mapInPandas(run, HIT_SCHEMA)
+
+
 # --- dense ---------------------------------------------------------------------------------------------
 
 HIT_SCHEMA = "query_id string, variant int, chunk_id string, ord bigint, document_type string, score double"
@@ -116,33 +167,39 @@ def _unit(frame: pd.DataFrame) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-def _block_hits(queries: pd.DataFrame, unit_queries: np.ndarray, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Best ``k`` vectors of one batch for every query."""
-    scores = np.round(_unit(vectors) @ unit_queries.T, 9)
-    for want, have in (("level", "level"), ("document_type", "document_type")):
-        wanted = queries[want].to_numpy(dtype=object)
-        allowed = (vectors[have].to_numpy(dtype=object)[:, None] == wanted[None, :]) | pd.isna(wanted)[None, :]
-        scores = np.where(allowed, scores, -np.inf)
-    ords = vectors["ord"].to_numpy()
-    picked = []
+def _winners(queries: pd.DataFrame, scores: np.ndarray, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Best ``k`` rows of one score matrix (rows by queries) for every query, its filters applied."""
+    for name in ("level", "document_type"):
+        wanted = queries[name].to_numpy(dtype=object)
+        if not pd.isna(wanted).all():
+            allowed = (rows[name].to_numpy(dtype=object)[:, None] == wanted[None, :]) | pd.isna(wanted)[None, :]
+            scores = np.where(allowed, scores, -np.inf)
+    ords = rows["ord"].to_numpy()
+    picked, owners = [], []
     for column in range(scores.shape[1]):
         values = scores[:, column]
+        keep = np.arange(len(values))
         if len(values) > k:
             edge = np.partition(values, len(values) - k)[len(values) - k]
-            rows = np.flatnonzero(values >= edge)
-        else:
-            rows = np.arange(len(values))
-        rows = rows[np.lexsort((ords[rows], -values[rows]))][:k]
-        rows = rows[np.isfinite(values[rows])]
-        picked.append(pd.DataFrame({
-            "query_id": queries["query_id"].iloc[column],
-            "variant": queries["variant"].iloc[column],
-            "chunk_id": vectors["chunk_id"].to_numpy()[rows],
-            "ord": ords[rows],
-            "document_type": vectors["document_type"].to_numpy()[rows],
-            "score": values[rows],
-        }))
-    return pd.concat(picked, ignore_index=True) if picked else pd.DataFrame(columns=["query_id"])
+            keep = np.flatnonzero(values >= edge)
+        keep = keep[np.lexsort((ords[keep], -values[keep]))][:k]
+        keep = keep[np.isfinite(values[keep])]
+        picked.append(keep)
+        owners.append(np.full(len(keep), column))
+    at, owner = np.concatenate(picked), np.concatenate(owners)
+    return pd.DataFrame({
+        "query_id": queries["query_id"].to_numpy()[owner],
+        "variant": queries["variant"].to_numpy()[owner],
+        "chunk_id": rows["chunk_id"].to_numpy()[at],
+        "ord": ords[at],
+        "document_type": rows["document_type"].to_numpy()[at],
+        "score": scores[at, owner],
+    })
+
+
+def _block_hits(queries: pd.DataFrame, unit_queries: np.ndarray, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Best ``k`` vectors of one batch for every query."""
+    return _winners(queries, np.round(_unit(vectors) @ unit_queries.T, 9), vectors, k)
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int = DEPTH) -> DataFrame:

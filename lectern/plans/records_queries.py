@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import evaluate, grading, memory, search, telemetry
 from lectern.operators import index as indexing
+from lectern.plans import retrieval
 from lectern.plans import sql as Q
 from lectern.plans.registry import query
 from lectern.sources import adapters as A
@@ -296,7 +297,9 @@ def _document_hits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         F.lit(None).cast("string").alias("retrieval_text"), "text",
     )
     items = A.table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
-    hits = search.bm25(items, indexing.lexical(corpus), k=10)
+    postings = retrieval.settle(indexing.postings(corpus))
+    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
+    hits = search.bm25(items, indexing.Index(corpus, postings, frequencies, indexing.corpus_stats(corpus)), k=10)
     return hits.withColumns({"document_id": F.col("chunk_id"), "page_start": F.lit(1)}), _containing(items, corpus, hits)
 
 

@@ -26,13 +26,13 @@ def built_index(spark: SparkSession, sf: str, vectors: bool = True) -> indexing.
     )
 
 
-def settled_index(spark: SparkSession, sf: str) -> indexing.Index:
+def settled_index(spark: SparkSession, sf: str, vectors: bool = True) -> indexing.Index:
     """The index with its base tables written once, for plans that read them several times."""
     chunks = retrieval.settle(A.chunks(spark, sf))
     postings = retrieval.settle(indexing.postings(chunks))
     return indexing.Index(
         chunks, postings, postings.groupBy("term").agg(F.count("*").alias("df")), indexing.corpus_stats(chunks),
-        retrieval.settle(indexing.hash_vectors(chunks)), H.HASH_MODEL,
+        retrieval.settle(indexing.hash_vectors(chunks)) if vectors else None, H.HASH_MODEL,
     )
 
 
@@ -93,7 +93,7 @@ WITH {Q.CHUNKS}, {Q.INDEX}, {Q.QUESTIONS}, {Q.PROFILE}, {Q.VARIANTS}, {Q.SPARSE}
 SELECT query_id, CAST(variant AS BIGINT) AS variant, chunk_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM sparse_r""")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     asked = retrieval.variants(retrieval.understand(A.questions(spark, sf)))
-    hits = search.bm25(asked, built_index(spark, sf, vectors=False))
+    hits = search.bm25(asked, settled_index(spark, sf, vectors=False))
     return hits.select("query_id", big("variant"), "chunk_id", big("rank"), F.round("score", 6).alias("score"))
 
 
@@ -164,7 +164,7 @@ SELECT query_id, chunk_id, document_type AS chunk_type, round(rrf_score, 6) AS r
   CAST(first_seen.r AS BIGINT) AS first_rank FROM rrf_t""")
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     understood = retrieval.understand(A.questions(spark, sf))
-    fused = search.rrf(retrieval.rankings(understood, built_index(spark, sf)))
+    fused = search.rrf(retrieval.rankings(understood, settled_index(spark, sf)))
     return fused.select(
         "query_id", "chunk_id", "chunk_type", F.round("rrf_score", 6).alias("rrf_score"),
         F.col("first_seen.lane").cast("bigint").alias("first_lane"), F.col("first_seen.rank").cast("bigint").alias("first_rank"),
@@ -191,7 +191,7 @@ n AS (SELECT query_id, count(*) FILTER (lane = 0 AND variant = 1) AS sparse_1, c
 SELECT query_id, sparse_1, sparse_2, dense_1, dense_2, coalesce(n_exact, 0) AS exact_hits FROM n LEFT JOIN exact_n USING (query_id)""")
 def retrieval_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     understood = retrieval.understand(A.questions(spark, sf))
-    built = built_index(spark, sf)
+    built = settled_index(spark, sf)
     return search.diagnostics(retrieval.rankings(understood, built), search.exact(understood, built.chunks))
 
 
