@@ -28,6 +28,7 @@ DEPTH = 80
 FUSED_LIMIT = 24
 PRIORITY_STEP = 1e-6
 BROADCAST_TERMS = 1_000_000
+MATRIX_TERMS = 500_000
 MATRIX_CELLS = 8_000_000
 BROADCAST_QUERIES = 2_048
 VECTOR_BLOCK = 50_000
@@ -85,9 +86,9 @@ def bm25(queries: DataFrame, index: Index, k: int = DEPTH) -> DataFrame:
     weighted = index.terms.join(wanted, "term").withColumn("weight", F.col("qtf") * idf).drop("df", "qtf")
     saturation = F.col("tf") * K1_PLUS_1 / (F.col("tf") + K1 * (KEEP + SLOPE * F.col("dl") / average))
     if small:
-        head = weighted.limit(MATRIX_CELLS).toPandas()
+        head = weighted.limit(MATRIX_TERMS + 1).toPandas()
         cells = head["term"].nunique() * len(head[["query_id", "variant"]].drop_duplicates())
-        if len(head) < MATRIX_CELLS and cells <= MATRIX_CELLS:
+        if len(head) <= MATRIX_TERMS and cells <= MATRIX_CELLS:
             scored = _matrix_scores(head, index.postings, saturation, k)
             return top_k(scored, ["query_id", "variant"], [F.desc("score"), F.col("ord")], k).withColumn(
                 "lane", F.lit("sparse")

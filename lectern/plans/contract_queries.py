@@ -10,7 +10,7 @@ from lectern.operators import answers, benchmark, contracts, evaluate, grading,
 from lectern.plans import retrieval
 from lectern.plans import sql as Q
 from lectern.plans.records_queries import rounded
-from lectern.plans.registry import query
+from lectern.plans.registry import SQL, query
 from lectern.plans.text_queries import quality_sql
 from lectern.sources import adapters as A
 
@@ -111,7 +111,11 @@ def completeness_contract(spark: SparkSession, sf: str) -> DataFrame:
     return _outcomes(assessments(spark, sf), contracts.completeness(F.col("questions"), F.size("questions"), F.lit("MIXED")))
 
 
-@query("combined_contract")
+@query("combined_contract", f"""
+WITH d AS ({SQL['distribution_contract']}), m AS ({SQL['marking_contract']}), c AS ({SQL['completeness_contract']})
+SELECT d.assessment_id, d.reason IS NULL AND m.reason IS NULL AND c.reason IS NULL AS passed, coalesce(d.reason, m.reason, c.reason) AS reason,
+  CASE WHEN d.reason IS NOT NULL THEN 'distribution_validator' WHEN m.reason IS NOT NULL THEN 'marking_quality_validator' ELSE 'deterministic' END AS provider
+FROM d JOIN m USING (assessment_id) JOIN c USING (assessment_id)""")
 def combined_contract(spark: SparkSession, sf: str) -> DataFrame:
     q, n = F.col("questions"), F.size("questions")
     topics = F.array(F.lit("t0"), F.lit("t1"))
@@ -331,6 +335,49 @@ def failure_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.failure_counts(evaluate.failures(rows.select("id"), found, answered))
 
 
+@query("answer_log", f"""
+WITH {CITED}
+SELECT CAST(e AS VARCHAR) AS trace_id, 'd' || e % 7 || ', d' || (e % 7 + 1) AS retrieved_documents, '1' AS retrieved_pages,
+  CASE WHEN e % 5 = 0 THEN '' ELSE 'd' || e % 7 || ' p.1; d' || (e % 7 + e % 3) || ' p.1' END AS citations, 'NOT_MEASURED' AS judge_status FROM cm""")
+def answer_log(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _answers(spark, sf).select(
+        "*", F.col("id").alias("trace_id"), F.lit(None).cast("timestamp").alias("timestamp"), F.lit("q").alias("question"),
+        F.lit("CURRICULUM_EXPLANATION").alias("answer_type"), F.struct(F.lit("SQL").alias("category"), F.lit("BEGINNER").alias("difficulty")).alias("profile"),
+        F.lit(True).alias("citation_valid"), F.lit(None).cast("double").alias("confidence"),
+    )
+    return answers.answer_log(rows).select("trace_id", "retrieved_documents", "retrieved_pages", "citations", "judge_status")
+
+
+@query("judge_summary", """
+SELECT count(*) AS scored_count, 1.0::DOUBLE AS coverage, round(avg(value) FILTER (event_id % 9 <> 0), 6) AS faithfulness,
+  round(avg(value / 2), 6) AS context_recall FROM events""")
+def judge_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores with gaps: every ninth faithfulness is not a number."""
+    rows = A.table(spark, sf, "events").select(
+        F.when(F.col("event_id") % 9 == 0, float("nan")).otherwise(F.col("value")).alias("faithfulness"), (F.col("value") / 2).alias("context_recall")
+    )
+    return rounded(evaluate.judge_summary(rows))
+
+
+@query("question_report", f"""
+WITH {CITED}
+SELECT CAST(e AS VARCHAR) AS id, CASE WHEN failed THEN 'FAILED_GENERATION' ELSE 'COMPLETED' END AS execution_status,
+  CASE WHEN failed OR e % 4 = 0 OR e % 17 = 0 OR ident < 1 THEN 'FAIL' ELSE 'PASS' END AS row_result, round(cov, 6) AS citation_coverage, value AS latency_ms,
+  'd' || e % 7 AS retrieved_documents FROM cm""")
+def question_report(spark: SparkSession, sf: str) -> DataFrame:
+    rows = evaluate.citation_metrics(_answers(spark, sf)).withColumn("error", F.lit(None).cast("string"))
+    e = F.col("id").cast("bigint")
+    found = rows.select(
+        "id", F.when(e % 17 == 0, "FAILED").otherwise("COMPLETED").alias("execution_status"), "error", F.lit(None).cast("double").alias("latency_ms"),
+        F.array(F.concat(F.lit("d"), (e % 7).cast("string"))).alias("retrieved_document_ids"), F.array(F.lit(1)).alias("retrieved_pages"),
+        *[F.when(e % 4 == 0, 0.0).otherwise(1.0).alias(n) for n in ("precision_at_5", "recall_at_5", "recall_at_10", "reciprocal_rank", "ndcg_at_10")],
+    )
+    records_ = rows.select("id", F.lit("q").alias("question"), F.lit("SQL").alias("category"), F.lit("BEGINNER").alias("difficulty"), F.lit("g").alias("gold_answer"))
+    judged = rows.select("id", F.lit(1.0).alias("faithfulness"))
+    out = evaluate.question_report(records_, found, rows, judged, evaluate.failures(records_, found, rows))
+    return rounded(out.select("id", "execution_status", "row_result", "citation_coverage", "latency_ms", "retrieved_documents"))
+
+
 @query("usage_costs", """
 WITH u AS (SELECT user_id, CAST(json_extract(props, '$.k') AS INTEGER) AS i FROM events)
 SELECT user_id, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(i * 2) AS BIGINT) AS output_tokens,

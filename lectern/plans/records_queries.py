@@ -215,9 +215,11 @@ def grade_review(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("deletable_drafts", """
 SELECT c_custkey AS assessment_id, CAST(c_nationkey AS BIGINT) AS owner_id FROM customer
-WHERE c_custkey % 3 IN (0, 1) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+WHERE c_custkey % 3 IN (0, 1) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')""")
 def deletable_drafts(spark: SparkSession, sf: str) -> DataFrame:
-    out = grading.deletable_drafts(A.grade_assessments(spark, sf), A.submissions(spark, sf))
+    """Only orders still open (status O) count as submissions here; every customer has some order."""
+    sent = A.table(spark, sf, "orders").filter(F.col("o_orderstatus") == "O").select(F.col("o_custkey").alias("assessment_id"))
+    out = grading.deletable_drafts(A.grade_assessments(spark, sf), sent)
     return out.select("assessment_id", "owner_id")
 
 

@@ -50,8 +50,9 @@ def write_csv(df: DataFrame, path: str, fields: Sequence[str], mode: str = "over
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Chunks partitioned by type and sorted by routing keys, so filters on them skip files and row groups."""
     keys = [k for k in ROUTING_KEYS if k in chunks.columns]
-    chunks.repartition("document_type", F.pmod(F.xxhash64("chunk_id"), F.lit(64))).sortWithinPartitions(*keys).write.mode(
-        "overwrite").partitionBy("document_type").parquet(path)
+    # Rebalancing splits a type that fills most of the corpus into files of the advisory size.
+    chunks.hint("rebalance", F.col("document_type")).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy(
+        "document_type").parquet(path)
 
 
 def write_postings(postings: DataFrame, path: str, parts: int | None = None) -> None:

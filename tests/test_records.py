@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import udtf
-from lectern.operators import benchmark, contracts, evidence, grading, ingest, memory
+from lectern.operators import answers, benchmark, contracts, evidence, grading, ingest, memory
 from lectern.sources import io, snapshot
 from lectern.sources.schemas import BENCHMARK, QUESTION
 
@@ -205,6 +205,53 @@ def test_files(spark, tmp_path):
     assert len(io.fingerprint(rows, "2.0").first().fingerprint) == 20
 
 
+def test_routing_files_prune_by_type(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "TEXTBOOK", "O_LEVEL"), ("b", "SYLLABUS", "A_LEVEL")], "chunk_id string, document_type string, level string")
+    io.write_chunks(rows, str(tmp_path / "c"))
+    back = spark.read.parquet(str(tmp_path / "c"))
+    assert back.filter("document_type = 'SYLLABUS'").first().chunk_id == "b"
+    io.write_postings(spark.createDataFrame([("t", "a", 1)], "term string, chunk_id string, tf int"), str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 1
+
+
+def test_review_and_answers(spark):
+    asked = spark.createDataFrame([(True, False, True, "X"), (False, True, True, "X"), (True, True, False, "X"), (True, False, False, "EXAM_ANSWER")],
+                                  "s boolean, e boolean, g boolean, i string")
+    got = [r.d.execution_status for r in asked.select(answers.disposition(F.col("s"), F.col("e"), F.col("g"), F.col("i")).alias("d")).collect()]
+    assert got == ["TO_GENERATE", "COMPLETED_ABSTENTION", "COMPLETED", "SKIPPED_MISSING_API_KEY"]
+    rows = spark.createDataFrame([("q", 1, "d", "MARK_SCHEME", 3, "c1", " one "), ("q", 2, "d", "MARK_SCHEME", 3, "c2", "two"), ("q", 3, "d", "TEXTBOOK", 3, "c1", "x")],
+                                 "query_id string, context_position int, document_id string, document_type string, page_start int, chunk_id string, text string")
+    assert answers.official_answers(rows).first().answer == "one\n\ntwo"
+    details = answers.source_details(rows.withColumnRenamed("context_position", "position")).collect()
+    assert [(r.chunk_id, r.book_name) for r in sorted(details, key=lambda r: r.position)] == [("c1", "d"), ("c2", "d")]
+    cited = spark.createDataFrame([("q", "d", 3, "c2"), ("q", "d", 4, "c2")], "query_id string, document_id string, page int, chunk_id string")
+    assert [r.page for r in answers.invalid_citations(cited, rows).collect()] == [4]
+
+
+def test_align_fills_missing_answers(spark):
+    subs = spark.createDataFrame([(1, 9, "Q2: two")], "submission_id int, assessment_id int, answer_text string")
+    df = spark.createDataFrame([(9, [question(1, 2), question(2, 3)])], f"assessment_id int, questions array<{QUESTION}>")
+    assert [(r.number, r.student_answer) for r in grading.align(subs, df).orderBy("number").collect()] == [(1, ""), (2, "two")]
+
+
+def test_topic_phrases_fall_back_to_the_heading(spark):
+    topics = spark.createDataFrame([("a", "Query language (SQL)", "Databases"), ("b", "Arrays", "Data")], "topic_id string, name string, chapter_name string")
+    profiles = spark.createDataFrame([("b", ["array"], None, True)], "topic_id string, content array<string>, past_paper array<string>, strict boolean")
+    got = {r.topic_id: r for r in evidence.with_phrases(topics, profiles).collect()}
+    assert got["a"].content_phrases == ["Query language (SQL)", "SQL"] and got["a"].paper_phrases[-1] == "Databases"
+    assert got["b"].content_phrases == ["array"] and got["b"].strict_phrases
+
+
+def test_topic_alignment(spark):
+    topics = F.array(F.struct(F.lit("t").alias("topic_id"), F.array(F.lit("binary search")).alias("phrases")))
+    check = lambda text, ids, source: spark.range(1).select(
+        contracts.topic_alignment(F.lit(text), F.array(*[F.lit(i) for i in ids]), F.lit(source), topics).alias("o")).first().o.reason
+    assert check("How does a search work", ["t"], "") is None
+    assert check("What is a stack", ["t"], "") == "TOPIC_DRIFT"
+    assert check("What is a stack", ["t"], "some evidence") is None
+    assert check("What is a stack", ["zz"], "some evidence") == "UNKNOWN_TOPIC"
+
+
 def test_active_build_is_never_overwritten(spark, tmp_path):
     root, table = str(tmp_path / "builds"), spark.range(3)
     settings = {"source": "x"}

@@ -52,12 +52,14 @@ def test_both_filters_apply(spark):
     assert [r.chunk_id for r in search.dense(vectors, built.vectors).collect()] == ["b"]
 
 
-def test_salted_and_broadcast_bm25_agree(spark, monkeypatch):
+def test_matrix_broadcast_and_salted_bm25_agree(spark, monkeypatch):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(30)]
     table = chunks(spark, [{"chunk_id": f"c{i}", "text": "hot " + " ".join(rng.choice(words, 12))} for i in range(60)])
     built, q = with_index(table), asked(spark, "hot w1 w2 w2", "w3 hot")
     want = [tuple(r) for r in search.bm25(q, built, 7).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(search, "MATRIX_CELLS", 0)
+    assert [tuple(r) for r in search.bm25(q, built, 7).orderBy("query_id", "rank").collect()] == want
     monkeypatch.setattr(search, "BROADCAST_TERMS", 0)
     assert [tuple(r) for r in search.bm25(q, built, 7).orderBy("query_id", "rank").collect()] == want
 
