@@ -276,3 +276,38 @@ def test_request_domains(spark):
     bad = contracts.assessment_request(F.lit("arrays"), F.lit("easy"), F.lit("exam"), F.lit(5), F.lit("mixed"))
     r = spark.range(1).select(ok.alias("a"), bad.alias("b")).first()
     assert r.a.passed and r.b.reason == "ASSESSMENT_TYPE"
+
+
+def test_answer_log_stream_appends(spark, tmp_path):
+    from lectern.operators.answers import ANSWER_LOG
+    from lectern.streaming import telemetry as live
+
+    schema = ("timestamp timestamp, question string, answer string, answer_type string, profile struct<category: string, difficulty: string>, "
+              "execution_status string, retrieved array<struct<document_id: string, page_start: int>>, "
+              "citations array<struct<document_id: string, page: int>>, citation_valid boolean, confidence double, latency_ms double, "
+              "input_tokens int, output_tokens int, estimated_cost double, trace_id string")
+    row = (None, "q", "a", "X", ("SQL", "BEGINNER"), "COMPLETED", [("d2", 4), ("d1", 2), ("d2", 4)], [("d2", 4)], True, None, 1.0, 2, 3, 0.1, "t")
+    inbox = str(tmp_path / "in")
+    for _ in range(2):
+        spark.createDataFrame([row], schema).write.mode("append").parquet(inbox)
+        rows = spark.readStream.schema(schema).parquet(inbox)
+        live.append_answers(rows, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 2 and tuple(out.columns) == ANSWER_LOG
+    assert (out.first().retrieved_documents, out.first().retrieved_pages, out.first().citations) == ("d1, d2", "2, 4", "d2 p.4")
+
+
+def test_streamed_memory_keeps_state_between_batches(spark, tmp_path):
+    from lectern.streaming import memory as live
+
+    schema = "conversation_id string, position bigint, role string, content string"
+    pairs = [(f"a question number {i}", f"answer {i}") for i in range(14)]
+    turns = [("c", 2 * i + k, role, text) for i, p in enumerate(pairs) for k, (role, text) in enumerate(zip(("user", "assistant"), p))]
+    inbox = str(tmp_path / "in")
+    for part in (turns[:9], turns[9:] + turns[:2]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(inbox)
+        live.states(spark.readStream.schema(schema).parquet(inbox)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("n").collect()
+    want = naive_memory(pairs)
+    assert [(r.messages, r.summary, r.active_topic) for r in got] == [(len(m), s, t) for m, s, t in want]
