@@ -149,7 +149,7 @@ traces_t AS (
 
 GRADES = """
 grades_t AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS grade_id, l_orderkey AS submission_id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS grade_id, l_orderkey AS submission_id,
          l_quantity AS ai_score,
          CASE WHEN l_returnflag <> 'N' THEN least(50.0, greatest(0.0, l_quantity + l_linenumber - 4)) END AS human_score,
          50.0 AS max_score, l_linestatus AS comments, l_discount AS confidence_score

@@ -194,8 +194,9 @@ def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     ai = F.col("l_quantity")
     human = F.least(F.lit(50.0), F.greatest(F.lit(0.0), ai + F.col("l_linenumber") - 4))
     return src.select(
-        F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"))
-        .alias("grade_id"),
+        F.concat_ws(
+            "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("bigint")
+        ).alias("grade_id"),
         F.col("l_orderkey").alias("submission_id"),
         ai.alias("ai_score"),
         F.when(F.col("l_returnflag") != "N", human).alias("human_score"),
