@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
+#: For local sessions, where driver and tasks share a disk.
+LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+
 
 def local_session(cpus: str | int | None = None, name: str = "lectern") -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the caller brings its own."""
@@ -20,6 +22,7 @@ def local_session(cpus: str | int | None = None, name: str = "lectern") -> Spark
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LECTERN_DRIVER_MEMORY", "12g"))
+        .config("spark.checkpoint.dir", LOCAL_CHECKPOINTS)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -27,12 +30,10 @@ def local_session(cpus: str | int | None = None, name: str = "lectern") -> Spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; a temporary one only when it is unset."""
+    """The cluster's shared folder from ``spark.checkpoint.dir``; only a local session may go without."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    chosen = tempfile.mkdtemp(prefix="lectern-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", chosen)
-    return chosen
+    return LOCAL_CHECKPOINTS
