@@ -33,13 +33,15 @@ from lectern.llm import common
 
 SHARE = 0.25
 LEAST_WORDS = 5
-EMBEDDINGS = 6
-TABLES = 96
-SAMPLED = 3
+EMBEDDINGS = 8
+TABLES = 256
+SAMPLED = 2
 AT_ONCE = 20_000
 AT_ONCE_BYTES = 32 << 20
 HITS = "doc_id long, item_id long, distance int, item_words int, start_byte long, end_byte long"
 _FILTER_BITS = 22
+#: Embedded words held at once.
+_HELD = 4_000_000
 
 
 def recall(differing: float, tables: int = TABLES, sampled: int = SAMPLED) -> float:
@@ -106,19 +108,23 @@ class Items:
         e = self.table_embedding[:, None]
         return (theirs[:, e, place] == mine[e, place]).all(axis=2).any(axis=1)
 
-    def distances(self, item: int, regions: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least edits between the item and a beginning of each region, and that beginning's length."""
-        word, width = self.items[item], regions.shape[1]
-        steps = np.arange(width + 1)
-        row = np.broadcast_to(steps, (len(regions), width + 1)).astype(np.int64)
+    def best(self, item: int, region: np.ndarray) -> tuple[int, int, int]:
+        """Least edits between the item and any part of the region, and that part (the first such, from its end)."""
+        word = self.items[item]
+        last = self._last_row(word, region, np.zeros(len(region) + 1, np.int64))
+        end = int(last.argmin())
+        back = self._last_row(word[::-1], region[:end][::-1], np.arange(end + 1))
+        return int(last[end]), end - int(back.argmin()), end
+
+    @staticmethod
+    def _last_row(word: np.ndarray, region: np.ndarray, row: np.ndarray) -> np.ndarray:
+        steps = np.arange(len(region) + 1)
         for i, symbol in enumerate(word):
             nxt = np.empty_like(row)
-            nxt[:, 0] = i + 1
-            nxt[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (regions != symbol))
-            row = np.minimum.accumulate(nxt - steps, axis=1) + steps
-        row = np.where(steps > size[:, None], np.iinfo(np.int64).max, row)
-        best = row.argmin(axis=1)
-        return row[np.arange(len(row)), best], best
+            nxt[0] = i + 1
+            nxt[1:] = np.minimum(row[1:] + 1, row[:-1] + (region != symbol))
+            row = np.minimum.accumulate(nxt - steps) + steps
+        return row
 
     def candidates(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(document, item, window starts inside ``h``) that keep enough q-grams."""
@@ -151,26 +157,26 @@ class Items:
                 k = self.edits[x]
                 low = np.maximum(start[j[a:b]] - k, first[d])
                 high = np.minimum(start[i[a:b]] + k, first[d + 1] - 1)
-                marks = [np.arange(lo, hi + 1) for lo, hi in zip(low, high, strict=True)]
+                # the embedding bears a shift by a few words of a long item
+                marks = [np.arange(lo, hi + 1, max(1, int(k) // 8)) for lo, hi in zip(low, high, strict=True)]
                 yield d, x, np.unique(np.concatenate(marks))
 
-    def hits(self, h: np.ndarray, first: np.ndarray, block: int = 4096) -> Iterator[tuple[int, int, int, int, int]]:
+    def hits(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, item, edits, first word, last word + 1) of the best window."""
         for d, x, starts in self.candidates(h, first):
-            best = None
             m, k = int(self.length[x]), int(self.edits[x])
+            block = max(1, _HELD // (2 * m * EMBEDDINGS))
+            alike = []
             for lo in range(0, len(starts), block):
-                s = starts[lo : lo + block]
-                place = s[:, None] + np.arange(m + k)
-                region = np.where(place < first[d + 1], h[np.minimum(place, len(h) - 1)], np.uint64(0))
-                kept = np.flatnonzero(self.alike(x, region[:, :m]))
-                if not len(kept):
-                    continue
-                s = s[kept]
-                edits, size = self.distances(x, region[kept], first[d + 1] - s)
-                i = int(np.lexsort((s, edits))[0])
-                if edits[i] <= k and (best is None or edits[i] < best[0]):
-                    best = int(edits[i]), int(s[i]), int(s[i] + size[i])
+                place = starts[lo : lo + block, None] + np.arange(m)
+                alike.append(self.alike(x, np.where(place < first[d + 1], h[np.minimum(place, len(h) - 1)], np.uint64(0))))
+            starts = starts[np.concatenate(alike)]
+            best = None
+            for group in np.split(starts, np.flatnonzero(np.diff(starts) > m) + 1) if len(starts) else []:
+                low, high = max(int(group[0]) - k, int(first[d])), min(int(group[-1]) + m + 2 * k, int(first[d + 1]))
+                edits, a, b = self.best(x, h[low:high])
+                if edits <= k and (best is None or edits < best[0]):
+                    best = edits, low + a, low + b
             if best is not None:
                 yield d, x, *best
 
