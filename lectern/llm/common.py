@@ -26,6 +26,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_ALNUM = np.array([not (chr(b).isalnum() if b < 128 else True) for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+SENTENCE_MARK = np.array([chr(b) in ".,!" for b in range(256)])
 #: Bytes of text that are turned into arrays at once; a single longer document is taken alone.
 CHUNK_BYTES = 4 << 20
 #: Longer words are hashed one by one, so that a huge word can't stretch the vectorised loop.
@@ -103,13 +105,18 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(t: Texts, separator: np.ndarray = SPACE) -> Words:
+def words(t: Texts, separator: np.ndarray = SPACE, cut: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
+    """Runs of bytes that aren't separators; with ``cut``, also cut between a byte of its first and one of its second set."""
     inside = np.zeros(len(t.data) + 2, bool)
     np.logical_not(separator[t.data], out=inside[1:-1])
     begins, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
-    cut = t.offsets[(t.offsets > 0) & (t.offsets < len(t.data))]
-    begins[cut] = inside[1:-1][cut]
-    ends[cut - 1] = inside[1:-1][cut - 1]
+    edge = t.offsets[(t.offsets > 0) & (t.offsets < len(t.data))]
+    begins[edge] = inside[1:-1][edge]
+    ends[edge - 1] = inside[1:-1][edge - 1]
+    if cut is not None:
+        between = cut[0][t.data[:-1]] & cut[1][t.data[1:]]
+        begins[1:] |= between
+        ends[:-1] |= between
     start = np.flatnonzero(begins)
     return Words(start, np.flatnonzero(ends) + 1, np.searchsorted(start, t.offsets))
 

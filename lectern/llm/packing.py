@@ -18,7 +18,9 @@ ignored.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,10 @@ TAIL_CLASS = 64
 CLASS_SHIFT = 40
 #: Sequences of one whole piece need no count and are numbered from here.
 WHOLE = 1 << 62
+#: Strings handed to the library at once, and words joined to one string.
+ENCODED = 512
+JOINED = 256
+WORD_END = "</w>"
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -52,18 +58,49 @@ def cuts(n: int, capacity: int = CAPACITY, tail_class: int = TAIL_CLASS) -> list
 
 
 class IdCache:
-    """Token ids of words: sorted word hashes with places in one flat array, bounded."""
+    """Token ids of words: sorted word hashes with places in one flat array, kept while a worker lives, up to a bound."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        library = Tokenizer.from_file(path)
+        self.encode = library.encode_batch_fast
+        self.ends_word = np.zeros(library.get_vocab_size(with_added_tokens=True), bool)
+        self.ends_word[[i for token, i in library.get_vocab().items() if token.endswith(WORD_END)]] = True
         self.clear()
 
     def clear(self) -> None:
         self.words = common.WordCache()
         self.flat, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in order, and the number of ids of each.
+
+        Words of ASCII letters are one pre-token each: many are encoded as one text and told apart by the ids
+        that end a word.
+        """
+        plain = np.array([w.isascii() and w.isalpha() for w in words], bool)
+        size = np.zeros(len(words), np.int64)
+        some = [w for w, p in zip(words, plain, strict=True) if p]
+        joined = [" ".join(some[lo : lo + JOINED]) for lo in range(0, len(some), JOINED)]
+        flat_plain = self._encoded(joined)[0]
+        ends = np.flatnonzero(self.ends_word[flat_plain])
+        size[plain] = np.diff(ends, prepend=-1)
+        flat_other, size[~plain] = self._encoded([w for w, p in zip(words, plain, strict=True) if not p])
+        flat = np.empty(int(size.sum()), np.int32)
+        of_plain = np.repeat(plain, size)
+        flat[of_plain], flat[~of_plain] = flat_plain, flat_other
+        return flat, size
+
+    def _encoded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(strings), ENCODED):
+            ids = [x.ids for x in self.encode(strings[lo : lo + ENCODED], add_special_tokens=False)]
+            size.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter((i for x in ids for i in x), np.int32, int(size[-1].sum())))
+        return np.concatenate(flat), np.concatenate(size)
+
     def look_up(self, data: np.ndarray, w: common.Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in order, and the number of ids of each word."""
         keys, place, back = np.unique(common.hash_words(data, w, fold=False), return_index=True, return_inverse=True)
@@ -75,9 +112,7 @@ class IdCache:
         if len(new):
             at = place[new]
             strings = [data[s:e].tobytes().decode() for s, e in zip(w.start[at], w.end[at], strict=True)]
-            ids = [x.ids for x in self.encode(strings, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
+            flat, size = self.ids_of(strings)
             self.words.add(keys[new])
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
@@ -88,10 +123,15 @@ class IdCache:
         return self.flat[np.repeat(shift, size) + np.arange(int(size.sum()))], size
 
 
+@lru_cache(maxsize=1)
+def id_cache(path: str) -> IdCache:
+    return IdCache(path)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, tail_class: int) -> Iterator[pa.RecordBatch]:
-    cache = IdCache(path)
-    for batch, t in common.chunks(batches):
-        w = common.words(t)
+    cache = id_cache(path)
+    for batch, t in common.chunks(batches, size=2 << 20):
+        w = common.words(t, cut=(common.ASCII_LETTER, common.SENTENCE_MARK))  # no token crosses such a cut
         ids, size = cache.look_up(t.data, w)
         per_doc = common.sums(size, w.first)
         first = np.cumsum(per_doc) - per_doc
