@@ -209,6 +209,11 @@ def plan_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, PLAN_SCHEMA)
 
 
+def deepest(column: str) -> int:
+    """The greatest search depth of the plan table."""
+    return max(getattr(p, column) for p in PLAN_ROWS)
+
+
 def with_plan(queries: DataFrame, requested_chunks: int | None = None) -> DataFrame:
     """Attach the plan of each query's ``profile`` (unknown categories fall back to THEORY)."""
     known = [p.category for p in PLAN_ROWS]

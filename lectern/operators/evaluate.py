@@ -170,16 +170,15 @@ def answer_summary(rows: DataFrame) -> DataFrame:
 
 
 def latency(rows: DataFrame) -> DataFrame:
-    """Median, nearest-rank p95, extremes, failure rate and cost.
+    """Median, nearest-rank p95, extremes, failure rate and cost of the values as they are.
 
-    Exact percentiles merge one value-count map; latencies are measured to two decimals, so the map is
-    bounded by the number of distinct values, not of rows.
+    Exact percentiles merge one value-count map, which grows with the number of distinct values.
     """
-    value = F.round("latency_ms", 2)
+    value = F.col("latency_ms")
     return rows.agg(
         F.count("latency_ms").alias("count"),
         F.median(value).alias("median_latency_ms"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY round(latency_ms, 2))").alias("p95_latency_ms"),
+        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").alias("p95_latency_ms"),
         F.min(value).alias("minimum_latency_ms"),
         F.max(value).alias("maximum_latency_ms"),
         F.avg(F.coalesce("technical_failure", F.lit(False)).cast("double")).alias("technical_failure_rate"),

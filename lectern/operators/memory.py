@@ -38,6 +38,8 @@ def _compact(role: str, text: Column) -> Column:
 
 def _blocks(exchanges: DataFrame, block: int) -> tuple[DataFrame, Column, Column]:
     """Numbered exchanges with halo copies, the topic before each row and the topic after it."""
+    if block < HALO:
+        raise ValueError(f"a block must hold the {HALO} exchanges that a summary may reach back")
     numbered = skew.dense_index(exchanges, "conversation_id", "position", block).withColumn(
         "_topic", F.when(T.token_count("query") >= TOPIC_TOKENS, F.col("query"))
     )

@@ -394,7 +394,7 @@ SELECT conv_id, 1 AS number, md5(first) AS answer_hash, count(*) AS n FROM s GRO
 def answer_segments(spark: SparkSession, sf: str) -> DataFrame:
     rows = A.exchanges(spark, sf)
     sheet = F.concat(F.lit("Question 1: "), T.strip("query"), F.lit("\nAnswer 9) skipped\nQ2. "), T.strip("answer"))
-    found = rows.select(F.floor(F.col("position") / 1000).alias("conv_id"), F.explode_outer(F.array(
+    found = rows.select(F.floor(F.col("position") / A.TURNS).alias("conv_id"), F.explode_outer(F.array(
         grading.extract_answers(sheet, F.array(F.lit(1), F.lit(2))))).alias("m"))
     pairs = found.select("conv_id", F.explode("m").alias("number", "text"))
     return pairs.groupBy("conv_id", "number", F.md5("text").alias("answer_hash")).agg(F.count("*").alias("n")).select(

@@ -16,7 +16,6 @@ from lectern.plans.registry import query
 from lectern.sources import adapters as A
 
 AS_OF = datetime(2024, 1, 31)
-DIALOGUES = 10
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -70,7 +69,7 @@ def latest_trace(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("latency_stats", """
 SELECT count(*) AS count, round(median(value), 6) AS median_latency_ms,
-  list_sort(list(round(value, 2)))[CAST(ceil(0.95 * count(*)) AS BIGINT)] AS p95_latency_ms, min(value) AS minimum_latency_ms,
+  list_sort(list(value))[CAST(ceil(0.95 * count(*)) AS BIGINT)] AS p95_latency_ms, min(value) AS minimum_latency_ms,
   max(value) AS maximum_latency_ms, round(avg((event_type = 'error')::INT), 6) AS technical_failure_rate,
   round(sum(value / 1000.0), 6) AS estimated_cost FROM events""")
 def latency_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,8 +82,8 @@ def latency_stats(spark: SparkSession, sf: str) -> DataFrame:
 # --- memory ------------------------------------------------------------------------------------------
 
 DIALOGUE_SQL = f"""{Q.EXCHANGES},
-d AS (SELECT CAST(conv_id % {DIALOGUES} AS VARCHAR) AS conversation_id, conv_id * 1000 + turn AS position, query, answer,
-        row_number() OVER (PARTITION BY conv_id % {DIALOGUES} ORDER BY conv_id, turn) AS n FROM ex_pairs),
+d AS (SELECT CAST(conv_id // {A.DIALOGUE} AS VARCHAR) AS conversation_id, conv_id * {A.TURNS} + turn AS position, query, answer,
+        row_number() OVER (PARTITION BY conv_id // {A.DIALOGUE} ORDER BY conv_id, turn) AS n FROM ex_pairs),
 m AS (SELECT *, CASE WHEN n <= 5 THEN 0 WHEN n % 2 = 0 THEN n - 4 ELSE n - 5 END AS gone,
         'user: ' || left({Q.collapse('query')}, 240) || ' | assistant: ' || left({Q.collapse('left(answer, 1600)')}, 240) AS compact,
         CASE WHEN {Q.token_count('query')} >= 3 THEN query END AS topic FROM d)"""
@@ -99,7 +98,12 @@ SELECT conversation_id, n, active_topic,
   2 * (n - gone) AS messages,
   md5(array_to_string(list_transform(list_filter(hist, lambda x: x.n > gone), lambda x: x.q || '/' || x.a), '|')) AS message_hash FROM s""")
 def memory_state(spark: SparkSession, sf: str) -> DataFrame:
-    out = memory.states(A.exchanges(spark, sf, DIALOGUES), block=256)
+    out = memory.states(A.exchanges(spark, sf, folded=True), block=256)
+    return memory_rows(out)
+
+
+def memory_rows(out: DataFrame) -> DataFrame:
+    """Memory states with their messages as one hash."""
     pairs = F.transform(
         F.sequence(F.lit(0), F.floor(F.size("recent_messages") / 2).cast("int") - 1),
         lambda i: F.concat(F.get("recent_messages", i * 2)["content"], F.lit("/"), F.get("recent_messages", i * 2 + 1)["content"]),
@@ -120,7 +124,7 @@ SELECT conversation_id, n, CASE WHEN dep AND coalesce(before, prior) IS NOT NULL
    THEN 'Previous topic: ' || coalesce(before, prior) || chr(10) || 'Current request: ' || {Q.strip('query')}
    ELSE {Q.strip('query')} END AS standalone_query FROM s""")
 def followup_rewrite(spark: SparkSession, sf: str) -> DataFrame:
-    out = memory.rewritten(A.exchanges(spark, sf, DIALOGUES), block=256)
+    out = memory.rewritten(A.exchanges(spark, sf, folded=True), block=256)
     return out.select("conversation_id", "n", "standalone_query")
 
 
@@ -136,7 +140,7 @@ sc AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, n ORDER BY
 SELECT conversation_id, n, count(*) AS kept, md5(string_agg(content, '|' ORDER BY i)) AS kept_hash FROM sc WHERE rn <= 4 GROUP BY ALL""")
 def relevant_history(spark: SparkSession, sf: str) -> DataFrame:
     """Messages of the state after each exchange that matter for its own query."""
-    state = memory.states(A.exchanges(spark, sf, DIALOGUES), block=256)
+    state = memory.states(A.exchanges(spark, sf, folded=True), block=256)
     out = memory.relevant_messages(state, "query", "recent_messages")
     return out.select(
         "conversation_id", "n", F.size("relevant").cast("bigint").alias("kept"),
@@ -343,7 +347,7 @@ v AS (SELECT * FROM (SELECT 'benchmark_size' AS metric, count(*)::DOUBLE AS valu
   UNION ALL SELECT 'recall_at_5', round(avg(r5), 6) FROM met UNION ALL SELECT 'recall_at_10', round(avg(r10), 6) FROM met
   UNION ALL SELECT 'mrr', round(avg(rr), 6) FROM met UNION ALL SELECT 'ndcg_at_10', round(avg(ndcg), 6) FROM met
   UNION ALL SELECT 'median_latency_ms', median(value) FROM events UNION ALL SELECT 'p95_latency_ms',
-     list_sort(list(round(value, 2)))[CAST(ceil(0.95 * count(*)) AS BIGINT)] FROM events
+     list_sort(list(value))[CAST(ceil(0.95 * count(*)) AS BIGINT)] FROM events
   UNION ALL SELECT 'technical_failure_rate', round(avg((event_type = 'error')::INT), 6) FROM events)),
 g AS (SELECT * FROM (VALUES ('benchmark_size','>=',100.0),('recall_at_5','>=',0.9),('recall_at_10','>=',0.95),('mrr','>=',0.75),
   ('ndcg_at_10','>=',0.85),('median_latency_ms','<=',5000.0),('p95_latency_ms','<=',10000.0),('technical_failure_rate','<=',0.01)) t(metric, operator, target))

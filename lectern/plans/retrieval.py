@@ -46,12 +46,17 @@ def variants(understood: DataFrame) -> DataFrame:
 
 
 def rankings(understood: DataFrame, index: Index, embedder: Embedder | None = hash_queries) -> DataFrame:
-    """Sparse and dense rankings of every variant, one long table."""
+    """Sparse and dense rankings of every variant, one long table, each as deep as the query's plan says."""
     asked = variants(understood)
     columns = ["query_id", "variant", "lane", "chunk_id", "document_type", "rank", "score"]
-    found = search.bm25(asked, index).select(*columns)
+
+    def to_depth(found: DataFrame, depth: str) -> DataFrame:
+        planned = understood.select("query_id", F.col(depth).alias("_depth"))
+        return found.select(*columns).join(planned, "query_id").filter(F.col("rank") <= F.col("_depth")).select(*columns)
+
+    found = to_depth(search.bm25(asked, index, U.deepest("sparse_k")), "sparse_k")
     if index.vectors is not None and embedder is not None:
-        found = found.unionByName(search.dense(embedder(asked), index.vectors).select(*columns))
+        found = found.unionByName(to_depth(search.dense(embedder(asked), index.vectors, U.deepest("dense_k")), "dense_k"))
     return found
 
 

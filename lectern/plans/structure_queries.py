@@ -11,7 +11,7 @@ from lectern.functions import markdown as M
 from lectern.functions import text as T
 from lectern.operators import chunking, context, index as indexing
 from lectern.plans import sql as Q
-from lectern.plans.records_queries import DIALOGUE_SQL, DIALOGUES, rounded
+from lectern.plans.records_queries import DIALOGUE_SQL, memory_rows, rounded
 from lectern.plans.registry import query
 from lectern.session import checkpoint_dir
 from lectern.sources import adapters as A
@@ -178,30 +178,33 @@ SELECT conversation_id, n, active_topic,
   2 * (n - gone) AS messages,
   md5(array_to_string(list_transform(list_filter(hist, lambda x: x.n > gone), lambda x: x.q || '/' || x.a), '|')) AS message_hash FROM s""")
 def stream_memory(spark: SparkSession, sf: str) -> DataFrame:
+    """The turns arrive in two files, answers before their questions, and some turns twice."""
     folder = scratch(spark)
-    schema = A.table(spark, sf, "conversations").schema
-    turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf).select(
-        (F.col("conv_id") % DIALOGUES).cast("string").alias("conversation_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("position"),
-        "role", F.col("text").alias("content"),
-    )
-    stream_memory_ops.states(turns).writeStream.format("parquet").option("path", f"{folder}/rows").option(
-        "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").select(
-        "conversation_id", "n", "active_topic", "summary", F.col("messages").cast("bigint").alias("messages"), F.md5("recent").alias("message_hash")
-    )
+    turns = A.table(spark, sf, "conversations").select(
+        A.dialogue("conv_id").alias("conversation_id"), A.turn_position("conv_id", "turn").alias("position"), "role", F.col("text").alias("content"))
+    turns.filter("role = 'assistant'").unionByName(turns.filter("position % 7 = 0")).write.mode("append").parquet(f"{folder}/inbox")
+    turns.filter("role <> 'assistant'").write.mode("append").parquet(f"{folder}/inbox")
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/inbox")
+    stream_memory_ops.write_states(stream, folder, f"{folder}/state").awaitTermination()
+    return memory_rows(stream_memory_ops.read_states(spark, folder))
 
 
 @query("stream_telemetry", """
+WITH v AS (SELECT event_id // 3 AS trace_id, arg_max(ts, event_id) AS ts, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value
+  FROM events GROUP BY 1)
 SELECT CAST(date_trunc('day', ts) AS VARCHAR)[1:10] AS day, event_type AS category, count(*) AS requests, count(*) FILTER (event_type = 'error') AS failures,
-  round(avg(value), 6) AS average_latency_ms, round(sum(value / 1000.0), 6) AS total_cost FROM events GROUP BY ALL""")
+  round(avg(value), 6) AS average_latency_ms, round(sum(value / 1000.0), 6) AS total_cost FROM v GROUP BY ALL""")
 def stream_telemetry(spark: SparkSession, sf: str) -> DataFrame:
+    """Three versions of every trace in two files, the later versions first; the last version counts."""
     folder = scratch(spark)
-    schema = A.table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    traces = events.select(
-        F.col("event_id").cast("string").alias("trace_id"), F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("category"),
-        (F.col("event_type") != "error").alias("success"), F.col("value").alias("latency_ms"), (F.col("value") / 1000.0).alias("total_cost"),
+    traces = A.table(spark, sf, "events").select(
+        F.floor(F.col("event_id") / 3).cast("string").alias("trace_id"), F.col("event_id").alias("version"), F.col("ts").cast("timestamp").alias("created_at"),
+        F.col("event_type").alias("category"), (F.col("event_type") != "error").alias("success"), F.col("value").alias("latency_ms"),
+        (F.col("value") / 1000.0).alias("total_cost"),
     )
-    stream_telemetry_ops.write_batches(stream_telemetry_ops.daily(traces), f"{folder}/rows", f"{folder}/state").awaitTermination()
-    rows = stream_telemetry_ops.latest_rows(spark.read.parquet(f"{folder}/rows"), ["day", "category"])
-    return rounded(rows.withColumn("day", F.date_format("day.start", "yyyy-MM-dd")))
+    for part in ("version % 2 = 1", "version % 2 = 0"):
+        traces.filter(part).write.mode("append").parquet(f"{folder}/inbox")
+    stream = spark.readStream.schema(traces.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/inbox")
+    stream_telemetry_ops.write_traces(stream, f"{folder}/rows", f"{folder}/state").awaitTermination()
+    rows = stream_telemetry_ops.daily(stream_telemetry_ops.read_traces(spark, f"{folder}/rows"))
+    return rounded(rows.withColumn("day", F.col("day").cast("string")))

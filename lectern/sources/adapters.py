@@ -122,21 +122,36 @@ def profiled(queries: DataFrame) -> DataFrame:
     return U.with_plan(U.with_profile(queries))
 
 
-def exchanges(spark: SparkSession, sf_dir: str, dialogues: int | None = None) -> DataFrame:
+#: Consecutive conversations of one folded dialogue, and positions kept for the turns of a conversation.
+DIALOGUE, TURNS = 40, 1_000_000
+
+
+def dialogue(conv_id: str) -> Column:
+    """Key of the long dialogue that a conversation is folded into."""
+    return F.floor(F.col(conv_id) / DIALOGUE).cast("string")
+
+
+def turn_position(conv_id: str, turn: str) -> Column:
+    """Position of a turn in its dialogue; a conversation of more turns than there are places is refused."""
+    fits = F.assert_true(F.col(turn).between(0, TURNS - 1), "a conversation has too many turns")
+    return F.coalesce(fits.cast("bigint"), F.col(conv_id) * TURNS + F.col(turn))
+
+
+def exchanges(spark: SparkSession, sf_dir: str, folded: bool = False) -> DataFrame:
     """User turns paired with the assistant turn that follows.
 
-    ``dialogues`` folds the conversations into that many long dialogues (key ``conv_id % dialogues``)
-    so that memory eviction is reached; without it each conversation is its own dialogue.
+    ``folded`` joins consecutive conversations to long dialogues so that memory eviction is reached;
+    without it each conversation is its own dialogue.
     """
     turns = table(spark, sf_dir, "conversations")
     user = turns.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("query"))
     reply = turns.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
     )
-    dialogue = F.col("conv_id") % dialogues if dialogues else F.col("conv_id")
+    key = dialogue("conv_id") if folded else F.col("conv_id").cast("string")
     return user.join(reply, ["conv_id", "turn"]).select(
-        dialogue.cast("string").alias("conversation_id"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("position"),
+        key.alias("conversation_id"),
+        turn_position("conv_id", "turn").alias("position"),
         "query",
         "answer",
     )

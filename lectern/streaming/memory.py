@@ -1,58 +1,51 @@
-"""Conversation memory as keyed streaming state, equal to the batch form at every exchange."""
+"""Conversation memory over a stream of turns: whatever the order of arrival, equal to the batch form.
+
+Turns are kept in a table, a folder per micro-batch.  A micro-batch recomputes the conversations it touches
+from all of their turns with the batch operators and writes them to its own folder, so a replayed batch
+replaces itself, and a turn that arrives late, twice or before its question ends up in its place.
+"""
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from lectern.functions.text import TOKEN
-from lectern.operators.memory import (
-    ANSWER_CHARS, FULL_MESSAGES, KEPT_MESSAGES, MESSAGE_CHARS, SUMMARY_CHARS, TOPIC_TOKENS,
-)
-
-OUTPUT = "conversation_id string, n bigint, messages int, summary string, active_topic string, recent string"
-STATE = "n bigint, last bigint, pending string, messages string, summary string, topic string"
-_TOKEN = re.compile(TOKEN)
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Apply the turns of one micro-batch in order; turns at or before the last one seen are dropped.
-
-    State per conversation: at most ten messages, a bounded summary, the topic and an open question.
-    """
-    n, last, pending, packed, summary, topic = state.get if state.exists else (0, -1, None, "[]", "", None)
-    messages = json.loads(packed)
-    turns = pd.concat(list(batches)).sort_values("position")
-    out = []
-    for turn in turns.itertuples(index=False):
-        if turn.position <= last:
-            continue
-        follows = pending is not None and turn.position == last + 1
-        last = int(turn.position)
-        if turn.role != "assistant" or not follows:
-            pending = turn.content if turn.role == "user" else None
-            continue
-        question, pending, n = pending, None, n + 1
-        messages += [["user", question], ["assistant", turn.content[:ANSWER_CHARS]]]
-        if len(messages) > FULL_MESSAGES:
-            gone, messages = messages[:-KEPT_MESSAGES], messages[-KEPT_MESSAGES:]
-            lines = [f"{role}: {' '.join(text.split())[:MESSAGE_CHARS]}" for role, text in gone]
-            summary = " | ".join(([summary] if summary else []) + lines)[-SUMMARY_CHARS:]
-        if len(_TOKEN.findall(question)) >= TOPIC_TOKENS:
-            topic = question
-        pairs = "|".join(f"{messages[i][1]}/{messages[i + 1][1]}" for i in range(0, len(messages), 2))
-        out.append((key[0], n, len(messages), summary, topic, pairs))
-    state.update((n, last, pending, json.dumps(messages), summary, topic))
-    yield pd.DataFrame(out, columns=["conversation_id", "n", "messages", "summary", "active_topic", "recent"])
-
-
-def states(turns: DataFrame) -> DataFrame:
-    """Memory after every exchange of a turn stream ``conversation_id, position, role, content``."""
-    return turns.groupBy("conversation_id").applyInPandasWithState(
-        _advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from lectern.operators import memory
+
+
+def exchanges(turns: DataFrame) -> DataFrame:
+    """User turns with the assistant turn at the next position, from ``conversation_id, position, role, content``."""
+    user = turns.filter("role = 'user'").select("conversation_id", "position", F.col("content").alias("query"))
+    reply = turns.filter("role = 'assistant'").select(
+        "conversation_id", (F.col("position") - 1).alias("position"), F.col("content").alias("answer")
     )
+    return user.join(reply, ["conversation_id", "position"])
+
+
+def latest_turns(turns: DataFrame) -> DataFrame:
+    """One turn per position: that of the last batch, then the greatest."""
+    last = F.max(F.struct("batch", "role", "content")).alias("_row")
+    return turns.groupBy("conversation_id", "position").agg(last).select("conversation_id", "position", "_row.role", "_row.content")
+
+
+def write_states(turns: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Keep the stream's turns below ``root`` and write the memory states of every touched conversation."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select("conversation_id", F.col("position").cast("long").alias("position"), "role", "content")
+        new.write.mode("overwrite").parquet(f"{root}/turns/batch={batch_id}")
+        touched = spark.read.parquet(f"{root}/turns/batch={batch_id}").select("conversation_id").distinct()
+        known = spark.read.parquet(f"{root}/turns").filter(F.col("batch") <= batch_id)
+        turns_of = latest_turns(known.join(touched, "conversation_id", "left_semi"))
+        memory.states(exchanges(turns_of)).write.mode("overwrite").parquet(f"{root}/states/batch={batch_id}")
+
+    return turns.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_states(spark: SparkSession, root: str) -> DataFrame:
+    """The states of every conversation as its last batch left them."""
+    rows = spark.read.parquet(f"{root}/states")
+    last = rows.groupBy("conversation_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["conversation_id", "batch"]).drop("batch")

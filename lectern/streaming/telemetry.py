@@ -1,41 +1,45 @@
-"""Streaming telemetry: repeated trace ids dropped, daily totals per category; the live answer log."""
+"""Streaming telemetry: the last version of every trace, daily totals per category; the live answer log."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lectern.operators.answers import answer_log
 
 
-def daily(traces: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Requests, failures, mean latency and cost per day and category."""
-    unique = traces.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["trace_id"])
-    return unique.groupBy(F.window("created_at", "1 day").alias("day"), F.coalesce("category", F.lit("UNKNOWN")).alias("category")).agg(
-        F.count("*").alias("requests"),
-        F.count_if(~F.col("success")).alias("failures"),
-        F.avg("latency_ms").alias("average_latency_ms"),
-        F.sum("total_cost").alias("total_cost"),
-    )
-
+def write_traces(traces: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep every micro-batch of ``trace_id, version, ...`` in its own folder, so a replayed batch replaces itself.
 
-def write_batches(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write every micro-batch of updated rows to its own folder, so a replayed batch replaces itself."""
+    A batch keeps the last version of each of its traces.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        latest(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return traces.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return (
-        rows.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
 
+def latest(traces: DataFrame) -> DataFrame:
+    """The row of the greatest version of every trace; of equal versions, the greatest row."""
+    rest = [c for c in traces.columns if c not in ("trace_id", "version")]
+    return traces.groupBy("trace_id").agg(F.max(F.struct("version", *rest)).alias("_row")).select("trace_id", "_row.*")
 
-def latest_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The last written version of each key from the batch folders."""
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(*keys, "_row.*")
+
+def read_traces(spark: SparkSession, path: str) -> DataFrame:
+    """One row per trace over all batches, however late its last version came."""
+    return latest(spark.read.parquet(path).drop("batch"))
+
+
+def daily(traces: DataFrame) -> DataFrame:
+    """Requests, failures, mean latency and cost per day and category."""
+    return traces.groupBy(F.to_date("created_at").alias("day"), F.coalesce("category", F.lit("UNKNOWN")).alias("category")).agg(
+        F.count("*").alias("requests"),
+        F.count_if(~F.col("success")).alias("failures"),
+        F.avg("latency_ms").alias("average_latency_ms"),
+        F.sum("total_cost").alias("total_cost"),
+    )
 
 
 def append_answers(answers: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -297,17 +298,45 @@ def test_answer_log_stream_appends(spark, tmp_path):
     assert (out.first().retrieved_documents, out.first().retrieved_pages, out.first().citations) == ("d1, d2", "2, 4", "d2 p.4")
 
 
-def test_streamed_memory_keeps_state_between_batches(spark, tmp_path):
+def test_streamed_memory_takes_turns_in_any_order(spark, tmp_path):
     from lectern.streaming import memory as live
 
     schema = "conversation_id string, position bigint, role string, content string"
     pairs = [(f"a question number {i}", f"answer {i}") for i in range(14)]
     turns = [("c", 2 * i + k, role, text) for i, p in enumerate(pairs) for k, (role, text) in enumerate(zip(("user", "assistant"), p))]
-    inbox = str(tmp_path / "in")
-    for part in (turns[:9], turns[9:] + turns[:2]):
+    inbox, root = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (turns[9:] + [("d", 0, "user", "alone")], turns[1:9] + turns[12:15], turns[:2]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(inbox)
-        live.states(spark.readStream.schema(schema).parquet(inbox)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
-            "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).orderBy("n").collect()
+        live.write_states(spark.readStream.schema(schema).parquet(inbox), root, str(tmp_path / "state")).awaitTermination()
+    got = live.read_states(spark, root).orderBy("n").collect()
     want = naive_memory(pairs)
-    assert [(r.messages, r.summary, r.active_topic) for r in got] == [(len(m), s, t) for m, s, t in want]
+    assert [(len(r.recent_messages), r.summary, r.active_topic) for r in got] == [(len(m), s, t) for m, s, t in want]
+
+
+def test_streamed_traces_keep_the_last_version(spark, tmp_path):
+    from lectern.streaming import telemetry as live
+
+    schema = "trace_id string, version int, created_at timestamp, category string, success boolean, latency_ms double, total_cost double"
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    day = datetime(2024, 1, 1)
+    for part in ([("a", 3, day, "X", True, 3.0, 1.0), ("a", 2, day, "Y", False, 9.0, 9.0)], [("a", 1, day, "Z", False, 9.0, 9.0), ("b", 1, day, None, False, 5.0, 2.0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(inbox)
+        live.write_traces(spark.readStream.schema(schema).parquet(inbox), out, str(tmp_path / "state")).awaitTermination()
+    rows = live.daily(live.read_traces(spark, out)).orderBy("category").collect()
+    assert [(r.category, r.requests, r.failures, r.average_latency_ms) for r in rows] == [("UNKNOWN", 1, 1, 5.0), ("X", 1, 0, 3.0)]
+
+
+def test_memory_refuses_blocks_below_the_halo(spark):
+    from lectern.operators import memory
+
+    rows = spark.createDataFrame([("c", 0, "q", "a")], "conversation_id string, position bigint, query string, answer string")
+    with pytest.raises(ValueError):
+        memory.states(rows, block=memory.HALO - 1)
+
+
+def test_latency_is_not_rounded(spark):
+    from lectern.operators import evaluate
+
+    rows = spark.createDataFrame([(0.001, False, 0.0), (0.002, False, 0.0), (0.0035, True, 0.0)], "latency_ms double, technical_failure boolean, estimated_cost double")
+    r = evaluate.latency(rows).first()
+    assert (r.median_latency_ms, r.p95_latency_ms, r.minimum_latency_ms) == (0.002, 0.0035, 0.001)
