@@ -138,7 +138,7 @@ def generate(curriculum: DataFrame, pairs: DataFrame, chunks: DataFrame, target:
     exact = round_robin(counted, "category", "place", target)
     stratum = lambda n: F.lit(n).alias("stratum")
     order = lambda *keys: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys)).alias("_order")
-    first = curriculum.select(*columns, stratum(1), order("place"), F.lit(0).cast("bigint").alias("_n"))
+    first = curriculum.orderBy("place").limit(target).select(*columns, stratum(1), order("place"), F.lit(0).cast("bigint").alias("_n"))
     second = exact.select(*columns, stratum(2), order("turn", "category"), F.col("n").alias("_n"))
     third = source_records(chunks, target).select(
         *columns, stratum(3), order("document_id", "page_start"), F.lit(0).cast("bigint").alias("_n")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import rubric
 from lectern.functions import text as T
+from lectern.functions import understanding as U
 from lectern.operators import answers, benchmark, contracts, evaluate, grading, ingest
 from lectern.plans import retrieval
 from lectern.plans import sql as Q
@@ -132,9 +134,41 @@ def combined_contract(spark: SparkSession, sf: str) -> DataFrame:
     return parts.select("assessment_id", out.alias("o")).select("assessment_id", "o.passed", "o.reason", "o.provider")
 
 
-@query("rubric_compile")
+def _listed(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _dimension(step: int, dimensions, rows: str) -> str:
+    """The criterion of one marking dimension: the first unused one with any of its terms, else its own text."""
+    terms, fallback = dimensions[step]
+    used = "".join(f" AND i <> coalesce(u{k}, 0)" for k in range(step))
+    pick = f"list_filter(range(1, len(c) + 1), lambda i: len(list_filter({_listed(terms)}, lambda t: contains(lower(c[i]), t))) > 0{used})[1]"
+    return f"SELECT *, {pick} AS u{step}, coalesce(c[{pick}], '{fallback}') AS d{step} FROM {rows}"
+
+
+def _dimensions(name: str, dimensions) -> str:
+    steps = [f"{name}0 AS ({_dimension(0, dimensions, 'ru')})"]
+    steps += [f"{name}{k} AS ({_dimension(k, dimensions, f'{name}{k - 1}')})" for k in range(1, len(dimensions))]
+    return ", ".join(steps)
+
+
+RUBRIC_SQL = f"""
+fr AS (SELECT item_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace({Q.collapse('text')},
+    '\\s*;\\s*', chr(1), 'g'), '\\.\\s+', '.' || chr(1), 'g'), '(?i)\\s*\\b((?:award\\s+)?1\\s+mark\\b)', chr(1) || '\\1', 'g'), chr(1)),
+    lambda x: trim(x, ' -.,')), lambda x: length(x) >= 8) AS f FROM benchmark),
+cr AS (SELECT item_id, list_filter(list_transform(list_concat(f, list_transform(f, lambda x: 'stating this model-answer point: ' || x), {_listed(rubric.FALLBACKS)}),
+    lambda x: '1 mark for ' || trim(regexp_replace({Q.strip('x')}, '(?i)^(?:award\\s+)?\\d+\\s+marks?\\s*(?:for|:)?\\s*', ''), ' .') || '.'), lambda x: x <> '1 mark for .') AS c FROM fr),
+iu AS (SELECT item_id, c, list_transform(c, lambda x: regexp_replace(lower(x), '{Q.EDGE}', '', 'g')) AS k FROM cr),
+ru AS (SELECT item_id, list_filter(range(1, len(c) + 1), lambda i: NOT list_contains(k[1:i - 1], k[i])) AS keep, [c[i] FOR i IN keep][1:item_id % 6 + 1] AS c FROM iu),
+{_dimensions('sq', rubric.SQL_DIMENSIONS)}, {_dimensions('pg', rubric.PROGRAMMING_DIMENSIONS)},
+co AS (SELECT item_id, [d0, d1, d2, d3] AS c FROM sq3 WHERE item_id % 8 = 0 UNION ALL SELECT item_id, [d0, d1, d2, d3] FROM pg3 WHERE item_id % 8 = 4
+  UNION ALL SELECT item_id, c FROM ru WHERE item_id % 4 <> 0)
+SELECT item_id, len(c) AS points, array_to_string(c, chr(10)) AS rubric FROM co"""
+
+
+@query("rubric_compile", f"WITH {RUBRIC_SQL}")
 def rubric_compile(spark: SparkSession, sf: str) -> DataFrame:
-    """Rubrics compiled from whole benchmark passages; checked against a plain form in the tests."""
+    """Rubrics compiled from whole benchmark passages; every fourth item is a coding task."""
     item = F.col("item_id")
     q = F.struct(
         F.lit("SHORT_ANSWER").alias("question_type"), F.lit("").alias("correct_option"), F.array("text").alias("rubric"),
@@ -237,11 +271,38 @@ def first_per_page(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(benchmark.first_per_page(A.chunks(spark, sf)).select("document_id", "page_start", "chunk_id"))
 
 
-@query("benchmark_generate")
+GENERATED = 600
+DIFFICULTY_SQL = f"""CASE WHEN {Q.word_test('query', 'evaluate|justify|analyse|complexity|recursive|normal form')} THEN 'ADVANCED'
+  WHEN regexp_matches(query, '(?i)^\\s*(?:state|define|identify|name|what is)(?:{Q.EDGE}|$)') THEN 'BEGINNER' ELSE 'INTERMEDIATE' END"""
+
+
+@query("benchmark_generate", f"""
+WITH {PAIRS}, cur AS (SELECT item_id, text AS query, CASE WHEN item_id % 2 = 0 THEN 'O_LEVEL' ELSE 'A_LEVEL' END AS level FROM benchmark),
+s1 AS (SELECT 1 AS stratum, row_number() OVER (ORDER BY item_id) AS o, 0 AS n, query AS question, {Q.CATEGORY} AS category, {DIFFICULTY_SQL} AS difficulty, level FROM cur),
+pq AS (SELECT p.ord, c.text AS query, c.level, row_number() OVER (ORDER BY p.ord) AS n, 'Answer ' || c.subject_code || '/' || c.component || '/' ||
+    CASE c.session WHEN 'MJ' THEN 'M/J' WHEN 'ON' THEN 'O/N' WHEN 'FM' THEN 'F/M' ELSE c.session END || '/' || right(CAST(c.year AS VARCHAR), 2) ||
+    ' Question ' || c.question_number || '.' || chr(10) || chr(10) || c.text AS question FROM pairs p JOIN chunks_t c USING (chunk_id)),
+pc AS (SELECT *, {Q.CATEGORY} AS category, {DIFFICULTY_SQL} AS difficulty FROM pq),
+pt AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY ord) AS turn FROM pc),
+s2 AS (SELECT 2 AS stratum, row_number() OVER (ORDER BY turn, category) AS o, n, question, category, difficulty, level FROM pt),
+pg AS (SELECT document_id, page_start, arg_min(text, chunk_id) AS text, arg_min(level, chunk_id) AS level FROM chunks_t
+   WHERE document_type = 'TEXTBOOK' AND len({Q.words('text')}) >= 45 GROUP BY ALL),
+sq AS (SELECT *, 'Explain ' || rtrim(left({Q.collapse('text')}, 80), ' .') || ' using the textbook evidence provided.' AS query FROM pg),
+s3 AS (SELECT 3 AS stratum, row_number() OVER (ORDER BY document_id, page_start) AS o, 0 AS n, query AS question, {Q.CATEGORY} AS category, {DIFFICULTY_SQL} AS difficulty, level FROM sq),
+al AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 WHERE o <= {GENERATED} UNION ALL SELECT * FROM s3),
+po AS (SELECT *, row_number() OVER (ORDER BY stratum, o) AS position FROM al QUALIFY position <= {GENERATED})
+SELECT CASE stratum WHEN 1 THEN 'CURRICULUM_' || printf('%03d', o) WHEN 2 THEN 'BENCH_' || printf('%04d', n) ELSE 'SOURCE_' || printf('%04d', position) END AS id,
+  category, difficulty, level, stratum, position, md5(question) AS question_hash FROM po""")
 def benchmark_generate(spark: SparkSession, sf: str) -> DataFrame:
+    """Curriculum questions from the passages, exact pairs by turns, and textbook questions up to the target."""
     chunks = retrieval.settle(A.chunks(spark, sf))
     pairs = benchmark.pair_records(benchmark.exact_pairs(chunks))
-    out = benchmark.generate(pairs.limit(0), pairs, chunks, 120)
+    asked = A.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("place"), F.col("text").alias("query"), F.when(F.col("item_id") % 2 == 0, "O_LEVEL").otherwise("A_LEVEL").alias("level"),
+        F.lit(None).cast("int").alias("exam_year"))
+    curriculum = U.with_profile(asked).select(
+        "place", F.col("query").alias("question"), F.col("profile.category").alias("category"), F.col("profile.difficulty").alias("difficulty"), "level")
+    out = benchmark.generate(curriculum, pairs, chunks, GENERATED)
     return rounded(out.select("id", "category", "difficulty", "level", "stratum", "position", F.md5("question").alias("question_hash")))
 
 
