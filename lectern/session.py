@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -37,3 +40,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     return LOCAL_CHECKPOINTS
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package wherever they start: once per application, through Spark's own file server."""
+    sc = spark.sparkContext
+    package = Path(__file__).resolve().parent
+    if getattr(sc, "_lectern_shipped", False) or package.suffix == ".zip" or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="lectern-")) / "lectern.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._lectern_shipped = True
