@@ -312,17 +312,18 @@ def _document_hits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def _containing(items: DataFrame, corpus: DataFrame, hits: DataFrame) -> DataFrame:
     """Gold: documents that contain a passage verbatim.
 
-    A document can hold a passage only if it holds its rarest word, so candidates come from an
+    A document can hold a passage only if it holds the rarest of its inner words, so candidates come from an
     equi-join on that word and the substring test runs on them alone.
     """
     tokens = corpus.select("chunk_id", F.explode_outer(F.array_distinct(T.words("text"))).alias("word")).filter("word IS NOT NULL")
     frequency = tokens.groupBy("word").agg(F.count("*").alias("_df"))
     inner = F.slice(T.words("query"), 2, F.greatest(F.lit(1), F.size(T.words("query")) - 2))
     wanted = items.select("query_id", F.explode_outer(F.array_distinct(inner)).alias("word")).filter("word IS NOT NULL")
-    rarest = (
-        frequency.join(F.broadcast(wanted), "word").groupBy("query_id").agg(F.min_by("word", F.struct("_df", "word")).alias("word"))
-    )
-    pairs = tokens.join(rarest, "word").select("query_id", "chunk_id")
+    rarest = frequency.join(wanted, "word").groupBy("query_id").agg(F.min_by("word", F.struct("_df", "word")).alias("word"))
+    # both words of a passage of one or two words may be parts of longer ones
+    short = items.filter((F.size(T.words("query")) < 3) & (T.strip("query") != "")).select("query_id", F.get(T.words("query"), F.lit(0)).alias("_part"))
+    partly = frequency.join(short, F.contains("word", "_part")).select("query_id", "word")
+    pairs = tokens.join(rarest.unionByName(partly), "word").select("query_id", "chunk_id").distinct()
     held = pairs.join(items, "query_id").join(corpus.select("chunk_id", "text"), "chunk_id").filter(F.contains("text", "query"))
     return held.select(
         "query_id", F.col("chunk_id").alias("document_id"), F.substring("chunk_id", 2, 20).cast("int").alias("ordinal"),

@@ -340,3 +340,12 @@ def test_latency_is_not_rounded(spark):
     rows = spark.createDataFrame([(0.001, False, 0.0), (0.002, False, 0.0), (0.0035, True, 0.0)], "latency_ms double, technical_failure boolean, estimated_cost double")
     r = evaluate.latency(rows).first()
     assert (r.median_latency_ms, r.p95_latency_ms, r.minimum_latency_ms) == (0.002, 0.0035, 0.001)
+
+
+def test_gold_of_short_passages(spark):
+    from lectern.plans.records_queries import _containing
+
+    corpus = spark.createDataFrame([("d1", "one cat sat"), ("d2", "concatenate it all"), ("d3", "nothing here")], "chunk_id string, text string")
+    items = spark.createDataFrame([("a", "cat"), ("b", "nate it"), ("c", ""), ("e", "one cat sat")], "query_id string, query string")
+    found = {(r.query_id, r.chunk_id) for r in _containing(items, corpus, None).collect()}
+    assert found == {("a", "d1"), ("a", "d2"), ("b", "d2"), ("e", "d1")}
