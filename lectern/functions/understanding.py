@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,39 +62,22 @@ CORRECTIVE_SUFFIX = {
 CORRECTIVE_DEFAULT = "definition explanation"
 
 
-@dataclass(frozen=True)
-class PlanRow:
-    """One row of the category → retrieval knobs dimension."""
-
-    category: str
-    strategy: str
-    context_chunks: int = 6
-    context_chars: int = 12000
-    preferred_types: tuple[str, ...] = ("TEXTBOOK", "SYLLABUS")
-    multi_query: bool = False
-    dense_k: int = 80
-    sparse_k: int = 80
-    fusion_k: int = 24
-    rerank_k: int = 6
-
-
-_ALL = ("TEXTBOOK", "SYLLABUS", "QUESTION_PAPER", "MARK_SCHEME", "EXAMINER_REPORT")
-_CODE = ("TEXTBOOK", "SYLLABUS", "QUESTION_PAPER")
-PLAN_ROWS = (
-    PlanRow("ASSESSMENT_GENERATION", "assessment_grounding", 12, 20000, _ALL, True),
-    PlanRow("THEORY", "hybrid_conceptual"),
-    PlanRow("DEFINITION", "concise_conceptual", 5, 9000),
-    PlanRow("COMPARISON", "multi_aspect_comparison", 8, 15000, multi_query=True),
-    PlanRow("PROGRAMMING", "code_aware", 8, 16000, _CODE, True),
-    PlanRow("SQL", "sql_aware", 8, 16000, _CODE, True),
-    PlanRow("DEBUGGING", "debugging", 8, 16000, ("TEXTBOOK", "QUESTION_PAPER", "SYLLABUS"), True),
-    PlanRow("TRACE_TABLE", "trace_execution", 8, 16000, ("QUESTION_PAPER", "TEXTBOOK", "MARK_SCHEME"), True),
-    PlanRow("CALCULATION", "worked_calculation", 7, 13000, ("TEXTBOOK", "QUESTION_PAPER", "MARK_SCHEME")),
-    PlanRow("MCQ", "mcq_evidence", 5, 9000, ("QUESTION_PAPER", "MARK_SCHEME", "TEXTBOOK", "SYLLABUS"), True),
-    PlanRow("FILL_IN_THE_BLANK", "concise_completion", 5, 9000, ("QUESTION_PAPER", "MARK_SCHEME", "TEXTBOOK")),
-    PlanRow("EXAM_QUESTION", "exam_authority", 8, 15000,
-            ("QUESTION_PAPER", "MARK_SCHEME", "TEXTBOOK", "SYLLABUS", "MARKING_PATTERN")),
-)
+# The plan of each category.  Columns: category, strategy, context chunks, context characters,
+# preferred document types, several query variants, dense depth, sparse depth, fused candidates, reranked.
+PLAN_TABLE = """
+ASSESSMENT_GENERATION  assessment_grounding     12  20000  TEXTBOOK,SYLLABUS,QUESTION_PAPER,MARK_SCHEME,EXAMINER_REPORT    yes  80  80  24  6
+THEORY                 hybrid_conceptual         6  12000  TEXTBOOK,SYLLABUS                                               no   80  80  24  6
+DEFINITION             concise_conceptual        5   9000  TEXTBOOK,SYLLABUS                                               no   80  80  24  6
+COMPARISON             multi_aspect_comparison   8  15000  TEXTBOOK,SYLLABUS                                               yes  80  80  24  6
+PROGRAMMING            code_aware                8  16000  TEXTBOOK,SYLLABUS,QUESTION_PAPER                                yes  80  80  24  6
+SQL                    sql_aware                 8  16000  TEXTBOOK,SYLLABUS,QUESTION_PAPER                                yes  80  80  24  6
+DEBUGGING              debugging                 8  16000  TEXTBOOK,QUESTION_PAPER,SYLLABUS                                yes  80  80  24  6
+TRACE_TABLE            trace_execution           8  16000  QUESTION_PAPER,TEXTBOOK,MARK_SCHEME                             yes  80  80  24  6
+CALCULATION            worked_calculation        7  13000  TEXTBOOK,QUESTION_PAPER,MARK_SCHEME                             no   80  80  24  6
+MCQ                    mcq_evidence              5   9000  QUESTION_PAPER,MARK_SCHEME,TEXTBOOK,SYLLABUS                    yes  80  80  24  6
+FILL_IN_THE_BLANK      concise_completion        5   9000  QUESTION_PAPER,MARK_SCHEME,TEXTBOOK                             no   80  80  24  6
+EXAM_QUESTION          exam_authority            8  15000  QUESTION_PAPER,MARK_SCHEME,TEXTBOOK,SYLLABUS,MARKING_PATTERN    no   80  80  24  6
+"""
 PLAN_SCHEMA = (
     "plan_category string, strategy string, context_chunks int, context_chars int, "
     "preferred_types array<string>, multi_query boolean, dense_k int, sparse_k int, fusion_k int, rerank_k int"
@@ -199,24 +181,29 @@ def _profile(q: Column, ref: Column, matches: Column, level: Column, exam_year:
     )
 
 
+def plan_rows() -> list[tuple]:
+    """The plan table's rows in the order of ``PLAN_SCHEMA``."""
+    fields = [line.split() for line in PLAN_TABLE.strip().splitlines()]
+    return [
+        (category, strategy, int(chunks), int(chars), types.split(","), several == "yes", *map(int, depths))
+        for category, strategy, chunks, chars, types, several, *depths in fields
+    ]
+
+
 def plan_table(spark: SparkSession) -> DataFrame:
     """The category dimension: twelve fixed rows, safe to broadcast."""
-    rows = [
-        (p.category, p.strategy, p.context_chunks, p.context_chars, list(p.preferred_types), p.multi_query,
-         p.dense_k, p.sparse_k, p.fusion_k, p.rerank_k)
-        for p in PLAN_ROWS
-    ]
-    return spark.createDataFrame(rows, PLAN_SCHEMA)
+    return spark.createDataFrame(plan_rows(), PLAN_SCHEMA)
 
 
 def deepest(column: str) -> int:
-    """The greatest search depth of the plan table."""
-    return max(getattr(p, column) for p in PLAN_ROWS)
+    """The greatest value of a depth column of the plan table."""
+    place = [field.split()[0] for field in PLAN_SCHEMA.split(", ")].index(column)
+    return max(row[place] for row in plan_rows())
 
 
 def with_plan(queries: DataFrame, requested_chunks: int | None = None) -> DataFrame:
     """Attach the plan of each query's ``profile`` (unknown categories fall back to THEORY)."""
-    known = [p.category for p in PLAN_ROWS]
+    known = [row[0] for row in plan_rows()]
     wanted = (
         F.when(F.col("profile.intent") == "EXAM_ANSWER", "EXAM_QUESTION")
         .when(F.col("profile.category").isin(*known), F.col("profile.category"))
