@@ -43,15 +43,24 @@ class Model:
         return sigmoid(common.sums(self.weights[index], first) + extra @ self.extra + self.bias)
 
 
+def _document_counts(index: np.ndarray, first: np.ndarray, rows: np.ndarray, block: int = 512) -> np.ndarray:
+    """Number of the chosen documents that have each feature; a few documents at a time, to hold little."""
+    total = np.zeros(WIDTH, np.int64)
+    for lo in range(0, len(rows), block):
+        hi = min(lo + block, len(rows))
+        part = index[first[lo] : first[hi]]
+        total += np.bincount(part[np.repeat(rows[lo:hi], np.diff(first[lo : hi + 1]))], minlength=WIDTH)
+    return total
+
+
 def fit(index: np.ndarray, first: np.ndarray, extra: np.ndarray, y: np.ndarray, apart: float = 4.5, steps: int = 150, rate: float = 0.1, ridge: float = 1e-5) -> Model:
     """Adam on the class-balanced log loss with a ridge penalty, over the features that tell the classes apart.
 
     A feature is used if its shares of positive and negative documents differ by ``apart`` standard errors.
     """
-    owner = np.repeat(np.arange(len(y)), np.diff(first))
     positive = int(y.sum())
     negative = len(y) - positive
-    inside, outside = (np.bincount(index[y[owner] == v], minlength=WIDTH) for v in (1, 0))
+    inside, outside = _document_counts(index, first, y == 1), _document_counts(index, first, y != 1)
     share = (inside + outside) / len(y)
     error = np.sqrt(np.maximum(share * (1 - share) * (1 / positive + 1 / negative), 1e-12))
     known = np.flatnonzero(np.abs(inside / positive - outside / negative) >= apart * error)
@@ -59,7 +68,8 @@ def fit(index: np.ndarray, first: np.ndarray, extra: np.ndarray, y: np.ndarray,
     column = np.full(WIDTH, -1, np.int32)
     column[known] = np.arange(len(known))
     col = column[index]
-    doc, col = owner[col >= 0], col[col >= 0]
+    used = col >= 0
+    doc, col = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(first))[used], col[used]
     begin = np.searchsorted(doc, np.arange(len(y) + 1))
     n, size = len(known), len(known) + extra.shape[1] + 1
     theta, mean, square = np.zeros(size), np.zeros(size), np.zeros(size)

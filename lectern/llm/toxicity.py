@@ -53,14 +53,16 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Co
     rows = texts.mapInArrow(lambda b: _sampled_features(b, names), schema).toArrow().sort_by("doc_id")
     if not len(rows):
         return [0.0] * len(names)
+    labelled = {n: rows[n].to_numpy() for n in names}
     words = rows["words"].combine_chunks()
     first = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
     index = words.flatten().to_numpy()
-    fold = np.arange(len(rows)) % folds
-    earlier = np.zeros((len(rows), 0))
+    del rows, words
+    fold = np.arange(len(first) - 1) % folds
+    earlier = np.zeros((len(fold), 0))
     models: list[linear.Model | float] = []
     for name in names:
-        y = rows[name].to_numpy()
+        y = labelled[name]
         if min(np.bincount(y[fold != k], minlength=2).min() for k in range(folds)) == 0:
             models.append(float(y.mean()))
             earlier = np.column_stack([earlier, np.full(len(y), y.mean())])
@@ -80,14 +82,20 @@ def _subset(index: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.
     return index[np.repeat(rows, length)], np.concatenate([[0], np.cumsum(length[rows])])
 
 
+def _chain(t: common.Texts, models: list[linear.Model | float]) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities in chain order, and whether the text has words."""
+    index, first = linear.features(t)
+    chain = np.zeros((len(t), 0))
+    for model in models:
+        p = np.full(len(t), model) if isinstance(model, float) else model(index, first, chain)
+        chain = np.column_stack([chain, p])
+    return chain, np.diff(first) > 0
+
+
 def _scored(batches: Iterator[pa.RecordBatch], models: list[linear.Model | float]) -> Iterator[pa.RecordBatch]:
     for batch, t in common.chunks(batches):
-        index, first = linear.features(t)
-        chain = np.zeros((len(t), 0))
-        for model in models:
-            p = np.full(len(t), model) if isinstance(model, float) else model(index, first, chain)
-            chain = np.column_stack([chain, p])
-        yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(first) > 0), *(pa.array(chain[:, i]) for i in range(chain.shape[1]))], ["doc_id", "has_words", *(f"p{i}" for i in range(chain.shape[1]))])
+        chain, has_words = _chain(t, models)
+        yield pa.record_batch([batch.column("doc_id"), pa.array(has_words), *(pa.array(chain[:, i]) for i in range(chain.shape[1]))], ["doc_id", "has_words", *(f"p{i}" for i in range(chain.shape[1]))])
 
 
 def classify(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Column]], toxic_if: Sequence[str], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
@@ -103,6 +111,20 @@ def classify(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str,
     return scored.select("doc_id", *(F.col(f"p{i}").alias(f"p_{n}") for i, n in enumerate(names)), (hit & F.col("has_words")).alias("toxic"))
 
 
+def _clean(batches: Iterator[pa.RecordBatch], models: list[linear.Model | float], decisive: list[int], text: str, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch, t in common.chunks(batches, text):
+        chain, has_words = _chain(t, models)
+        toxic = has_words & (chain[:, decisive] >= threshold).any(axis=1)
+        yield batch.filter(pa.array(~toxic))
+
+
+def remove(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Column]], toxic_if: Sequence[str], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that aren't toxic, decided row by row, without a join."""
+    models = train(common.keyed_texts(docs, id_col, text_col), labels, categories, sample)
+    decisive = [i for i, (n, _) in enumerate(categories) if n in toxic_if]
+    return docs.mapInArrow(lambda b: _clean(b, models, decisive, text_col, threshold), docs.schema)
+
+
 def label_categories() -> list[tuple[str, Column]]:
     """The chain over the ``labels`` table: low quality first, then toxic."""
     return [("low_quality", 1 - F.col("quality")), ("toxic", F.col("toxic"))]
