@@ -10,15 +10,9 @@ from lectern.llm import common, decontaminate, minhash, packing, secrets, toxici
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
-
-
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't call toxic."""
-    labels = common.read(spark, sf_dir, "labels")
-    judged = toxicity.classify(docs, labels, toxicity.label_categories(), ["toxic"])
-    return _without(docs, judged.where("toxic")).select(COLUMNS)
+    return toxicity.remove(docs.select(COLUMNS), common.read(spark, sf_dir, "labels"), toxicity.label_categories(), ["toxic"])
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +22,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    found = decontaminate.contaminated(docs, common.read(spark, sf_dir, "benchmark"))
-    return _without(docs, found).select(COLUMNS)
+    return decontaminate.remove(docs.select(COLUMNS), common.read(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
