@@ -39,8 +39,10 @@ GRAM = 16
 #: Windows in a segment at most: the first and last window, and the number, then tell all of its bytes.
 LONGEST = 50
 #: Bytes of text in a batch (more only for one longer document), and in a block worked on at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BLOCK_BYTES = 256 << 10
+#: Bytes of text for each range of grams; a range has about a suffix for every 20 bytes.
+RANGE_BYTES = 8 << 20
 #: Different segments of a batch with one gram from which on the gram is hot.
 HOT = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -136,7 +138,8 @@ def segments(t: common.Texts) -> Segments:
             count = np.minimum(np.repeat(size, pieces) - step * LONGEST, LONGEST)
             begin = begin + step * LONGEST
             code = common.mix(_window_hash(g, begin) * _BASE + _window_hash(g, begin + count - 1) + count.astype(np.uint64))
-            parts.append((begin + origin, count, least[begin] >> np.uint64(16), code >> np.uint64(25)))
+            # mixed again, since least hashes are small ones and ranges should be even
+            parts.append((begin + origin, count, common.mix(least[begin]) >> np.uint64(16), code >> np.uint64(25)))
         lo = hi
     start, count, gram, code = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64 if i < 2 else np.uint64) for i in range(4))
     return Segments(start, count, np.searchsorted(t.offsets, start, "right") - 1, gram, code)
@@ -194,11 +197,11 @@ class Batch:
         self.loose = one[new], two[new], self.loose_doc[new]
 
     def _hashes(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = place[:, None] + np.arange(WINDOW)
         one, two = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
         for a in range(0, len(place), 4096):
-            g = gram_hashes(self.t.data[rows[a : a + 4096]].reshape(-1))
-            at = np.arange(len(rows[a : a + 4096])) * WINDOW
+            some = place[a : a + 4096]
+            g = gram_hashes(self.t.data[some[:, None] + np.arange(WINDOW)].reshape(-1))
+            at = np.arange(len(some)) * WINDOW
             one[a : a + 4096], two[a : a + 4096] = _window_hash(g, at), _window_hash(g, at, True)
         return one, two
 
@@ -417,8 +420,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     batches = keyed.mapInArrow(_batches, BATCHES).withColumn("batch", F.monotonically_increasing_id())
     batches = common.settle(batches, "batches")
     total = batches.agg(F.sum("size")).first()[0] or 0
-    # about a million suffixes for the owner of a range
-    buckets = int(max(8, -(-total // (16 << 20))))
+    buckets = int(max(8, -(-total // RANGE_BYTES)))
 
     def owned(rows: DataFrame, *keys: str) -> DataFrame:
         return rows.repartition(*keys).sortWithinPartitions(*keys, "batch")
