@@ -164,6 +164,8 @@ class Items:
     def hits(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, item, edits, first word, last word + 1) of the best window."""
         for d, x, starts in self.candidates(h, first):
+            if not len(starts):  # the places lie before or after the document
+                continue
             m, k = int(self.length[x]), int(self.edits[x])
             block = max(1, _HELD // (2 * m * EMBEDDINGS))
             alike = []
@@ -207,12 +209,31 @@ def _load(rows: pa.Table) -> Items | None:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, distance, item_words, start_byte, end_byte``: every document with an item, and where."""
     keyed = common.keyed_texts(docs, id_col, text_col)
+    found = [keyed.mapInArrow(lambda b, items=items: _found(b, items), HITS) for items in _groups(benchmark)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], HITS)
+
+
+def _clean(batches: Iterator[pa.RecordBatch], items: Items, text: str) -> Iterator[pa.RecordBatch]:
+    for batch, t in common.chunks(batches, text):
+        w = common.words(t, common.NOT_ALNUM)
+        kept = np.ones(len(t), bool)
+        kept[[d for d, *_ in items.hits(common.hash_words(t.data, w), w.first)]] = False
+        yield batch.filter(pa.array(kept))
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a benchmark item, decided row by row, without a join."""
+    for items in _groups(benchmark):
+        docs = docs.mapInArrow(lambda b, items=items: _clean(b, items, text_col), docs.schema)
+    return docs
+
+
+def _groups(benchmark: DataFrame) -> Iterator[Items]:
+    """The benchmark in parts of bounded size."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     count, size = items.agg(F.count("*"), F.sum(F.length("text").cast("long") * 4)).first()
     groups = max(1, -(-count // AT_ONCE), -(-(size or 0) // AT_ONCE_BYTES))
-    found = []
     for g in range(groups):
         loaded = _load(items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).toArrow())
         if loaded is not None:
-            found.append(keyed.mapInArrow(lambda b, loaded=loaded: _found(b, loaded), HITS))
-    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], HITS)
+            yield loaded

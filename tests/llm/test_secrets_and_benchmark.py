@@ -111,6 +111,11 @@ def test_benchmark_odd_cases(spark, odd, none):
     bench = spark.createDataFrame([(0, None), (1, ""), (2, "a b c"), (3, "word word word word word word"), (None, "the end")], "item_id long, text string")
     rows = decontaminate.contaminated(odd.union(odd), bench.union(bench)).collect()
     assert {(r.doc_id, r.item_id) for r in rows} == {(7, 3)}
+    # an item's end at the document's begin, and its begin at the end
+    item = " ".join(f"w{i}" for i in range(60))
+    ends = frame(spark, [" ".join(item.split()[-20:]), " ".join(item.split()[:20]), item])
+    found = decontaminate.contaminated(ends, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.distance) for r in found] == [(2, 0)]
     long = spark.createDataFrame([(9, " ".join(f"w{i % 900}" for i in range(6000)))], "item_id long, text string")
     edited = frame(spark, [" ".join(f"w{i % 900}" if i % 7 else "z" for i in range(6000))])
     assert [r.distance for r in decontaminate.contaminated(edited, long).collect()] == [858]
