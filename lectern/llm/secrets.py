@@ -128,9 +128,9 @@ def written(spans: Column) -> Column:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = MASK, scope: int = SCOPE) -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mask``; texts without spans, and nulls, stay as they are."""
-    found = scan(docs, id_col, text_col, scope).withColumn("_spans", F.array_sort(F.concat("base", "linked"))).where(F.size("_spans") > 0)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_spans").dropDuplicates(["_id", "_key"])
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_key"))
+    found = scan(docs, id_col, text_col, scope).withColumn("_secret_spans", F.array_sort(F.concat("base", "linked"))).where(F.size("_secret_spans") > 0)
+    found = found.select(F.col("doc_id").alias("_secret_id"), F.col("text_key").alias("_secret_key"), "_secret_spans").dropDuplicates(["_secret_id", "_secret_key"])
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_secret_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_secret_key"))
     joined = docs.join(found, same, "left")
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -140,5 +140,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
         out = F.when(fresh, F.concat(state.out, text.substr(state.at + 1, s.start - state.at), F.lit(mask))).otherwise(state.out)
         return F.struct(F.greatest(state.at, s.end).alias("at"), out.alias("out"))
 
-    rest = F.aggregate("_spans", start, add, lambda s: F.concat(s.out, text.substr(s.at + 1, F.length(text))))
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(rest)).select(*docs.columns)
+    rest = F.aggregate("_secret_spans", start, add, lambda s: F.concat(s.out, text.substr(s.at + 1, F.length(text))))
+    return joined.withColumn(text_col, F.when(F.col("_secret_spans").isNull(), text).otherwise(rest)).select(*docs.columns)
