@@ -199,7 +199,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, workers: int | None = Non
     names = [*pieces.columns, "sequence_id", "offset"]
     rest = ranked.where(~in_full).select(*pieces.columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", sequence_id long, offset long"
-    fitted = rest.coalesce(1).mapInPandas(lambda it: _fit(it, capacity), schema)
+    fitted = rest.repartition(1).mapInPandas(lambda it: _fit(it, capacity), schema)
     return whole.select(*names).unionByName(full.select(*names)).unionByName(fitted.select(*names))
 
 
