@@ -9,7 +9,7 @@ than k tokens, and the rest is small enough that its class wastes little.
 Pieces are dealt to workers by a hash of their key; every worker numbers its pieces of a class from the
 class's running count of the workers before it and fills its bins independently.  Only counts by (class,
 worker) are exchanged.  The last, unfinished bin of each class goes to one task, together fewer than
-``TAIL_CLASS ** 2`` pieces whatever the input: first-fit-decreasing puts them into shared sequences.
+six pieces per token of capacity whatever the input: first-fit-decreasing puts them into shared sequences.
 
 Cases: a null or empty text is one piece with the end token alone; an empty table gives no rows; texts of any
 length are cut into as many pieces as needed; repeated rows are packed like other rows; other columns are
