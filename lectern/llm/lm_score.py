@@ -8,8 +8,8 @@ pieces for a character without a piece.  The forward recursion in log space adds
 is the sum over its words, plus the end symbol's.  Words are independent, so a word is scored once for all
 its repetitions in a batch.
 
-The base score is a smoothed word unigram.  Counts of the ``HEAD`` most frequent words (a fixed bound) go to
-every task; rarer words of a document are joined with their counts by hash, and no rare word is hot.
+The base score is a smoothed word unigram.  Counts of the most frequent words (``HEAD`` at most, a fixed bound) go
+to every task; rarer words of a document are joined with their counts by hash, and no rare word is hot.
 
 Cases: a null or empty text is the end symbol alone; without training texts the weights stay the first ones
 and every count is 0; words of any length are scored whole; rows without an id are left out; rows that
@@ -19,12 +19,13 @@ ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import common
@@ -32,7 +33,7 @@ from lectern.llm import common
 MODEL = "piece_bpe_32k.model"
 #: Words whose counts every task gets; 16 bytes each.
 HEAD = 300_000
-ITERATIONS = 3
+ITERATIONS = 2
 RANK_SHIFT = 100.0
 #: Weight of the first weights as a prior, in pieces.
 PRIOR = 50_000.0
@@ -40,6 +41,7 @@ PRIOR = 50_000.0
 COMBINED = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MARK = "▁"
+_FILTER_BITS = 20
 
 
 class Pieces:
@@ -67,11 +69,16 @@ class Pieces:
         keys = np.array([piece_hash(p) for p in strings], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(ids, np.int64)[order]
-        self.lengths = sorted({len(p) for p in strings})
+        self.there = np.zeros(1 << _FILTER_BITS, bool)
+        self.there[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.ids[at], -1)
+        """Piece of each hash, or -1; a table of leading bits rules most hashes out."""
+        out = np.full(len(keys), -1, np.int64)
+        some = np.flatnonzero(self.there[keys >> np.uint64(64 - _FILTER_BITS)])
+        at = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
+        out[some] = np.where(self.keys[at] == keys[some], self.ids[at], -1)
+        return out
 
 
 def piece_hash(piece: str) -> int:
@@ -266,27 +273,53 @@ def fit(counts: DataFrame, path: str, ends: int, iterations: int = ITERATIONS) -
     return log_p, float(end)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], path: str, model: tuple[np.ndarray, float], head: tuple[np.ndarray, np.ndarray], norm: float) -> Iterator[pa.RecordBatch]:
-    vocabulary, (log_p, end) = pieces(path), model
+class Scorer:
+    """Log probabilities of words under one model, remembered by word hash up to a bound."""
+
+    def __init__(self, path: str, log_p: np.ndarray):
+        self.vocabulary, self.log_p = pieces(path), log_p
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.values = common.WordCache(), np.zeros(0)
+
+    def __call__(self, keys: np.ndarray, place: np.ndarray, data: np.ndarray, w: common.Words) -> np.ndarray:
+        """For distinct word hashes and the number of a word that has each."""
+        if self.words.full():
+            self.clear()
+        new = np.flatnonzero(self.words.missing(keys))
+        if len(new):
+            strings = _strings(data, w, place[new])
+            fresh = []
+            for part in _slices(strings):
+                lattice = Lattice(self.vocabulary, strings[part])
+                fresh.append(lattice.forward(lattice.weights(self.log_p))[2])
+            self.words.add(keys[new])
+            self.values = np.concatenate([self.values, *fresh])
+        return self.values[self.words.row(keys)]
+
+
+#: The scorer of the model that this worker used last, so that its words serve the next task too.
+_last: dict[str, Scorer] = {}
+
+
+def scorer(path: str, log_p: np.ndarray, name: str) -> Scorer:
+    if name not in _last:
+        _last.clear()
+        _last[name] = Scorer(path, log_p)
+    return _last[name]
+
+
+def _scored(batches: Iterator[pa.RecordBatch], path: str, model: tuple[np.ndarray, float], name: str, head: tuple[np.ndarray, np.ndarray], norm: float) -> Iterator[pa.RecordBatch]:
+    log_p, end = model
+    score_words = scorer(path, log_p, name)
     head_keys, head_counts = head
-    cache, values = common.WordCache(), np.zeros(0)
     for batch, t in common.chunks(batches):
         data = _folded(t.data)
         w = common.words(t)
         keys, place, back = np.unique(common.hash_words(data, w, fold=False), return_index=True, return_inverse=True)
-        if cache.full():
-            cache, values = common.WordCache(), values[:0]
-        new = np.flatnonzero(cache.missing(keys))
-        if len(new):
-            strings = _strings(data, w, place[new])
-            cache.add(keys[new])
-            fresh = []
-            for part in _slices(strings):
-                lattice = Lattice(vocabulary, strings[part])
-                fresh.append(lattice.forward(lattice.weights(log_p))[2])
-            values = np.concatenate([values, *fresh])
         if len(keys):
-            word_score = values[cache.row(keys)][back]
+            word_score = score_words(keys, place, data, w)[back]
             at = np.minimum(np.searchsorted(head_keys, keys), max(len(head_keys) - 1, 0))
             in_head = head_keys[at] == keys if len(head_keys) else np.zeros(len(keys), bool)
             base = np.where(in_head, np.log10((head_counts[at] if len(head_keys) else 0) + 0.5) - norm, 0.0)[back]
@@ -312,6 +345,22 @@ def _scored(batches: Iterator[pa.RecordBatch], path: str, model: tuple[np.ndarra
 SCORED = "doc_id long, n_tokens long, head_known long, head_score double, score double, rare array<struct<hash: long, n: long>>"
 
 
+def _step(n: Column) -> Column:
+    """Counts in steps of a thirty-second of a power of two."""
+    return F.floor(F.log2(n) * 32)
+
+
+def _head_step(words: DataFrame, head: int) -> int:
+    """The lowest step from which on there are at most ``head`` words; reads a histogram of some hundred rows."""
+    left, lowest = head, 1 << 30
+    for step, n in sorted(words.groupBy(_step(F.col("n")).alias("step")).count().collect(), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        lowest = step
+    return lowest
+
+
 def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, head: int = HEAD) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score``; scores are log10 probabilities."""
     path = path or common.tokenizer_path(MODEL)
@@ -321,12 +370,13 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     norm = float(np.log10(total + 0.5 * (distinct + 1)))
     model = fit(counts, path, ends)
     words = counts.where("word is not null").select("hash", "n")
-    top = words.orderBy(F.desc("n"), "hash").limit(head).toArrow()  # at most ``head`` rows
+    top = words.where(_step(F.col("n")) >= _head_step(words, head)).toArrow()  # at most ``head`` rows
     keys = top["hash"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     frequent = keys[order], top["n"].to_numpy()[order]
+    name = uuid.uuid4().hex
     keyed = common.keyed_texts(docs, id_col, text_col).where("doc_id is not null")
-    scored = common.settle(keyed.mapInArrow(lambda b: _scored(b, path, model, frequent, norm), SCORED), "scored")
+    scored = common.settle(keyed.mapInArrow(lambda b: _scored(b, path, model, name, frequent, norm), SCORED), "scored")
     rare = scored.select("doc_id", F.explode("rare").alias("r")).select("doc_id", "r.hash", F.col("r.n").alias("times")).dropDuplicates(["doc_id", "hash"])
     rest = words.withColumnRenamed("n", "c")
     joined = rare.join(rest, "hash", "left").groupBy("doc_id").agg(
