@@ -6,8 +6,9 @@ drops the swallowed symbols; sequences without a known pair are done.  A pair ma
 after that merge, so a round per sequence gives what merging one pair at a time gives.  The symbols that
 survive are the tokens.  Text is normalised and split into pre-tokens by the vocabulary's own rules.
 
-Words are split at ASCII white space first, which no pre-token crosses; each worker keeps the counts of the
-words it has seen (bounded), so a repeated word is merged once.
+Words are split at ASCII white space first, and between an ASCII letter and one of ``.,!``, which no pre-token
+or special string crosses; each worker keeps the counts of the words it has seen (bounded), so a repeated
+word is merged once.
 
 Cases: null and empty texts have 0 bytes and 0 tokens; special strings inside a text count as one token, as
 the library does by default; every input row gives one row, repeated rows too; other columns are ignored.
@@ -123,26 +124,42 @@ class Merger:
         return total
 
 
-@lru_cache(maxsize=2)
-def merger(path: str) -> Merger:
-    return Merger(path)
+class Counter:
+    """Token counts of words, remembered by word hash while a worker lives, up to a bound."""
+
+    def __init__(self, path: str):
+        self.merger = Merger(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.values = common.WordCache(), np.zeros(0, np.int64)
+
+    def look_up(self, data: np.ndarray, w: common.Words) -> np.ndarray:
+        keys, place, back = np.unique(common.hash_words(data, w, fold=False), return_index=True, return_inverse=True)
+        if not len(keys):
+            return np.zeros(0, np.int64)
+        if self.words.full():
+            self.clear()
+        new = np.flatnonzero(self.words.missing(keys))
+        if len(new):
+            at = place[new]
+            strings = [data[s:e].tobytes().decode() for s, e in zip(w.start[at], w.end[at], strict=True)]
+            counted = self.merger.counts(strings)
+            self.words.add(keys[new])
+            self.values = np.concatenate([self.values, counted])
+        return self.values[self.words.row(keys)][back]
+
+
+@lru_cache(maxsize=1)
+def counter(path: str) -> Counter:
+    return Counter(path)
 
 
 def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    known = merger(path)
-    cache, values = common.WordCache(), np.zeros(0, np.int64)
+    known = counter(path)
     for batch, t in common.chunks(batches):
-        w = common.words(t)
-        keys, place, back = np.unique(common.hash_words(t.data, w, fold=False), return_index=True, return_inverse=True)
-        if cache.full():
-            cache, values = common.WordCache(), values[:0]
-        new = np.flatnonzero(cache.missing(keys))
-        if len(new):
-            at = place[new]
-            strings = [t.data[s:e].tobytes().decode() for s, e in zip(w.start[at], w.end[at], strict=True)]
-            cache.add(keys[new])
-            values = np.concatenate([values, known.counts(strings)])
-        tokens = values[cache.row(keys)][back] if len(keys) else np.zeros(0, np.int64)
+        w = common.words(t, cut=(common.ASCII_LETTER, common.SENTENCE_MARK))
+        tokens = known.look_up(t.data, w)
         yield pa.record_batch([batch.column("doc_id"), pa.array(t.lengths(), pa.int64()), pa.array(common.sums(tokens, w.first), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
 
