@@ -7,8 +7,9 @@ or endpoint, a weak identifier next to a secret, an endpoint next to both.
 
 Places of matches come from cutting the text at the pattern: a match begins where the pieces and matches
 before it end.  Every costly pattern is guarded by a cheaper condition that it implies.  Only documents with
-weak parts take part in the join, on (document, block of ``SCOPE`` characters), so no key holds more parts
-than fit into a block.
+weak parts take part in the join, on (document, block of ``SCOPE`` characters): a part's ends stand in at most
+two blocks and reach into at most four, whatever its length, so no key holds more parts than have an end near
+a block.
 
 Cases: null texts are empty; a text without matches has empty spans; rows with one id and text are linked
 alike and all stay; null ids are an id of their own; places count code points, ends are exclusive; other
@@ -94,16 +95,22 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``doc_id, text_key, linked``: weak spans with complementary parts within ``scope`` characters."""
     several = found.where((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)).dropDuplicates(["doc_id", "text_key"])
     spans = several.select("doc_id", "text_key", F.explode(F.concat("base", "weak")).alias("s")).select("doc_id", "text_key", "s.*")
-    spans = spans.withColumn("block", F.floor(F.col("start") / F.lit(scope)))
-    reach = spans.withColumn("block", F.explode(F.sequence(F.floor((F.col("start") - scope) / F.lit(scope)), F.floor((F.col("end") + scope) / F.lit(scope)))))
+
+    def block(at: Column) -> Column:
+        return F.floor(at / F.lit(scope))
+
+    # a partner before a part is near its start, one after it near its end
+    stands = F.array_distinct(F.array(block(F.col("start")), block(F.col("end"))))
+    before, after = (F.sequence(block(F.col(a) - x), block(F.col(a) + y)) for a, x, y in (("start", scope, 0), ("end", 0, scope)))
+    reach = spans.withColumn("block", F.explode(F.array_distinct(F.concat(before, after))))
 
     def near(candidates: DataFrame, role: list[str]) -> DataFrame:
-        c, p = candidates.alias("c"), reach.where(_has(role)).alias("p")
+        c, p = candidates.withColumn("block", F.explode(stands)).alias("c"), reach.where(_has(role)).alias("p")
         meets = F.col("c.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("c.text_key") == F.col("p.text_key")) & (F.col("c.block") == F.col("p.block"))
         # parts of one place are one thing read twice
         apart = (F.col("c.end") <= F.col("p.start")) | (F.col("p.end") <= F.col("c.start"))
         gap = F.greatest(F.col("c.start") - F.col("p.end"), F.col("p.start") - F.col("c.end"))
-        return c.join(p, meets & apart & (gap <= scope), "left_semi")
+        return c.join(p, meets & apart & (gap <= scope), "left_semi").drop("block").distinct()
 
     ids, secrets, ends = _with_role("id"), _with_role("secret"), _with_role("endpoint")
     chosen = near(spans.where(_has(["loose", "bare"])), ids + ends).unionByName(near(spans.where(_has(["login"])), secrets))

@@ -52,6 +52,29 @@ def test_parts_across_a_block_edge(spark):
         assert linked(spark, "." * shift + " user: bob pwd=hunter2x")[0].count(":") == 4
 
 
+def test_long_parts_are_linked(spark):
+    alone, near, far = (["." * shift + " " for shift in (0, 130, 399)], " " * 380, " " * 420)
+    texts, want = [], []
+    for size in (500, 800, 1600, 5000):
+        for lead in alone:
+            loose, url, bob = "private_key=" + "Qx7/" * (size // 4), "https://h.example/" + "p" * size, "user=bob"
+            for a, b in ((loose, bob), (bob, loose)):
+                for gap in (near, far):
+                    texts.append(lead + a + gap + b)
+                    want.append([a, b] if gap == near else [])
+            # an address between both, which are too far apart for each other
+            for a, b in ((bob, loose), (loose, bob)):
+                texts.append(lead + a + near + url + near + b)
+                want.append([p for p in (a, url, b) if p != bob])
+    got = linked(spark, *texts)
+    for text, parts, spans in zip(texts, want, got, strict=True):
+        found = [text[int(x.split(":")[1]) : int(x.split(":")[2])] for x in spans.split(",") if x]
+        assert found == parts
+    key = "auth=" + "eyJ0" * 225
+    masked = secrets.redact(frame(spark, [f"{key} login: bob", f"login: bob {key}"])).collect()
+    assert {r.text for r in masked} == {"[SECRET] [SECRET]"}
+
+
 def test_redaction_keeps_columns_and_clean_texts(spark, none):
     df = frame(spark, [*ODD, "x pwd=hunter2x user: bob é token=abcdefg!"])
     rows = {r.doc_id: r for r in secrets.redact(df).collect()}
