@@ -33,7 +33,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 tokens."""
+    """Pieces of the documents in sequences of at most 2048 tokens, described from the sequences' ids."""
     return packing.pack(docs)
 
 
@@ -49,9 +49,14 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
     """All stages, each written to the shared folder and read again."""
     docs = common.read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in stages:
         docs = common.settle(stage(spark, docs, sf_dir), name)
     return docs
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training sequences with their token ids, of all that the stages before packing keep."""
+    return packing.sequences(run(spark, sf_dir, STAGES[:-1]))

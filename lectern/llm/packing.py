@@ -11,6 +11,9 @@ class's running count of the workers before it and fills its bins independently.
 worker) are exchanged.  The last, unfinished bin of each class goes to one task, together fewer than
 six pieces per token of capacity whatever the input: first-fit-decreasing puts them into shared sequences.
 
+``sequences`` gives the packed sequences with their ids: places are found from lengths alone, then the ids join
+by a key of their piece and meet once by sequence.  ``pack`` describes the pieces inside those sequences.
+
 Cases: a null or empty text is one piece with the end token alone; an empty table gives no rows; texts of any
 length are cut into as many pieces as needed; repeated rows are packed like other rows; other columns are
 ignored.
@@ -25,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import common
@@ -44,6 +47,8 @@ ENCODED = 512
 JOINED = 256
 WORD_END = "</w>"
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
+SEQUENCES = "sequence_id long, ids binary, pieces array<struct<doc_id: long, start: long, length: long, doc_tokens: long, offset: long>>"
+ID_BYTES = 4
 
 
 def cuts(n: int, capacity: int = CAPACITY, tail_class: int = TAIL_CLASS) -> list[int]:
@@ -203,11 +208,41 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, workers: int | None = Non
     return whole.select(*names).unionByName(full.select(*names)).unionByName(fitted.select(*names))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Packed pieces: ``doc_id, start, length, doc_tokens, ids_crc32, sequence_id, offset``.
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sequences from pieces in the order of sequence and offset: the ids of a sequence lie side by side."""
+    for table, edges in common.group_blocks(batches, ["sequence_id"]):
+        column = {n: table[n].combine_chunks() for n in table.column_names}
+        ids = column["ids"]
+        _, offsets, data = ids.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        blob = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets[edges]), data])
+        names = ["doc_id", "start", "length", "doc_tokens", "offset"]
+        pieces = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([column[n] for n in names], names))
+        yield pa.record_batch([column["sequence_id"].take(pa.array(edges[:-1])), blob, pieces], ["sequence_id", "ids", "pieces"])
+
 
-    The ids of a piece are in ``tokenize_and_cut``; a writer joins them on (doc_id, start).
+def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """``sequence_id, ids, pieces``: the ids of every sequence (little-endian unsigned 32-bit, at most ``capacity``).
+
+    ``pieces`` says whose they are, by offset: ``doc_id, start, length, doc_tokens, offset``, counted in tokens.
     """
     pieces = tokenize_and_cut(docs, id_col, text_col, path, capacity, end_id)
-    light = common.settle(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
-    return place(light, capacity)
+    pieces = common.settle(pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    placed = place(pieces.drop("ids"), capacity).join(pieces.select("piece", "ids"), "piece").drop("piece")
+    return placed.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(_joined, SEQUENCES)
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """The pieces of ``sequences``: ``doc_id, start, length, doc_tokens, ids_crc32, sequence_id, offset``.
+
+    ``ids_crc32`` is taken from the ids at the piece's place in its sequence.
+    """
+    names = ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "sequence_id", "offset"]
+
+    def described(p: Column) -> Column:
+        ids = F.col("ids").substr((p.offset * ID_BYTES + 1).cast("int"), (p.length * ID_BYTES).cast("int"))
+        return F.struct(p.doc_id.alias("doc_id"), p.start.alias("start"), p.length.alias("length"), p.doc_tokens.alias("doc_tokens"), F.crc32(ids).alias("ids_crc32"), p.offset.alias("offset"))
+
+    packed = sequences(docs, id_col, text_col, path, capacity, end_id)
+    each = packed.select("sequence_id", F.transform("pieces", described).alias("pieces")).select("sequence_id", F.inline("pieces"))
+    return each.select(*names)

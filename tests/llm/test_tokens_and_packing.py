@@ -73,3 +73,28 @@ def test_small_capacity(spark):
     df = frame(spark, ["a b c d e f g h i j k"] * 7)
     rows = packing.pack(df, capacity=8).collect()
     assert sum(r.length for r in rows) == 7 * 12 and max(r.offset + r.length for r in rows) <= 8
+
+
+def test_sequences_hold_the_ids(spark, odd, documents, library):
+    # repeated and missing ids: pieces are told apart all the same
+    twice = odd.unionByName(odd.limit(5)).unionByName(odd.selectExpr("CAST(NULL AS long) AS doc_id", *odd.columns[1:]))
+    for df in (twice, documents):
+        docs, total = [], 0
+        for r in packing.sequences(df).collect():
+            ids, at = np.frombuffer(r.ids, "<u4").tolist(), 0
+            for p in r.pieces:
+                assert p.offset == at
+                docs.append((p.doc_id, p.doc_tokens, p.start, ids[at : at + p.length]))
+                at += p.length
+            assert at == len(ids) <= packing.CAPACITY
+            total += at
+        want = {}
+        for r in df.select("doc_id", "text").collect():
+            ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 1]
+            for start, n in zip(np.cumsum([0, *packing.cuts(len(ids))]), packing.cuts(len(ids)), strict=False):
+                key = (r.doc_id, len(ids), int(start), tuple(ids[start : start + n]))
+                want[key] = want.get(key, 0) + 1
+        got = {}
+        for d, n, start, ids in docs:
+            got[d, n, start, tuple(ids)] = got.get((d, n, start, tuple(ids)), 0) + 1
+        assert got == want and total == sum(len(k[3]) * n for k, n in want.items())
