@@ -6,7 +6,7 @@ Documents may be cut, so a document is cut into slices of exactly ``capacity //
 what is left) until at most ``capacity // TAIL_CLASS`` tokens remain: full bins of whole slices waste fewer
 than k tokens, and the rest is small enough that its class wastes little.
 
-Pieces are dealt to workers by a hash of their key; every worker numbers its pieces of a class from the
+Pieces are dealt to workers by a hash of their unique key; every worker numbers its pieces of a class from the
 class's running count of the workers before it and fills its bins independently.  Only counts by (class,
 worker) are exchanged.  The last, unfinished bin of each class goes to one task, together fewer than
 six pieces per token of capacity whatever the input: first-fit-decreasing puts them into shared sequences.
@@ -135,25 +135,26 @@ def id_cache(path: str) -> IdCache:
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, tail_class: int) -> Iterator[pa.RecordBatch]:
     cache = id_cache(path)
+    width = 2 if max(len(cache.ends_word), end_id + 1) <= 1 << 16 else ID_BYTES
     for batch, t in common.chunks(batches, size=2 << 20):
         w = common.words(t, cut=(common.ASCII_LETTER, common.SENTENCE_MARK))  # no token crosses such a cut
         ids, size = cache.look_up(t.data, w)
         per_doc = common.sums(size, w.first)
         first = np.cumsum(per_doc) - per_doc
         # the end token follows each document
-        ids = np.insert(ids, first + per_doc, end_id).astype("<u4")
+        ids = np.insert(ids, first + per_doc, end_id).astype(f"<u{width}")
         total = per_doc + 1
         first = np.cumsum(total) - total
         lengths = [cuts(int(n), capacity, tail_class) for n in total]
         owner = np.repeat(np.arange(len(total)), [len(x) for x in lengths])
         length = np.array([n for x in lengths for n in x], np.int64)
         begin = np.cumsum(length) - length
-        blob = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(np.append(begin * 4, len(ids) * 4).astype(np.int64)), pa.py_buffer(ids)])
+        blob = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer((np.append(begin, len(ids)) * width).astype(np.int64)), pa.py_buffer(ids)])
         yield pa.record_batch([batch.column("doc_id").take(pa.array(owner)), pa.array(begin - first[owner]), pa.array(length), pa.array(total[owner]), blob.cast(pa.binary())], ["doc_id", "start", "length", "doc_tokens", "ids"])
 
 
 def tokenize_and_cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, tail_class: int = TAIL_CLASS) -> DataFrame:
-    """Pieces of every document with their ids (little-endian unsigned 32-bit)."""
+    """Pieces of every document with their ids (little-endian unsigned: 16-bit if all ids of the vocabulary fit, else 32-bit)."""
     path = path or common.tokenizer_path(VOCABULARY)
     keyed = common.keyed_texts(docs, id_col, text_col)
     return keyed.mapInArrow(lambda b: _pieces(b, path, capacity, end_id, tail_class), PIECES)
@@ -161,8 +162,11 @@ def tokenize_and_cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _fit(frames: Iterator[pd.DataFrame], capacity: int) -> Iterator[pd.DataFrame]:
     """First-fit-decreasing over the bounded set of pieces in unfinished bins."""
-    frame = pd.concat(list(frames), ignore_index=True)
-    frame = frame.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], na_position="first", ignore_index=True)
+    some = list(frames)
+    if not some:
+        return
+    frame = pd.concat(some, ignore_index=True)
+    frame = frame.sort_values(["length", "piece"], ascending=[False, True], ignore_index=True)
     free = np.zeros(0, np.int64)
     bins = np.zeros(len(frame), np.int64)
     for i, n in enumerate(frame["length"].to_numpy()):
@@ -177,22 +181,32 @@ def _fit(frames: Iterator[pd.DataFrame], capacity: int) -> Iterator[pd.DataFrame
         yield frame
 
 
+def worker(workers: int) -> Column:
+    """The worker that a piece is dealt to."""
+    return F.pmod(F.xxhash64("piece"), F.lit(workers)).cast("int")
+
+
+def _alone(pieces: DataFrame, capacity: int) -> DataFrame:
+    """Pieces that are a sequence each, with their places."""
+    return pieces.where(F.col("length") * 2 > capacity).withColumns({"sequence_id": F.lit(WHOLE) + F.col("piece"), "offset": F.lit(0).cast("long")})
+
+
 def place(pieces: DataFrame, capacity: int = CAPACITY, workers: int | None = None) -> DataFrame:
-    """``pieces`` (settled, with ``doc_id, start, length``) plus ``sequence_id`` and ``offset``.
+    """``pieces`` (settled, with ``length`` and a unique ``piece``) plus ``sequence_id`` and ``offset``.
 
-    ``pieces`` is read more than once.  ``workers`` is the number of parts whose bins are filled apart; at most
+    ``pieces`` is read more than once, so places depend on its values alone: pieces are dealt and ordered by their
+    key, which repeated and null document ids don't tie.  ``workers`` is the number of parts whose bins are filled apart; at most
     4096, since their counts by class meet in one window per class.
     """
     spark = pieces.sparkSession
     workers = workers or min(4096, max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     classed = pieces.withColumn("_k", F.floor(F.lit(capacity) / F.col("length")).cast("int"))
-    whole = classed.where("_k = 1").withColumns({"sequence_id": F.lit(WHOLE) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    shared = classed.where("_k > 1").withColumn("_worker", F.pmod(F.xxhash64("doc_id", "start"), F.lit(workers)).cast("int"))
+    shared = classed.where("_k > 1").withColumn("_worker", worker(workers))
     counts = shared.groupBy("_k", "_worker").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_k").orderBy("_worker").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_k", "_worker", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("_k")).alias("_all"))
     # at most workers x classes rows
-    own = Window.partitionBy("_k", "_worker").orderBy("doc_id", "start", "length")
+    own = Window.partitionBy("_k", "_worker").orderBy("piece")
     ranked = shared.withColumn("_rank", F.row_number().over(own) - 1).join(F.broadcast(offsets), ["_k", "_worker"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).withColumn("_bin", F.floor(F.col("_rank") / F.col("_k")).cast("long"))
     in_full = F.col("_bin") < F.floor(F.col("_all") / F.col("_k"))
@@ -205,7 +219,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, workers: int | None = Non
     rest = ranked.where(~in_full).select(*pieces.columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", sequence_id long, offset long"
     fitted = rest.repartition(1).mapInPandas(lambda it: _fit(it, capacity), schema)
-    return whole.select(*names).unionByName(full.select(*names)).unionByName(fitted.select(*names))
+    return _alone(pieces, capacity).select(*names).unionByName(full.select(*names)).unionByName(fitted.select(*names))
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +229,11 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = column["ids"]
         _, offsets, data = ids.buffers()
         offsets = np.frombuffer(offsets, np.int32)[ids.offset : ids.offset + len(ids) + 1]
-        blob = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets[edges]), data])
+        begin = np.append(0, np.cumsum(column["length"].to_numpy()))
+        low, high = int(offsets[0]), int(offsets[-1])
+        width = (high - low) // int(begin[-1])
+        wide = np.frombuffer(data, np.uint8)[low:high].view(f"<u{width}").astype("<u4")
+        blob = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((begin[edges] * ID_BYTES).astype(np.int32)), pa.py_buffer(wide)])
         names = ["doc_id", "start", "length", "doc_tokens", "offset"]
         pieces = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([column[n] for n in names], names))
         yield pa.record_batch([column["sequence_id"].take(pa.array(edges[:-1])), blob, pieces], ["sequence_id", "ids", "pieces"])
@@ -227,9 +245,12 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     ``pieces`` says whose they are, by offset: ``doc_id, start, length, doc_tokens, offset``, counted in tokens.
     """
     pieces = tokenize_and_cut(docs, id_col, text_col, path, capacity, end_id)
-    pieces = common.settle(pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
-    placed = place(pieces.drop("ids"), capacity).join(pieces.select("piece", "ids"), "piece").drop("piece")
-    return placed.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(_joined, SEQUENCES)
+    pieces = common.settle(pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces", compression="zstd")
+    alone = _alone(pieces, capacity).drop("piece")
+    shared = pieces.where(F.col("length") * 2 <= capacity)
+    placed = place(shared.drop("ids"), capacity).join(shared.select("piece", "ids"), "piece").drop("piece")
+    placed = placed.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    return alone.mapInArrow(_joined, SEQUENCES).unionByName(placed.mapInArrow(_joined, SEQUENCES))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

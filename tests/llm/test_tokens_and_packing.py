@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lectern.llm import common, packing, token_counts
@@ -98,3 +99,14 @@ def test_sequences_hold_the_ids(spark, odd, documents, library):
         for d, n, start, ids in docs:
             got[d, n, start, tuple(ids)] = got.get((d, n, start, tuple(ids)), 0) + 1
         assert got == want and total == sum(len(k[3]) * n for k, n in want.items())
+
+
+def test_tied_pieces_have_one_place(spark):
+    # ids missing or all the same, in two orders of arrival
+    for doc_id in ("CAST(NULL AS long)", "5L"):
+        pieces = spark.range(3000).selectExpr("id AS piece", f"{doc_id} AS doc_id", "0L AS start", "CAST(id % 3 * 300 + 100 AS long) AS length", "900L AS doc_tokens")
+        one, other = (sorted((r.piece, r.sequence_id, r.offset) for r in packing.place(p, workers=8).collect()) for p in (pieces, pieces.orderBy("length", F.desc("piece"))))
+        assert one == other and len({p for p, *_ in one}) == len(one) == 3000
+        assert len({o[1:] for o in one}) == 3000
+    workers = pieces.select(packing.worker(8).alias("w")).groupBy("w").count().collect()
+    assert len(workers) == 8 and max(r["count"] for r in workers) < 600
