@@ -2,12 +2,14 @@
 
 Texts are sequences of words (runs of letters and digits, A-Z as a-z).  A window of a document is a hit if at
 most ``k`` words must be inserted, deleted or replaced to turn the item into it, with ``k`` a quarter of the
-item's words.  Windows of the item's size are embedded by the CGK random walk: at step j the walk writes the
+item's words.  An item is cut into equal parts of at most ``PART`` words, one of which has its share of the edits
+or less, and the parts are looked up one by one, so recall doesn't fall with the item's length.
+Windows of a part's size are embedded by the CGK random walk: at step j the walk writes the
 word it stands on and moves on if random bit j of that word says so, which turns a small edit distance into a
 small Hamming distance.  Bit sampling then compares ``SAMPLED`` places of the embeddings in each of ``TABLES``
-repetitions, and windows that agree with the item in any of them are verified by exact edit distance.
+repetitions, and where a window agrees with its part in any of them the item is verified by exact edit distance.
 
-Only windows that can be hits at all are embedded: an item of m words within k edits keeps at least
+Only windows of places that can be hits at all are embedded, at every word: an item of m words within k edits keeps at least
 m - q + 1 - q * k of its q-grams, on diagonals at most k apart.  This bound loses nothing.
 
 ``recall(distance share)`` is the chance of the sampling alone.  Items go to the tasks in groups of at most
@@ -36,6 +38,8 @@ LEAST_WORDS = 5
 EMBEDDINGS = 8
 TABLES = 256
 SAMPLED = 2
+#: Words embedded as one, at most; parts have at least half as many.
+PART = 64
 AT_ONCE = 20_000
 AT_ONCE_BYTES = 32 << 20
 HITS = "doc_id long, item_id long, distance int, item_words int, start_byte long, end_byte long"
@@ -66,13 +70,16 @@ class Items:
         three = self.length - 2 - 3 * self.edits
         self.q = np.where(three >= 1, 3, 2)
         self.least = np.where(three >= 1, three, self.length - 1 - 2 * self.edits)
+        self.parts = -(-self.length // PART)
+        self.part = self.length // self.parts
         draw = np.random.default_rng(seed)
-        longest = int(self.length.max(initial=0))
+        longest = int(self.part.max(initial=0))
         self.bit_seed = draw.integers(0, 2**63, (3 * longest, EMBEDDINGS), np.uint64)
         self.table_embedding = draw.integers(0, EMBEDDINGS, TABLES)
         self.table_place = draw.random((TABLES, SAMPLED))
         self.index = {q: self._indexed(q) for q in (2, 3)}
-        self.embedded = [self.embed(x[None, :]) for x in items]
+        # the words after the last whole part belong to none
+        self.embedded = [self.embed(x[: p * n].reshape(p, n)) for x, p, n in zip(items, self.parts, self.part, strict=True)]
 
     def _indexed(self, q: int) -> tuple[np.ndarray, ...] | None:
         rows = [i for i in range(len(self.items)) if self.q[i] == q]
@@ -102,11 +109,35 @@ class Items:
         return out
 
     def alike(self, item: int, windows: np.ndarray) -> np.ndarray:
-        """Windows whose embedding agrees with the item's in all sampled places of some table."""
-        mine, theirs = self.embedded[item][0], self.embed(windows)
-        place = (self.table_place * (2 * self.length[item])).astype(np.int64)
+        """Windows whose embedding agrees with that of the item's first part in all sampled places of some table."""
+        return self._agree(item, 0, self.embed(windows))
+
+    def _agree(self, item: int, part: int, theirs: np.ndarray) -> np.ndarray:
+        place = (self.table_place * (2 * self.part[item])).astype(np.int64)
         e = self.table_embedding[:, None]
-        return (theirs[:, e, place] == mine[e, place]).all(axis=2).any(axis=1)
+        return (theirs[:, e, place] == self.embedded[item][part][e, place]).all(axis=2).any(axis=1)
+
+    def alike_starts(self, item: int, h: np.ndarray, starts: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Which starts of the item, in order, have a window like one of its parts in the document ``h[low:high]``."""
+        n, begin = int(self.part[item]), np.arange(self.parts[item]) * self.part[item]
+        number = np.full(int(starts[-1] - starts[0]) + 1, -1)
+        number[starts - starts[0]] = np.arange(len(starts))
+        found = np.zeros(len(starts), bool)
+        block = max(1, _HELD // (2 * n * EMBEDDINGS + len(begin)))
+        end = min(high, int(starts[-1] + begin[-1]) + 1)
+        for lo in range(max(low, int(starts[0])), end, block):
+            at = np.arange(lo, min(lo + block, end))
+            shift = at[:, None] - begin - starts[0]
+            which = np.where((shift >= 0) & (shift < len(number)), number[np.clip(shift, 0, len(number) - 1)], -1)
+            asked = (which >= 0) & ~found[which]
+            some = asked.any(axis=1)
+            which, asked, place = which[some], asked[some], at[some][:, None] + np.arange(n)
+            theirs = self.embed(np.where(place < high, h[np.minimum(place, len(h) - 1)], np.uint64(0)))
+            for part in range(len(begin)):
+                row = np.flatnonzero(asked[:, part])
+                if len(row):
+                    found[which[row[self._agree(item, part, theirs[row])], part]] = True
+        return found
 
     def best(self, item: int, region: np.ndarray) -> tuple[int, int, int]:
         """Least edits between the item and any part of the region, and that part (the first such, from its end)."""
@@ -127,7 +158,7 @@ class Items:
         return row
 
     def candidates(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(document, item, window starts inside ``h``) that keep enough q-grams."""
+        """(document, item, places in ``h`` where the item may begin, also outside the document) that keep enough q-grams."""
         doc_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
         for q, index in self.index.items():
             if index is None or len(h) < q:
@@ -155,24 +186,17 @@ class Items:
             for a, b in zip(new, np.append(new[1:], len(i)), strict=True):
                 d, x = int(doc[i[a]]), int(item[i[a]])
                 k = self.edits[x]
-                low = np.maximum(start[j[a:b]] - k, first[d])
-                high = np.minimum(start[i[a:b]] + k, first[d + 1] - 1)
-                # the embedding bears a shift by a few words of a long item
-                marks = [np.arange(lo, hi + 1, max(1, int(k) // 8)) for lo, hi in zip(low, high, strict=True)]
-                yield d, x, np.unique(np.concatenate(marks))
+                low, high = start[j[a:b]] - k, start[i[a:b]] + k
+                # both ascend, so ranges that meet follow each other
+                apart = np.flatnonzero(low[1:] > high[:-1] + 1)
+                ranges = zip(low[np.append(0, apart + 1)], high[np.append(apart, len(high) - 1)], strict=True)
+                yield d, x, np.concatenate([np.arange(lo, hi + 1) for lo, hi in ranges])
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, item, edits, first word, last word + 1) of the best window."""
         for d, x, starts in self.candidates(h, first):
-            if not len(starts):  # the places lie before or after the document
-                continue
             m, k = int(self.length[x]), int(self.edits[x])
-            block = max(1, _HELD // (2 * m * EMBEDDINGS))
-            alike = []
-            for lo in range(0, len(starts), block):
-                place = starts[lo : lo + block, None] + np.arange(m)
-                alike.append(self.alike(x, np.where(place < first[d + 1], h[np.minimum(place, len(h) - 1)], np.uint64(0))))
-            starts = starts[np.concatenate(alike)]
+            starts = starts[self.alike_starts(x, h, starts, int(first[d]), int(first[d + 1]))]
             best = None
             for group in np.split(starts, np.flatnonzero(np.diff(starts) > m) + 1) if len(starts) else []:
                 low, high = max(int(group[0]) - k, int(first[d])), min(int(group[-1]) + m + 2 * k, int(first[d + 1]))

@@ -154,3 +154,28 @@ def test_sampling_recall():
         row[draw.choice(40, 10, replace=False)] = draw.integers(10**6, 10**9, 10)
     assert loaded.alike(0, windows).mean() >= 0.99
     assert common.hash_word(b"ab") != common.hash_word(b"ba") and decontaminate.recall(0.5) > 0.99
+
+
+def test_recall_of_long_items():
+    draw = np.random.default_rng(11)
+    fresh = iter(np.arange(1, 10**7, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    def words(n):
+        return np.array([next(fresh) for _ in range(n)], np.uint64)
+    found = {}
+    for m, trials in ((64, 12), (150, 12), (250, 12), (400, 8), (800, 4), (1000, 4)):
+        items = [words(m) for _ in range(trials)]
+        loaded = decontaminate.Items(np.arange(trials), items)
+        for kind in ("deleted", "spread deletions", "inserted", "spread insertions", "mixed", "one block deleted"):
+            texts = []
+            for item in items:
+                k = m // 4
+                at = np.arange(k) * 4 if "spread" in kind else np.arange(5, 5 + k) if "block" in kind else np.sort(draw.choice(m, k, replace=False))
+                for a in at[::-1]:
+                    how = draw.choice(["d", "i", "r"]) if kind == "mixed" else "d" if "delet" in kind else "i"
+                    item = np.concatenate([item[:a], words(how != "d"), item[a + (how != "i") :]])
+                texts.append(np.concatenate([words(m // 3), item, words(m // 2)]))
+            first = np.cumsum([0, *map(len, texts)])
+            hits = {(d, x): e for d, x, e, *_ in loaded.hits(np.concatenate(texts), first)}
+            assert set(hits) <= {(i, i) for i in range(trials)} and all(e <= m // 4 for e in hits.values())
+            found[m, kind] = len(hits) / trials
+    assert min(found.values()) >= 0.9 and np.mean(list(found.values())) >= 0.99, found
