@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import common, decontaminate, embeddings, language_id, lm_score, minhash, packing, secrets, suffix_dedup, token_counts, toxicity
+from lectern.llm import alignment, common, decontaminate, embeddings, language_id, lm_score, minhash, packing, secrets, suffix_dedup, token_counts, toxicity
 
 SQL: dict[str, str] = {}
 
@@ -69,6 +69,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(common.read(spark, sf_dir, "documents"))
 
 
+def op13_merge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(common.read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_token_counts": op10_token_counts,
+    "op13_merge_path": op13_merge_path,
     "pipeline": corpus_pipeline.run,
 }
 
