@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import alignment, common, decontaminate, embeddings, language_id, lm_score, minhash, packing, secrets, suffix_dedup, token_counts, toxicity
+from lectern.llm import alignment, common, decontaminate, embeddings, language_id, licences, lm_score, minhash, packing, secrets, suffix_dedup, token_counts, toxicity
 
 SQL: dict[str, str] = {}
 
@@ -69,6 +69,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(common.read(spark, sf_dir, "documents"))
 
 
+def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("matches", lambda m: m.kind == "base")
+    places = F.transform(base, lambda m: m.first_word)
+    return licences.scan(common.read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(places).alias("first_word"),
+        F.array_max(places).alias("last_word"), licences.labels(base).alias("base_labels"), licences.labels(F.col("matches")).alias("labels"),
+        licences.freedom(F.col("matches")).alias("score"),
+    )
+
+
 def op13_merge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(common.read(spark, sf_dir, "documents"))
 
@@ -84,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_token_counts": op10_token_counts,
+    "op12_licences": op12_licences,
     "op13_merge_path": op13_merge_path,
     "pipeline": corpus_pipeline.run,
 }
