@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import alignment, common, decontaminate, embeddings, language_id, licences, lm_score, minhash, packing, secrets, suffix_dedup, token_counts, toxicity
+from lectern.llm import alignment, common, decontaminate, embeddings, language_id, licences, lm_score, minhash, packing, prefix_trie, secrets, suffix_dedup, token_counts, toxicity
 
 SQL: dict[str, str] = {}
 
@@ -69,6 +69,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(common.read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(common.read(spark, sf_dir, "conversations")).drop("hi", "lo")
+
+
 def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("matches", lambda m: m.kind == "base")
     places = F.transform(base, lambda m: m.first_word)
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_token_counts": op10_token_counts,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_licences": op12_licences,
     "op13_merge_path": op13_merge_path,
     "pipeline": corpus_pipeline.run,
@@ -129,3 +134,26 @@ SELECT v.vec_id, coalesce(n, 0) AS n_links, least(v.vec_id, coalesce(m, v.vec_id
   v.vec_id <= coalesce(m, v.vec_id) AS kept
 FROM v LEFT JOIN low ON low.a = v.vec_id LEFT JOIN degree ON degree.a = v.vec_id
 """
+
+#: The checksum is a fold over the digits' bits; subtree sums go to every prefix of the smallest member.
+SQL["op11_prefix_trie"] = """
+WITH t AS (SELECT conv_id, coalesce(text, '') AS x, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS s, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, x, s, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, s) - 1 AS p FROM t),
+c AS (SELECT conv_id AS c, count(*) AS n, conv_id - conv_id % 100 AS b,
+  xor(list_reduce([4294967295::BIGINT] || flatten([[ascii(ch)::BIGINT] || [-1::BIGINT for _ in range(8)] for ch in string_split(conv_id::VARCHAR, '')]),
+    lambda a, d: CASE WHEN d >= 0 THEN xor(a, d) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 6 AS h FROM o GROUP BY conv_id),
+k AS (SELECT c.*, least(c.h, coalesce(base.n, 0)) AS k FROM c LEFT JOIN c base ON base.c = c.b),
+r AS (SELECT k.c, o.p AS p, s, x FROM k JOIN o ON o.conv_id = k.b AND o.p < k.h
+  UNION ALL SELECT k.c, o.p - k.h + k.k, s, x FROM k JOIN o ON o.conv_id = k.c AND o.p >= k.h),
+m AS (SELECT c, p + 1 AS d, string_agg(s, '') OVER (PARTITION BY c ORDER BY p) AS path, length(x) AS chars FROM r UNION ALL SELECT c, 0, '', 0 FROM k),
+depth AS (SELECT c, max(d) AS ends FROM m GROUP BY c),
+node AS (SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+  coalesce(string_agg(CASE WHEN d = ends THEN c::VARCHAR END, ',' ORDER BY c), '') AS ids FROM m JOIN depth USING (c) GROUP BY d, path),
+child AS (SELECT d - 1 AS d, path[:-33] AS path, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+below AS (SELECT up.d, up.path, count(*) FILTER (WHERE child.n IS NULL) AS leaves, sum((node.n_convs - 1) * node.chars) AS saved
+  FROM node LEFT JOIN child USING (d, path) JOIN m up ON up.c = node.conv_id AND up.d <= node.d GROUP BY up.d, up.path)
+SELECT node.conv_id, node.d AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(child.n, 0) AS n_children, below.leaves AS n_leaves,
+  CAST(below.saved AS BIGINT) AS saved_tokens, sha256(node.ids) AS ends_sha256
+FROM node JOIN below USING (d, path) LEFT JOIN child USING (d, path) LEFT JOIN node up ON up.d = node.d - 1 AND up.path = node.path[:-33]
+"""
