@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import skew
+from lectern.operators import phrases, skew
+from lectern.session import settled
 
 # Markers, command words, weights and limits.
 NAVIGATION_MARKERS = (
@@ -19,11 +22,16 @@ DIFFICULTY = {
     "beginner": "BEGINNER", "intermediate": "INTERMEDIATE", "advanced": "ADVANCED",
 }
 PAGE_BUCKET = 16
-TOPIC_ROWS = 5_000
 PAPER_LIMIT, STYLE_LIMIT, MARKING_LIMIT = 2, 6, 4
 SLOT_MARKS = (1, 2, 3, 3, 4, 4, 4, 4)
 SLOT_TYPES = ("MCQ", "SHORT_ANSWER", "SHORT_ANSWER", "SHORT_ANSWER", "LONG_ANSWER", "LONG_ANSWER", "LONG_ANSWER", "LONG_ANSWER")
 PDF_OFFSET = {"O_LEVEL": 12, "A_LEVEL": 8}
+SCOPED_QUERY = (". Chapter: ", ". Topic: ", ". Required concepts: ", ".")
+STYLE_PATTERN = "Cambridge question-style pattern. Command words: "
+STYLE_NO_COMMAND = "structured response"
+STYLE_MARKS = ". Displayed marks: "
+STYLE_NO_MARKS = "not parsed"
+STYLE_END = ". Use only its command-word and response-shape pattern; its original subject matter is intentionally omitted."
 
 
 # --- topic dimension -----------------------------------------------------------------------------------
@@ -111,10 +119,8 @@ def syllabus_evidence(topics: DataFrame, chunks: DataFrame, limit: int = 3) -> D
 
 
 def scoped_query(purpose: Column, chapter: Column, topic: Column, terms: Column) -> Column:
-    return T.strip(F.concat(
-        purpose, F.lit(". Chapter: "), chapter, F.lit(". Topic: "), topic, F.lit(". Required concepts: "),
-        F.array_join(terms, ", "), F.lit("."),
-    ))
+    before_chapter, before_topic, before_terms, end = map(F.lit, SCOPED_QUERY)
+    return T.strip(F.concat(purpose, before_chapter, chapter, before_topic, topic, before_terms, F.array_join(terms, ", "), end))
 
 
 # --- scoring -----------------------------------------------------------------------------------------------
@@ -134,79 +140,93 @@ def is_navigation(document_type: Column, page: Column, text: Column) -> Column:
 
 
 CHUNK_FIELDS = ("chunk_id", "document_id", "document_type", "page_start", "content_type", "text", "marks")
+TOPICAL = ("TEXTBOOK", "QUESTION_PAPER")
 
 
-def _topic_score(strict: Column, ranged: Column) -> Column:
-    """Relevance of a (topic, chunk) pair that passed the type, navigation and page checks; -1 rejects.
+class TopicIndex(NamedTuple):
+    """Chunks that may be evidence, read and checked once, and the pieces of the topical ones.
 
-    Reads ``phrases, wanted`` of the topic and ``_low, _toks, _opening`` of the chunk, which were
-    computed once per row before the join.
+    ``rows``: ``CHUNK_FIELDS``, ``level``, ``opening`` (lower-cased, 240 characters), ``has_task``.
+    ``words``: ``level, document_type, chunk_id, page_start, word, n``.
     """
-    text = F.col("_low")
-    exact = F.aggregate("phrases", F.lit(0), lambda a, p: a + F.least(T.count_occurrences(text, p), F.lit(5)))
-    heading = F.exists("phrases", lambda p: (F.length(p) > 3) & F.contains(F.col("_opening"), p))
+
+    rows: DataFrame
+    words: DataFrame
+
+
+def topic_index(chunks: DataFrame) -> TopicIndex:
+    """The index tables of a chunk table, written to the shared folder."""
+    fields = [c if c in chunks.columns else F.lit(None).cast("int").alias(c) for c in CHUNK_FIELDS]
+    low = F.lower("text")
     task = F.lit(False)
     for word in TASK_WORDS:
-        task = task | F.contains(text, F.lit(word))
-    is_paper = F.col("document_type") == "QUESTION_PAPER"
-
-    def total(parts: Column) -> Column:
-        open_scope = (F.col("document_type") != "TEXTBOOK") | ~ranged
-        reject = (is_paper & (parts["exact"] == 0)) | (
-            open_scope & (parts["exact"] == 0) & (strict | (parts["shared"] < 1))
-        )
-        score = (
-            parts["exact"] * 8.0 + parts["shared"] + F.when(heading, 5.0).otherwise(0.0)
-            + F.when(F.col("content_type") == "PARENT_CONTEXT", 0.5).otherwise(2.0)
-            + F.when(is_paper & task, 2.0).otherwise(0.0)
+        task = task | F.contains(low, F.lit(word))
+    navigation = is_navigation(F.col("document_type"), F.col("page_start"), F.col("text"))
+    kept = (F.col("document_type").isin(*TOPICAL) & ~navigation) | F.col("document_type").isin("MARK_SCHEME", "EXAMINER_REPORT")
+    rows = settled(chunks.filter(kept).select(
+        "level", *fields, F.regexp_replace(F.substring(low, 1, 240), rf"{T.WS}+", " ").alias("opening"), task.alias("has_task"),
+    ), "topic_rows")
+    topical = rows.filter(F.col("document_type").isin(*TOPICAL)).withColumn("_low", F.lower("text"))
+    words = settled(phrases.postings(topical, "_low", "level", "document_type", "chunk_id", "page_start"), "topic_words")
+    return TopicIndex(rows, words)
+
+
+def topic_scores(topics: DataFrame, index: TopicIndex, document_types: tuple[str, ...] = TOPICAL) -> DataFrame:
+    """Scored ``(topic_id, document_type, chunk_id, document_id, page_start, score)`` of topics and chunks of their level.
+
+    Phrases come from the index of pieces, shared terms from an equi-join on the term, and textbook topics with a
+    page range meet all their pages through (level, page bucket); the three are added up by pair.  Papers need a
+    phrase; textbook chunks of a topic without a range need a phrase, or a shared term unless the topic is strict.
+    """
+    by_type = {"TEXTBOOK": ("content_phrases", "pdf_page_start", "pdf_page_end"), "QUESTION_PAPER": ("paper_phrases", None, None)}
+    asked = None
+    for kind in document_types:
+        source, start, end = by_type[kind]
+        page = lambda c: (F.col(c) if c else F.lit(None)).cast("int")
+        one = topics.select(
+            "topic_id", "level", F.lit(kind).alias("document_type"), F.transform(source, F.lower).alias("phrases"),
+            "strict_phrases", page(start).alias("_from"), page(end).alias("_to"),
         )
-        return F.when(reject, F.lit(-1.0)).otherwise(score)
+        asked = one if asked is None else asked.unionByName(one)
+    rows = index.rows.filter(F.col("document_type").isin(*document_types))
+    pair, scope = ["topic_id", "document_type", "chunk_id"], ["topic_id", "level", "document_type", "_from", "_to"]
+    in_range = F.col("_from").isNull() | F.col("page_start").between(F.col("_from"), F.col("_to"))
+
+    listed = asked.select(*scope, F.explode("phrases").alias("phrase")).groupBy(*scope, "phrase").agg(F.count("*").alias("listed"))
+    words = index.words.filter(F.col("document_type").isin(*document_types))
+    found = phrases.occurrences(listed, words, rows.withColumn("_low", F.lower("text")), ["level", "document_type"], "chunk_id", "_low", in_range)
+    exact = found.select(*pair, (F.col("listed") * F.least("n", F.lit(5))).alias("exact"), F.lit(0).alias("shared"))
+
+    wanted = asked.select(*scope, F.explode(F.array_distinct(F.filter(
+        F.flatten(F.transform("phrases", T.tokens)), lambda t: F.length(t) > 2))).alias("token"))
+    tokens = rows.select("level", "document_type", "chunk_id", "page_start", F.explode(T.token_set(F.lower("text"))).alias("token"))
+    shared = tokens.join(wanted, ["level", "document_type", "token"]).filter(in_range).select(
+        *pair, F.lit(0).alias("exact"), F.lit(1).alias("shared"))
 
-    return T.let(F.struct(exact.alias("exact"), T.overlap(F.col("wanted"), F.col("_toks")).alias("shared")), total)
+    bucket = lambda c: F.floor(F.col(c) / PAGE_BUCKET).cast("int")
+    ranged = asked.filter(F.col("_from").isNotNull()).withColumn("_bucket", F.explode(F.sequence(bucket("_from"), bucket("_to"))))
+    paged = rows.select("level", "document_type", "chunk_id", "page_start", bucket("page_start").alias("_bucket"))
+    placed = paged.join(ranged, ["level", "document_type", "_bucket"]).filter(in_range).select(
+        *pair, F.lit(0).alias("exact"), F.lit(0).alias("shared"))
+
+    pairs = exact.unionByName(shared).unionByName(placed).groupBy(*pair).agg(F.sum("exact").alias("exact"), F.sum("shared").alias("shared"))
+    known = pairs.join(asked.drop("level"), ["topic_id", "document_type"])
+    enough = (F.col("exact") > 0) | F.col("_from").isNotNull() | ((F.col("document_type") == "TEXTBOOK") & ~F.col("strict_phrases"))
+    light = rows.select("chunk_id", "document_id", "page_start", "content_type", "opening", "has_task")
+    heading = F.exists("phrases", lambda p: (F.length(p) > 3) & F.contains(F.col("opening"), p))
+    score = (
+        F.col("exact") * 8.0 + F.col("shared") + F.when(heading, 5.0).otherwise(0.0)
+        + F.when(F.col("content_type") == "PARENT_CONTEXT", 0.5).otherwise(2.0)
+        + F.when((F.col("document_type") == "QUESTION_PAPER") & F.col("has_task"), 2.0).otherwise(0.0)
+    )
+    return known.filter(enough).join(light, "chunk_id").select(*pair, "document_id", "page_start", score.alias("score"))
 
 
 def topic_candidates(topics: DataFrame, chunks: DataFrame, document_type: str) -> DataFrame:
-    """Scored ``(topic_id, chunk)`` pairs of one document type.
-
-    Textbook topics with a page range meet their pages through an equi-join on (level, page bucket).
-    Otherwise the level is the key and pairs without a phrase or shared term are dropped inside the
-    join.  The topic catalogue is broadcast when it is checked to be small.
-    """
-    phrases = "paper_phrases" if document_type == "QUESTION_PAPER" else "content_phrases"
-    dimension = topics.select(
-        "topic_id", "level", F.transform(phrases, F.lower).alias("phrases"), "strict_phrases",
-        F.col("pdf_page_start").alias("_from"), F.col("pdf_page_end").alias("_to"),
-    ).withColumn(
-        "wanted", F.array_distinct(F.filter(F.flatten(F.transform("phrases", T.tokens)), lambda t: F.length(t) > 2))
-    )
-    fields = [c if c in chunks.columns else F.lit(None).cast("int").alias(c) for c in CHUNK_FIELDS]
-    low = F.lower("text")
-    rows = chunks.filter(F.col("document_type") == document_type).filter(
-        ~is_navigation(F.col("document_type"), F.col("page_start"), F.col("text"))
-    ).select(
-        "level", *fields, low.alias("_low"), T.token_set(low).alias("_toks"),
-        F.regexp_replace(F.substring(low, 1, 240), rf"{T.WS}+", " ").alias("_opening"),
-    )
-    bucket = lambda c: F.floor(F.col(c) / PAGE_BUCKET).cast("int")
-    if document_type == "TEXTBOOK":
-        ranged = dimension.filter(F.col("_from").isNotNull()).withColumn(
-            "_bucket", F.explode(F.sequence(bucket("_from"), bucket("_to")))
-        )
-        in_range = rows.withColumn("_bucket", bucket("page_start")).join(
-            skew.maybe_broadcast(ranged, TOPIC_ROWS), ["level", "_bucket"]
-        ).filter(F.col("page_start").between(F.col("_from"), F.col("_to"))).drop("_bucket")
-        free = dimension.filter(F.col("_from").isNull())
-    else:
-        in_range, free = None, dimension
-    small = skew.maybe_broadcast(free.withColumnRenamed("level", "_level"), TOPIC_ROWS)
-    mentions = F.exists("phrases", lambda p: F.contains(F.col("_low"), p))
-    if document_type != "QUESTION_PAPER":
-        mentions = F.arrays_overlap("wanted", "_toks") | mentions
-    by_level = rows.join(small, (F.col("level") == F.col("_level")) & mentions).drop("_level")
-    pairs = by_level if in_range is None else in_range.unionByName(by_level)
-    score = _topic_score(F.col("strict_phrases"), F.col("_from").isNotNull())
-    scored = pairs.select("topic_id", *CHUNK_FIELDS, F.explode_outer(F.array(score)).alias("score"))
-    return scored.filter(F.col("score") >= 0)
+    """Scored ``(topic_id, chunk)`` pairs of one document type, with the chunk's fields."""
+    index = topic_index(chunks.filter(F.col("document_type") == document_type))
+    scored = topic_scores(topics, index, (document_type,)).select("topic_id", "chunk_id", "score")
+    return scored.join(index.rows, "chunk_id").select("topic_id", *CHUNK_FIELDS, "score")
 
 
 def diverse_top(scored: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -240,7 +260,7 @@ def style_candidates(chunks: DataFrame, limit: int = STYLE_LIMIT) -> DataFrame:
         F.col("document_type"), F.col("page_start"), F.col("text")))
     found = rows.withColumns({"_n": F.size(commands_in(F.lower("text"))), "_size": size}).filter((F.col("_n") > 0) & (F.col("_size") >= 12))
     score = F.col("_n") * 4.0 + F.least(F.coalesce("marks", F.lit(0)), F.lit(6)) + F.least(F.col("_size"), F.lit(180)) / 180.0
-    return diverse_top(found.withColumn("score", score).drop("_n", "_size"), ["level"], limit)
+    return diverse_top(found.select("chunk_id", "document_id", "page_start", "level", score.alias("score")), ["level"], limit)
 
 
 def marking_candidates(chunks: DataFrame, limit: int = MARKING_LIMIT) -> DataFrame:
@@ -248,17 +268,15 @@ def marking_candidates(chunks: DataFrame, limit: int = MARKING_LIMIT) -> DataFra
     size = T.token_count("text")
     rows = chunks.filter(F.col("document_type").isin("MARK_SCHEME", "EXAMINER_REPORT")).withColumn("_size", size).filter(F.col("_size") >= 8)
     score = F.when(F.col("document_type") == "MARK_SCHEME", 3.0).otherwise(2.0) + F.least(F.col("_size"), F.lit(180)) / 180.0
-    return diverse_top(rows.withColumn("score", score).drop("_size"), ["level"], limit)
+    return diverse_top(rows.select("chunk_id", "document_id", "page_start", "level", score.alias("score")), ["level"], limit)
 
 
 def style_projection(text: Column, marks: Column) -> Column:
     """Command words and marks of a task, without its subject matter."""
     found = F.array_join(commands_in(text), ", ")
-    shown = F.when(F.coalesce(marks, F.lit(0)) > 0, marks.cast("string")).otherwise("not parsed")
+    shown = F.when(F.coalesce(marks, F.lit(0)) > 0, marks.cast("string")).otherwise(STYLE_NO_MARKS)
     return F.concat(
-        F.lit("Cambridge question-style pattern. Command words: "), F.coalesce(T.non_blank(found), F.lit("structured response")),
-        F.lit(". Displayed marks: "), shown,
-        F.lit(". Use only its command-word and response-shape pattern; its original subject matter is intentionally omitted."),
+        F.lit(STYLE_PATTERN), F.coalesce(T.non_blank(found), F.lit(STYLE_NO_COMMAND)), F.lit(STYLE_MARKS), shown, F.lit(STYLE_END)
     )
 
 
@@ -269,68 +287,54 @@ def topic_limit(n_topics: Column) -> Column:
     return F.greatest(F.lit(2), F.least(F.lit(6), F.floor(F.lit(18) / F.greatest(F.lit(1), n_topics)).cast("int")))
 
 
-def build(requests: DataFrame, topics: DataFrame, chunks: DataFrame, syllabus: DataFrame | None = None) -> DataFrame:
+def build(requests: DataFrame, topics: DataFrame, chunks: DataFrame | TopicIndex, syllabus: DataFrame | None = None) -> DataFrame:
     """Merged evidence rows per request: ``(request_id, position, chunk_id, role, topic_ids, …)``.
 
     ``requests``: request_id, level, topic_ids.  Topic scores are computed once per topic, however many
-    requests select it.
+    requests select it, over an index that reads the chunks once.  Texts join the winners at the end.
     """
+    index = chunks if isinstance(chunks, TopicIndex) else topic_index(chunks)
     selected = requests.select(
         "request_id", topic_limit(F.size("topic_ids")).alias("_limit"), F.posexplode("topic_ids").alias("topic_pos", "topic_id")
     )
-    book = diverse_top(topic_candidates(topics, chunks, "TEXTBOOK"), ["topic_id"], 6)
-    paper = diverse_top(topic_candidates(topics, chunks, "QUESTION_PAPER"), ["topic_id"], PAPER_LIMIT)
+    scored = diverse_top(topic_scores(topics, index), ["topic_id", "document_type"], 6)
     if syllabus is None:
         evidence = topics.select("topic_id", F.array().cast("array<string>").alias("syllabus_ids"))
     else:
         evidence = syllabus.groupBy("topic_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("syllabus_ids"))
-
-    def scoped(rows: DataFrame, role: str, step: int) -> DataFrame:
-        joined = rows.join(selected, "topic_id").join(evidence, "topic_id", "left")
-        if step == 0:
-            joined = joined.filter(F.col("place") <= F.col("_limit"))
-        return joined.select(
-            "request_id", F.struct(F.lit(0).alias("lane"), "topic_pos", F.lit(step).alias("step"), "place").alias("pos"),
-            *CHUNK_FIELDS, F.lit(role).alias("role"), F.array("topic_id").alias("topic_ids"),
-            F.coalesce("syllabus_ids", F.array().cast("array<string>")).alias("syllabus_ids"),
-        )
+    empty = F.array().cast("array<string>")
+    book = F.col("document_type") == "TEXTBOOK"
+    scoped = scored.join(selected, "topic_id").join(evidence, "topic_id", "left").filter(
+        F.col("place") <= F.when(book, F.col("_limit")).otherwise(PAPER_LIMIT)
+    ).select(
+        "request_id", F.struct(F.lit(0).alias("lane"), "topic_pos", F.when(book, 0).otherwise(1).alias("step"), "place").alias("pos"), "chunk_id",
+        F.when(book, "TEXTBOOK_CONTENT").otherwise("PAST_PAPER_STYLE").alias("role"), F.array("topic_id").alias("topic_ids"),
+        F.coalesce("syllabus_ids", empty).alias("syllabus_ids"),
+    )
 
     def general(rows: DataFrame, role: str, lane: int) -> DataFrame:
-        empty = F.array().cast("array<string>")
         return rows.join(requests.select("request_id", "level"), "level").select(
-            "request_id",
-            F.struct(F.lit(lane).alias("lane"), F.lit(0).alias("topic_pos"), F.lit(0).alias("step"), "place").alias("pos"),
-            *CHUNK_FIELDS, F.lit(role).alias("role"), empty.alias("topic_ids"), empty.alias("syllabus_ids"),
+            "request_id", F.struct(F.lit(lane).alias("lane"), F.lit(0).alias("topic_pos"), F.lit(0).alias("step"), "place").alias("pos"), "chunk_id",
+            F.lit(role).alias("role"), empty.alias("topic_ids"), empty.alias("syllabus_ids"),
         )
 
-    everything = (
-        scoped(book, "TEXTBOOK_CONTENT", 0)
-        .unionByName(scoped(paper, "PAST_PAPER_STYLE", 1))
-        .unionByName(general(style_candidates(chunks), "PAST_PAPER_STYLE", 1))
-        .unionByName(general(marking_candidates(chunks), "MARKING_PATTERN", 2))
+    merged = merge(
+        scoped.unionByName(general(style_candidates(index.rows), "PAST_PAPER_STYLE", 1))
+        .unionByName(general(marking_candidates(index.rows), "MARKING_PATTERN", 2))
     )
-    return merge(everything)
+    shown = F.when(F.col("role") == "PAST_PAPER_STYLE", style_projection(F.col("text"), F.col("marks"))).otherwise(F.col("text"))
+    texts = index.rows.select("chunk_id", "document_id", "document_type", "page_start", "text", "marks")
+    return merged.join(texts, "chunk_id").withColumn("text", shown)
 
 
 def merge(rows: DataFrame) -> DataFrame:
-    """One row per (request, chunk): the first occurrence, with the union of topic and syllabus ids."""
+    """One row per (request, chunk): the role of the first occurrence, the union of topic and syllabus ids, its position."""
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     merged = rows.groupBy("request_id", "chunk_id").agg(
-        F.min("pos").alias("pos"),
-        F.min_by(F.struct("document_id", "document_type", "page_start", "text", "marks", "role"), "pos").alias("_row"),
-        union("topic_ids").alias("topic_ids"),
-        union("syllabus_ids").alias("syllabus_ids"),
+        F.min("pos").alias("pos"), F.min_by("role", "pos").alias("role"), union("topic_ids").alias("topic_ids"), union("syllabus_ids").alias("syllabus_ids"),
     )
     order = Window.partitionBy("request_id").orderBy("pos")
-    projected = F.when(
-        F.col("role") == "PAST_PAPER_STYLE", style_projection(F.col("text"), F.col("marks"))
-    ).otherwise(F.col("text"))
-    return (
-        merged.select("request_id", "chunk_id", "pos", "_row.*", "topic_ids", "syllabus_ids")
-        .withColumn("text", projected)
-        .withColumn("position", F.row_number().over(order))
-        .drop("pos")
-    )
+    return merged.withColumn("position", F.row_number().over(order)).drop("pos")
 
 
 def lane_counts(evidence: DataFrame) -> DataFrame:

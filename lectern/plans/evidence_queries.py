@@ -48,16 +48,22 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
 
 LONG_WORDS = (f"list_sort(list_distinct(list_filter(list_transform({Q.words('text')}, "
               "lambda w: lower(regexp_replace(w, '[.,]+$', ''))), lambda w: length(w) > 5)))")
-SCOPE = f"""{Q.CHUNKS},
+TOPICS_T = f"""SELECT 't' || item_id AS topic_id, item_id, CASE WHEN item_id % 2 = 0 THEN 'O_LEVEL' ELSE 'A_LEVEL' END AS level,
+   CASE WHEN item_id % 4 <> 3 THEN 11 + item_id % 3 END AS p_from, CASE WHEN item_id % 4 <> 3 THEN 13 + item_id % 3 END AS p_to,
+   {LONG_WORDS} AS phrases, item_id % 7 = 0 AS strict FROM benchmark"""
+OPENINGS_T = f"""SELECT 't' || item_id AS topic_id, item_id, CASE WHEN item_id % 2 = 0 THEN 'O_LEVEL' ELSE 'A_LEVEL' END AS level,
+   NULL::INTEGER AS p_from, NULL::INTEGER AS p_to, [lower(array_to_string({Q.words('text')}[1:2], ' '))] AS phrases, true AS strict FROM benchmark"""
+
+
+def scope_sql(topics_sql: str) -> str:
+    return f"""{Q.CHUNKS},
 ev AS (SELECT chunk_id, document_id, document_type, level, content_type, text, lower(text) AS low, token_count,
    page_start + CASE WHEN document_type = 'TEXTBOOK' THEN 10 ELSE 5 END AS page,
    lower(regexp_replace(left(text, 220), '{Q.WS}+', ' ', 'g')) AS opening FROM chunks_t WHERE content_type <> 'PARENT_CONTEXT'),
 nav AS (SELECT *, list_distinct({Q.tokens('text')}) AS toks FROM ev WHERE NOT (contains(opening, 'contents') OR contains(opening, 'index') OR contains(opening, 'isbn')
    OR contains(opening, 'acknowledgements') OR contains(opening, 'endorsed for')) AND NOT (document_type = 'TEXTBOOK' AND page BETWEEN 1 AND 10)
    AND NOT (page <= 5 AND token_count < 180)),
-topics_t AS (SELECT 't' || item_id AS topic_id, item_id, CASE WHEN item_id % 2 = 0 THEN 'O_LEVEL' ELSE 'A_LEVEL' END AS level,
-   CASE WHEN item_id % 4 <> 3 THEN 11 + item_id % 3 END AS p_from, CASE WHEN item_id % 4 <> 3 THEN 13 + item_id % 3 END AS p_to,
-   {LONG_WORDS} AS phrases, item_id % 7 = 0 AS strict FROM benchmark),
+topics_t AS ({topics_sql}),
 pair AS (SELECT t.topic_id, t.phrases, t.strict, t.p_from, n.*,
    CAST(list_sum(list_transform(t.phrases, lambda p: least(5, (length(n.low) - length(replace(n.low, p, ''))) // length(p)))) AS BIGINT) AS exact,
    len(list_intersect(list_distinct(list_filter(flatten(list_transform(t.phrases, lambda p: {Q.tokens('p')})), lambda x: length(x) > 2)), n.toks)) AS shared,
@@ -73,13 +79,15 @@ div_t AS (SELECT *, row_number() OVER (PARTITION BY topic_id, document_type ORDE
 """
 
 
+SCOPE = scope_sql(TOPICS_T)
+
+
 @query("topic_evidence", f"""
 WITH {SCOPE}
 SELECT topic_id, chunk_id, document_type, round(score, 6)::DOUBLE AS score FROM scored""")
 def topic_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    t, c = topics(spark, sf), chunks(spark, sf)
-    both = evidence.topic_candidates(t, c, "TEXTBOOK").unionByName(evidence.topic_candidates(t, c, "QUESTION_PAPER"))
-    return rounded(both.select("topic_id", "chunk_id", "document_type", "score"))
+    scored = evidence.topic_scores(topics(spark, sf), evidence.topic_index(chunks(spark, sf)))
+    return rounded(scored.select("topic_id", "chunk_id", "document_type", "score"))
 
 
 @query("diverse_topk", f"""
@@ -90,7 +98,21 @@ def diverse_topk(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evidence.diverse_top(found, ["topic_id"], 6).select("topic_id", "chunk_id", "place", "score"))
 
 
-MERGE = f"""{SCOPE},
+SYLLABUS_TOP = """
+sy AS (SELECT level, chunk_id, text, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]{3,}'), lambda x: lower(x))) AS terms FROM chunks_t
+   WHERE document_type = 'SYLLABUS' AND content_type <> 'PARENT_CONTEXT'),
+w AS (SELECT item_id, %s AS ws FROM benchmark),
+tp AS (SELECT 't' || item_id AS topic_id, CASE WHEN item_id %% 2 = 0 THEN 'O_LEVEL' ELSE 'A_LEVEL' END AS level,
+   array_to_string(ws[1:6], ' ') AS name, array_to_string(ws[7:12], ' ') AS chapter FROM w),
+tt AS (SELECT topic_id, level, list_filter(list_distinct(list_transform(regexp_extract_all(name, '[A-Za-z]{3,}'), lambda x: lower(x))), lambda x: NOT list_contains(['and','the','for','with','its','use','uses','level','concept','concepts'], x)) AS a,
+   list_filter(list_distinct(list_transform(regexp_extract_all(chapter, '[A-Za-z]{3,}'), lambda x: lower(x))), lambda x: NOT list_contains(['and','the','for','with','its','use','uses','level','concept','concepts'], x)) AS b FROM tp),
+sc AS (SELECT topic_id, chunk_id, text, a, len(list_intersect(a, terms)) * 5 + len(list_intersect(b, terms)) AS score FROM tt JOIN sy USING (level) WHERE len(list_intersect(a, terms)) > 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, chunk_id) AS place FROM sc QUALIFY place <= 3)""" % Q.words("text")
+
+
+def merge_sql(scope: str) -> str:
+    return f"""{scope}, {SYLLABUS_TOP},
+syl AS (SELECT topic_id, list_sort(list(chunk_id)) AS ids FROM top GROUP BY 1),
 req AS (SELECT 'r' || a.item_id AS request_id, a.level, CASE WHEN b.item_id IS NULL THEN [a.topic_id] ELSE [a.topic_id, b.topic_id] END AS topic_ids
    FROM topics_t a LEFT JOIN topics_t b ON b.item_id = a.item_id + 2),
 sel AS (SELECT request_id, level, unnest(topic_ids) AS topic_id, unnest(range(0, len(topic_ids))) AS topic_pos,
@@ -106,32 +128,61 @@ gen AS (SELECT *, row_number() OVER (PARTITION BY lane, level ORDER BY is_first
    QUALIFY place <= CASE lane WHEN 1 THEN 6 ELSE 4 END),
 every AS (
   SELECT request_id, chunk_id, 0 AS lane, topic_pos, CASE document_type WHEN 'TEXTBOOK' THEN 0 ELSE 1 END AS step, place,
-    CASE document_type WHEN 'TEXTBOOK' THEN 'TEXTBOOK_CONTENT' ELSE 'PAST_PAPER_STYLE' END AS role, topic_id
-  FROM sel JOIN div_t USING (topic_id) WHERE place <= CASE document_type WHEN 'TEXTBOOK' THEN lim ELSE 2 END
-  UNION ALL SELECT request_id, chunk_id, lane, 0, 0, place, CASE lane WHEN 1 THEN 'PAST_PAPER_STYLE' ELSE 'MARKING_PATTERN' END, NULL
+    CASE document_type WHEN 'TEXTBOOK' THEN 'TEXTBOOK_CONTENT' ELSE 'PAST_PAPER_STYLE' END AS role, topic_id, syl.ids AS syllabus
+  FROM sel JOIN div_t USING (topic_id) LEFT JOIN syl USING (topic_id) WHERE place <= CASE document_type WHEN 'TEXTBOOK' THEN lim ELSE 2 END
+  UNION ALL SELECT request_id, chunk_id, lane, 0, 0, place, CASE lane WHEN 1 THEN 'PAST_PAPER_STYLE' ELSE 'MARKING_PATTERN' END, NULL, NULL
   FROM req JOIN gen USING (level)),
 merged AS (SELECT request_id, chunk_id, arg_min(role, {{'l': lane, 't': topic_pos, 's': step, 'p': place}}) AS role,
-   min({{'l': lane, 't': topic_pos, 's': step, 'p': place}}) AS pos, list_sort(list_distinct(list(topic_id) FILTER (topic_id IS NOT NULL))) AS topic_ids
-   FROM every GROUP BY ALL),
+   min({{'l': lane, 't': topic_pos, 's': step, 'p': place}}) AS pos, list_sort(list_distinct(list(topic_id) FILTER (topic_id IS NOT NULL))) AS topic_ids,
+   list_sort(list_distinct(flatten(list(syllabus) FILTER (syllabus IS NOT NULL)))) AS syllabus_ids FROM every GROUP BY ALL),
 placed AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY pos) AS position FROM merged)
 """
 
 
+MERGE = merge_sql(SCOPE)
+
+
+def built(spark: SparkSession, sf: str, asked: DataFrame, about: DataFrame) -> DataFrame:
+    """Evidence of the requests with the syllabus excerpts of their topics."""
+    rows = chunks(spark, sf)
+    return evidence.build(asked, about, rows, evidence.syllabus_evidence(topics(spark, sf), rows))
+
+
 @query("evidence_merge", f"""
 WITH {MERGE}
-SELECT request_id, chunk_id, role, position, coalesce(array_to_string(topic_ids, ','), '') AS topic_ids FROM placed""")
+SELECT request_id, chunk_id, role, position, coalesce(array_to_string(topic_ids, ','), '') AS topic_ids, coalesce(array_to_string(syllabus_ids, ','), '') AS syllabus_ids,
+  md5(CASE WHEN role = 'PAST_PAPER_STYLE' THEN 'Cambridge question-style pattern. Command words: ' || coalesce(nullif(array_to_string(
+     list_filter(['state','identify','describe','explain','complete','write','calculate','draw','suggest'],
+     lambda c: regexp_matches(low, '(?:^|{Q.EDGE})' || c || '(?:{Q.EDGE}|$)')), ', '), ''), 'structured response') || '. Displayed marks: not parsed. '
+     || 'Use only its command-word and response-shape pattern; its original subject matter is intentionally omitted.' ELSE text END) AS text_hash
+FROM placed JOIN ev USING (chunk_id)""")
 def evidence_merge(spark: SparkSession, sf: str) -> DataFrame:
-    out = evidence.build(requests(spark, sf), topics(spark, sf), chunks(spark, sf))
-    return rounded(out.select("request_id", "chunk_id", "role", "position", F.array_join("topic_ids", ",").alias("topic_ids")))
+    out = built(spark, sf, requests(spark, sf), topics(spark, sf))
+    joined = [F.array_join(c, ",").alias(c) for c in ("topic_ids", "syllabus_ids")]
+    return rounded(out.select("request_id", "chunk_id", "role", "position", *joined, F.md5("text").alias("text_hash")))
+
+
+@query("evidence_lanes", f"""
+WITH {MERGE}
+SELECT request_id, count(*) FILTER (role = 'TEXTBOOK_CONTENT') AS textbook_chunks, count(*) FILTER (role = 'PAST_PAPER_STYLE') AS past_paper_chunks,
+  count(*) FILTER (role = 'MARKING_PATTERN') AS marking_chunks, count(*) AS context_chunks FROM merged GROUP BY 1""")
+def evidence_lanes(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evidence.lane_counts(evidence.build(requests(spark, sf), topics(spark, sf), chunks(spark, sf))))
 
 
 @query("missing_topics", f"""
-WITH {MERGE}, cov AS (SELECT request_id, role, unnest(topic_ids) AS topic_id FROM merged)
+WITH {merge_sql(scope_sql(OPENINGS_T))}, cov AS (SELECT request_id, role, unnest(topic_ids) AS topic_id FROM merged)
 SELECT s.request_id, s.topic_id, r.role AS missing FROM sel s, (VALUES ('TEXTBOOK_CONTENT'), ('PAST_PAPER_STYLE')) r(role)
 WHERE NOT EXISTS (SELECT 1 FROM cov c WHERE c.request_id = s.request_id AND c.topic_id = s.topic_id AND c.role = r.role)""")
 def missing_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Strict topics whose only phrase is the first two words of their passage: some have no page, some no paper."""
+    opening = F.array(F.lower(F.array_join(F.slice(T.words("text"), 1, 2), " ")))
+    first_words = A.table(spark, sf, "benchmark").select("item_id", opening.alias("content_phrases"), opening.alias("paper_phrases"))
+    about = topics(spark, sf).drop("content_phrases", "paper_phrases").join(first_words, "item_id").withColumns({
+        "strict_phrases": F.lit(True), "pdf_page_start": F.lit(None).cast("int"), "pdf_page_end": F.lit(None).cast("int"),
+    })
     asked = requests(spark, sf)
-    return evidence.missing_topics(asked, evidence.build(asked, topics(spark, sf), chunks(spark, sf)))
+    return evidence.missing_topics(asked, evidence.build(asked, about, chunks(spark, sf)))
 
 
 @query("catalog_readiness", f"""
@@ -188,16 +239,7 @@ def topic_ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("syllabus_evidence", f"""
-WITH {Q.CHUNKS},
-sy AS (SELECT level, chunk_id, text, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]{{3,}}'), lambda x: lower(x))) AS terms FROM chunks_t
-   WHERE document_type = 'SYLLABUS' AND content_type <> 'PARENT_CONTEXT'),
-w AS (SELECT item_id, {Q.words('text')} AS ws FROM benchmark),
-tp AS (SELECT 't' || item_id AS topic_id, CASE WHEN item_id % 2 = 0 THEN 'O_LEVEL' ELSE 'A_LEVEL' END AS level,
-   array_to_string(ws[1:6], ' ') AS name, array_to_string(ws[7:12], ' ') AS chapter FROM w),
-tt AS (SELECT topic_id, level, list_filter(list_distinct(list_transform(regexp_extract_all(name, '[A-Za-z]{{3,}}'), lambda x: lower(x))), lambda x: NOT list_contains(['and','the','for','with','its','use','uses','level','concept','concepts'], x)) AS a,
-   list_filter(list_distinct(list_transform(regexp_extract_all(chapter, '[A-Za-z]{{3,}}'), lambda x: lower(x))), lambda x: NOT list_contains(['and','the','for','with','its','use','uses','level','concept','concepts'], x)) AS b FROM tp),
-sc AS (SELECT topic_id, chunk_id, text, a, len(list_intersect(a, terms)) * 5 + len(list_intersect(b, terms)) AS score FROM tt JOIN sy USING (level) WHERE len(list_intersect(a, terms)) > 0),
-top AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, chunk_id) AS place FROM sc QUALIFY place <= 3)
+WITH {Q.CHUNKS}, {SYLLABUS_TOP}
 SELECT topic_id, chunk_id, place, score, md5(substr(text, greatest(1, list_min(list_filter(list_transform(a, lambda t: position(t IN lower(text))), lambda p: p > 0)) - 140), 700)) AS excerpt_hash FROM top""")
 def syllabus_evidence(spark: SparkSession, sf: str) -> DataFrame:
     found = evidence.syllabus_evidence(topics(spark, sf), chunks(spark, sf))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: For local sessions, where driver and tasks share a disk.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
@@ -42,6 +43,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return LOCAL_CHECKPOINTS
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once for several readers, whatever executor is lost."""
+    path = f"{checkpoint_dir(df.sparkSession)}/lectern/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Give Python workers this package wherever they start: once per application, through Spark's own file server."""
     sc = spark.sparkContext
