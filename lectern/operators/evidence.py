@@ -147,11 +147,12 @@ class TopicIndex(NamedTuple):
     """Chunks that may be evidence, read and checked once, and the pieces of the topical ones.
 
     ``rows``: ``CHUNK_FIELDS``, ``level``, ``opening`` (lower-cased, 240 characters), ``has_task``.
-    ``words``: ``level, document_type, chunk_id, page_start, word, n``.
+    ``words``: ``level, document_type, chunk_id, page_start, word, n``; ``vocabulary``: each ``word`` once.
     """
 
     rows: DataFrame
     words: DataFrame
+    vocabulary: DataFrame
 
 
 def topic_index(chunks: DataFrame) -> TopicIndex:
@@ -168,7 +169,7 @@ def topic_index(chunks: DataFrame) -> TopicIndex:
     ), "topic_rows")
     topical = rows.filter(F.col("document_type").isin(*TOPICAL)).withColumn("_low", F.lower("text"))
     words = settled(phrases.postings(topical, "_low", "level", "document_type", "chunk_id", "page_start"), "topic_words")
-    return TopicIndex(rows, words)
+    return TopicIndex(rows, words, settled(words.select("word").distinct(), "topic_vocabulary"))
 
 
 def topic_scores(topics: DataFrame, index: TopicIndex, document_types: tuple[str, ...] = TOPICAL) -> DataFrame:
@@ -194,7 +195,7 @@ def topic_scores(topics: DataFrame, index: TopicIndex, document_types: tuple[str
 
     listed = asked.select(*scope, F.explode("phrases").alias("phrase")).groupBy(*scope, "phrase").agg(F.count("*").alias("listed"))
     words = index.words.filter(F.col("document_type").isin(*document_types))
-    found = phrases.occurrences(listed, words, rows.withColumn("_low", F.lower("text")), ["level", "document_type"], "chunk_id", "_low", in_range)
+    found = phrases.occurrences(listed, words, rows.withColumn("_low", F.lower("text")), ["level", "document_type"], "chunk_id", "_low", in_range, index.vocabulary)
     exact = found.select(*pair, (F.col("listed") * F.least("n", F.lit(5))).alias("exact"), F.lit(0).alias("shared"))
 
     wanted = asked.select(*scope, F.explode(F.array_distinct(F.filter(
@@ -219,7 +220,7 @@ def topic_scores(topics: DataFrame, index: TopicIndex, document_types: tuple[str
         + F.when(F.col("content_type") == "PARENT_CONTEXT", 0.5).otherwise(2.0)
         + F.when((F.col("document_type") == "QUESTION_PAPER") & F.col("has_task"), 2.0).otherwise(0.0)
     )
-    return known.filter(enough).join(light, "chunk_id").select(*pair, "document_id", "page_start", score.alias("score"))
+    return skew.spread(known.filter(enough), "chunk_id").join(light, "chunk_id").select(*pair, "document_id", "page_start", score.alias("score"))
 
 
 def topic_candidates(topics: DataFrame, chunks: DataFrame, document_type: str) -> DataFrame:

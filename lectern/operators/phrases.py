@@ -9,10 +9,14 @@ text itself.  Nothing is joined on less than a gram or a word.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import skew
+from lectern.session import settled
 
 PIECE = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]+"
 GRAM = 3
@@ -38,14 +42,14 @@ def counted(values: Column) -> Column:
     return T.let(F.array_sort(values), runs)
 
 
-def grams(piece: Column) -> Column:
-    """Distinct character grams of one to ``GRAM`` characters."""
-
-    def of(n: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.length(piece) - (n - 1)), lambda i: F.substring(piece, i, F.lit(n)))
-        return F.when(F.length(piece) >= n, cut).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(*[of(n) for n in range(1, GRAM + 1)]))
+def grams(rows: DataFrame, piece: str, sizes: Iterable[int] = range(1, GRAM + 1)) -> DataFrame:
+    """``rows`` once per place and size of a character gram of ``piece``, with the ``gram``."""
+    out = None
+    for n in sizes:
+        at = F.explode(F.sequence(F.lit(1), F.length(piece) - (n - 1)))
+        one = rows.filter(F.length(piece) >= n).withColumn("_i", at).withColumn("gram", F.expr(f"substring({piece}, _i, {n})")).drop("_i")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def postings(rows: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -64,32 +68,36 @@ def words_of(phrases: DataFrame, vocabulary: DataFrame) -> DataFrame:
     asked = phrases.select("phrase").distinct().select("phrase", pieces("phrase").alias("_all")).select(
         "phrase", F.size("_all").alias("_size"), F.posexplode("_all").alias("_at", "piece")
     )
-    size = F.least(F.length("piece"), F.lit(GRAM))
-    own = F.transform(F.sequence(F.lit(1), F.length("piece") - size + 1), lambda i: F.substring(F.col("piece"), i, size))
-    wanted = asked.withColumn("gram", F.explode(F.array_distinct(own)))
-    by_gram = vocabulary.select("word", F.explode(grams(F.col("word"))).alias("gram"))
-    frequency = by_gram.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("_n"))
+    wanted = grams(asked, "piece").filter(F.length("gram") == F.least(F.length("piece"), F.lit(GRAM))).distinct()
+    wanted = settled(wanted, "wanted_grams")
+    sizes = [r[0] for r in wanted.select(F.length("gram")).distinct().collect()]  # up to GRAM numbers
+    by_gram = grams(skew.spread(vocabulary, "word"), "word", sizes or [GRAM])
+    frequency = by_gram.join(skew.maybe_broadcast(wanted.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("_n"))
     rarest = wanted.join(frequency, "gram", "left").groupBy("phrase").agg(
         F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_at", "piece", "gram", "_size")).alias("_r")
     ).select("phrase", "_r.gram", "_r.piece", "_r._at", "_r._size")
+    rarest = settled(rarest, "rarest_grams")
     whole = F.col("_size") == 1
     first, last = F.col("_at") == 0, F.col("_at") == F.col("_size") - 1
     stands = (
         F.when(whole, F.contains("word", "piece")).when(first, F.endswith("word", "piece"))
         .when(last, F.startswith("word", "piece")).otherwise(F.col("word") == F.col("piece"))
     )
-    return rarest.join(by_gram, "gram").filter(stands).select(
+    return by_gram.join(skew.maybe_broadcast(rarest), "gram").filter(stands).select(
         "phrase", "word", whole.alias("whole"), F.when(whole, T.count_occurrences(F.col("word"), F.col("piece"))).otherwise(1).alias("times")
-    )
+    ).distinct()
 
 
-def occurrences(asked: DataFrame, words: DataFrame, texts: DataFrame, on: list[str], key: str, text: str, where: Column | None = None) -> DataFrame:
+def occurrences(
+    asked: DataFrame, words: DataFrame, texts: DataFrame, on: list[str], key: str, text: str,
+    where: Column | None = None, vocabulary: DataFrame | None = None,
+) -> DataFrame:
     """``asked`` rows met by a text, with ``key`` and ``n``, how often the phrase occurs in it.
 
     ``asked`` has a ``phrase`` and the columns ``on``; ``words`` has ``on``, ``key``, ``word`` and ``n``; ``texts`` has
-    ``key`` and ``text``.  ``where`` may compare columns of ``asked`` and ``words``.
+    ``key`` and ``text``.  ``where`` may compare columns of ``asked`` and ``words``; ``vocabulary`` are the distinct words.
     """
-    met = words_of(asked, words.select("word").distinct())
+    met = words_of(asked, words.select("word").distinct() if vocabulary is None else vocabulary)
     names = [c for c in asked.columns if c not in on]
     found = words.join(asked.join(met, "phrase"), [*on, "word"])
     if where is not None:

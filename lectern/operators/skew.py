@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread_by: str, salts: int = 16) -> DataFrame:
@@ -24,9 +25,10 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread_by: str,
     return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than that many."""
-    return df.limit(rows + 1).count() <= rows
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and ``size`` bytes (written as JSON); reads no more rows than that."""
+    counted = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return counted[0] <= rows and counted[1] <= size
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -34,6 +36,11 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` over all shuffle partitions: for small rows that much work or many rows follow from."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def running_offset(rows: DataFrame, group: str, order: str, count: Column) -> DataFrame:
     """``rows`` plus ``offset``: the sum of ``count`` over earlier ``order`` values of the group.
 

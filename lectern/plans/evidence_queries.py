@@ -86,7 +86,7 @@ SCOPE = scope_sql(TOPICS_T)
 WITH {SCOPE}
 SELECT topic_id, chunk_id, document_type, round(score, 6)::DOUBLE AS score FROM scored""")
 def topic_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    scored = evidence.topic_scores(topics(spark, sf), evidence.topic_index(chunks(spark, sf)))
+    scored = evidence.topic_scores(topics(spark, sf), evidence.topic_index(chunks(spark, sf).filter(F.col("document_type").isin(*evidence.TOPICAL))))
     return rounded(scored.select("topic_id", "chunk_id", "document_type", "score"))
 
 
