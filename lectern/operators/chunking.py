@@ -6,15 +6,13 @@ session, component, authority_level, ord``) plus ``page_number, clean_text`` and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import hashing as H
 from lectern.functions import text as T
 from lectern.operators import skew
+from lectern.session import settled
 
 # Window sizes, minimum token counts and heading patterns of the five chunkers.
 TEXTBOOK_WINDOW = (360, 55)
@@ -166,9 +164,6 @@ def examiner_report(pages: DataFrame) -> DataFrame:
 
 # --- question papers and mark schemes -------------------------------------------------------------
 
-EVENT_SCHEMA = "document_id string, page_number int, line int, label string, end_page int, end_line int"
-
-
 def page_lines(pages: DataFrame) -> DataFrame:
     """Pages with at least one line, as ``lines array<string>`` (right-stripped)."""
     raw = F.split("clean_text", T.LINE_BREAK)
@@ -233,56 +228,130 @@ def _label_events(pages: DataFrame, mark_scheme: bool) -> DataFrame:
     ).filter(F.col("kind").isNotNull())
 
 
-def _scan_labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Accept labels in document order.  State is one document id, the highest question so far, the
-    current letter and the open entry: nothing else is kept, whatever the document's size."""
-    columns = ["document_id", "page_number", "line", "label", "end_page", "end_line"]
-    document, highest, letter, open_entry = None, 0, None, None
-    for batch in batches:
-        out = []
-        for event in batch.itertuples(index=False):
-            if event.document_id != document:
-                document, highest, letter, open_entry = event.document_id, 0, None, None
-            here = (event.page_number, event.line)
-            label = None
-            if event.kind == "E":
-                if open_entry:
-                    out.append((document, *open_entry, *here))
-                    open_entry = None
-                continue
-            if event.kind == "N":
-                main = int(event.main)
-                if main in (highest, highest + 1):
-                    highest, letter = max(highest, main), event.letter
-                    label = (event.number + (f"({event.letter})" if event.letter else "")
-                             + (f"({event.sub_roman})" if event.sub_roman else ""))
-            elif open_entry and letter and event.kind in ("B", "R"):
-                label = f"{highest}({letter})({event.roman})"
-            elif open_entry and event.kind in ("B", "S"):
-                letter = event.letter
-                label = f"{highest}({letter})" + (f"({event.sub_roman})" if event.sub_roman else "")
-            if label is not None:
-                if open_entry:
-                    out.append((document, *open_entry, *here))
-                open_entry = (*here, label)
-        yield pd.DataFrame(out, columns=columns)
+# Labels are accepted in document order: a state (highest question so far, current letter) is read and changed by
+# every event.  An entry is open as soon as the highest question is above zero.  What a run of events does to any
+# state is a table with one row per possible state, and such tables compose; so runs of lines are summarised apart,
+# the summaries are composed in blocks, and each run is read again from the state it starts in.
+
+STATE = "struct<highest: int, letter: string>"
+SAME = "="  # in a table: the letter that was there before
+STATES = 2 * (HIGHEST_QUESTION + 1)
+RUN_LINES, FAN = 64, 64
+
+
+def _state(highest: Column, letter: Column) -> Column:
+    return F.struct(highest.cast("int").alias("highest"), letter.cast("string").alias("letter"))
+
+
+def _accepted(state: Column, event: Column) -> tuple[Column, Column, Column]:
+    """Whether a state accepts an event as a numbered question, as a roman part and as a lettered part."""
+    kind, highest = event["kind"], state["highest"]
+    numbered = (kind == "N") & ((event["main"] == highest) | (event["main"] == highest + 1))
+    roman = (highest > 0) & state["letter"].isNotNull() & kind.isin("B", "R")
+    return numbered, roman, (highest > 0) & kind.isin("B", "S") & ~roman
+
+
+def _after(state: Column, event: Column) -> Column:
+    numbered, _, lettered = _accepted(state, event)
+    return _state(
+        F.when(numbered, F.greatest(state["highest"], event["main"])).otherwise(state["highest"]),
+        F.when(numbered | lettered, event["letter"]).otherwise(state["letter"]),
+    )
+
+
+def _label(state: Column, event: Column) -> Column:
+    """The label an event gets in a state, null if it isn't accepted."""
+    numbered, roman, lettered = _accepted(state, event)
+    part = lambda c: F.coalesce(F.concat(F.lit("("), c, F.lit(")")), F.lit(""))
+    highest = state["highest"].cast("string")
+    return (
+        F.when(numbered, F.concat(event["number"], part(event["letter"]), part(event["sub_roman"])))
+        .when(roman, F.concat(highest, part(state["letter"]), part(event["roman"])))
+        .when(lettered, F.concat(highest, part(event["letter"]), part(event["sub_roman"])))
+    )
+
+
+def _table(events: Column) -> Column:
+    """State after ``events`` for every state before them."""
+    start = lambda i: _state(F.floor(i / 2), F.when(i % 2 == 1, SAME))
+    return F.transform(F.sequence(F.lit(0), F.lit(STATES - 1)), lambda i: F.aggregate(events, start(i), _after))
+
+
+def _looked_up(table: Column, state: Column) -> Column:
+    def entry(found: Column) -> Column:
+        return _state(found["highest"], F.when(found["letter"] == SAME, state["letter"]).otherwise(found["letter"]))
+
+    return T.let(F.get(table, state["highest"] * 2 + state["letter"].isNotNull().cast("int")), entry)
+
+
+def _start_states(tables: DataFrame, last: int) -> DataFrame:
+    """``(document_id, n, state)``: the state before each table, for tables ``n`` = 0 to ``last`` of a document.
+
+    Blocks of ``FAN`` tables are composed to one table each, the starts of the blocks are found in the same way, and
+    a block gives its tables their starts; no group has more than ``FAN`` tables, whatever the document's length.
+    """
+    member = F.struct("n", "table")
+    blocks = tables.groupBy("document_id", F.floor(F.col("n") / FAN).alias("block")).agg(F.array_sort(F.collect_list(member)).alias("members"))
+    nothing = _state(F.lit(0), F.lit(None))
+    if last < FAN:
+        begun = blocks.withColumn("state", nothing)
+    else:
+        blocks = settled(blocks, "label_blocks")
+        composed = F.aggregate(
+            F.slice("members", 2, FAN), F.get("members", F.lit(0))["table"],
+            lambda whole, m: F.transform(whole, lambda s: _looked_up(m["table"], s)),
+        )
+        upper = _start_states(blocks.select("document_id", F.col("block").alias("n"), composed.alias("table")), last // FAN)
+        begun = blocks.join(upper.withColumnRenamed("n", "block"), ["document_id", "block"])
+    empty = F.array().cast(f"array<struct<n: bigint, state: {STATE}>>")
+    walked = F.aggregate(
+        "members", F.struct(F.col("state").alias("now"), empty.alias("seen")),
+        lambda acc, m: F.struct(
+            _looked_up(m["table"], acc["now"]).alias("now"),
+            F.concat(acc["seen"], F.array(F.struct(m["n"].alias("n"), acc["now"].alias("state")))).alias("seen"),
+        ),
+        lambda acc: acc["seen"],
+    )
+    return begun.select("document_id", F.explode(walked).alias("_s")).select("document_id", "_s.n", "_s.state")
 
 
 def entry_spans(pages: DataFrame, mark_scheme: bool) -> DataFrame:
     """Accepted labels with the half-open line span each one covers."""
-    events = _label_events(pages, mark_scheme)
-    ends = pages.groupBy("document_id").agg(F.max("page_number").alias("page_number")).select(
-        "document_id", "page_number", F.lit(2_000_000_000).alias("line"), F.lit("E").alias("kind"),
-        F.lit(None).cast("int").alias("main"),
-        *[F.lit(None).cast("string").alias(c) for c in ("number", "letter", "sub_roman", "roman")],
+    event = F.struct("line", "kind", "main", "number", "letter", "sub_roman", "roman")
+    runs = _label_events(pages, mark_scheme).groupBy("document_id", "page_number", F.floor(F.col("line") / RUN_LINES).alias("_run")).agg(
+        F.array_sort(F.collect_list(event)).alias("events")
+    )
+    placed = skew.dense_index(runs.withColumn("_place", F.col("page_number") * F.lit(1 << 32) + F.col("_run")), "document_id", "_place")
+    runs = settled(placed.select("document_id", "page_number", (F.col("n") - 1).alias("n"), "events", _table(F.col("events")).alias("table")), "label_runs")
+    last = runs.agg(F.max("n")).first()[0] or 0
+    begun = runs.drop("table").join(_start_states(runs.select("document_id", "n", "table"), last), ["document_id", "n"])
+    none = F.array().cast("array<struct<line: int, label: string>>")
+    read = F.aggregate(
+        "events", F.struct(F.col("state").alias("now"), none.alias("found")),
+        lambda acc, e: F.struct(
+            _after(acc["now"], e).alias("now"),
+            F.concat(acc["found"], T.let(_label(acc["now"], e), lambda x: F.when(x.isNull(), none).otherwise(
+                F.array(F.struct(e["line"].alias("line"), x.alias("label")))))).alias("found"),
+        ),
+        lambda acc: acc["found"],
+    )
+    # an entry ends where the next one begins: in its run, at the first label of the next run that has one, or with the document
+    labelled = begun.select("document_id", "page_number", "n", read.alias("found")).filter(F.size("found") > 0)
+    order = Window.partitionBy("document_id").orderBy("n")
+    firsts = labelled.select("document_id", "n", "page_number", F.get("found", F.lit(0))["line"].alias("_line"))
+    following = firsts.select(
+        "document_id", "n", F.lead("page_number").over(order).alias("_page"), F.lead("_line").over(order).alias("_line"))
+    ends = pages.groupBy("document_id").agg(F.max("page_number").alias("_last"))
+    exploded = labelled.join(following, ["document_id", "n"]).select(
+        "document_id", "page_number", "_page", "_line", F.posexplode("found").alias("_i", "_e"),
+        F.transform("found", lambda e: e["line"]).alias("_lines"),
     )
-    ordered = (
-        events.unionByName(ends)
-        .repartition("document_id")
-        .sortWithinPartitions("document_id", "page_number", "line")
+    inside = F.get("_lines", F.col("_i") + 1)
+    return exploded.join(ends, "document_id").select(
+        "document_id", "page_number", F.col("_e.line").alias("line"), F.col("_e.label").alias("label"),
+        F.when(inside.isNotNull(), F.col("page_number")).otherwise(F.coalesce("_page", "_last")).alias("end_page"),
+        F.coalesce(inside, "_line", F.lit(2_000_000_000)).alias("end_line"),
     )
-    nullable = ordered.withColumn("main", F.coalesce("main", F.lit(0)))
-    return nullable.mapInPandas(_scan_labels, EVENT_SCHEMA)
 
 
 def assessment_entries(pages: DataFrame, mark_scheme: bool) -> DataFrame:

@@ -86,18 +86,96 @@ def _parsed(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     ))
 
 
-@query("paper_parse")
+LETTERS = "len(regexp_extract_all({x}, '[A-Za-z]+'))"
+NUMBER_PART = r"(?i)^\s*(\d{1,2})(?:\s*\(([a-z])\))?(?:\s*\(([ivx]+)\))?"
+SUB_PART = r"(?i)^\s*\(([a-z])\)(?:\s*\(([ivx]+)\))?\s*(.*)$"
+ROMAN_PART = r"(?i)^\s*\(([ivx]+)\)\s*(.*)$"
+
+
+def entries_sql(kind: str, p: str) -> str:
+    """Entries of papers or schemes, label by label, as ``{p}_entry``; ``{p}_`` marks the names of this kind."""
+    scheme = kind == "MARK_SCHEME"
+    number, letter = "(i // 3 + 1)", "['a','b','c'][i % 3 + 1]"
+    if scheme:
+        lines = f"[{number} || '(' || {letter} || ')', s]"
+        label = NUMBER_PART + r"\s*$"
+        useful, sub, roman, tail = "true", "false", "false", "''"
+    else:
+        lines = f"[CASE WHEN i % 3 = 0 THEN {number} || ' ' ELSE '(' || {letter} || ') ' END || s || ' [' || (i % 4 + 1) || ']']"
+        label = NUMBER_PART + r"(?:\s+|\s*$)(.*)$"
+        tail = Q.strip(f"regexp_extract(t, '{label}', 4)")
+        useful = (f"regexp_extract(t, '{label}', 2) <> '' OR regexp_extract(t, '{label}', 3) <> '' OR {LETTERS.format(x='tail')} >= 3 "
+                  f"OR regexp_matches(following, '{SUB_PART}') OR (tail = '' AND {LETTERS.format(x='following')} >= 3)")
+        sub, roman = f"regexp_matches(t, '{SUB_PART}')", f"regexp_matches(t, '{ROMAN_PART}')"
+    marks = r"(?i)\[\s*\d+\s*\]|\b\d+\s+marks?\b"
+    content = "MARK_SCHEME_ENTRY" if scheme else "QUESTION"
+    ahead = ", ".join(f"lead(t, {k}) OVER w AS t{k}" for k in (1, 2, 3))
+    shown = ", ".join(f"nullif({Q.strip(f't{k}')}, '')" for k in (1, 2, 3))
+    group = lambda pattern, i: f"nullif(lower(regexp_extract(t, '{pattern}', {i})), '')"
+    return f"""
+{p}_lab AS (SELECT p.*, list_filter(string_split({Q.collapse('clean_text')}, '. '), lambda s: s <> '') AS ss FROM pages_t p WHERE document_type = '{kind}'),
+{p}_s AS (SELECT document_id, page_number, unnest(ss) AS s, unnest(range(0, len(ss))) AS i FROM {p}_lab),
+{p}_l AS (SELECT document_id, page_number, unnest({lines}) AS raw, i * 2 + unnest(range(0, len({lines}))) AS line FROM {p}_s),
+{p}_t AS (SELECT *, regexp_replace(raw, '{Q.WS}+$', '') AS t, row_number() OVER (PARTITION BY document_id ORDER BY page_number, line) AS gi FROM {p}_l),
+{p}_a AS (SELECT *, {ahead} FROM {p}_t WINDOW w AS (PARTITION BY document_id ORDER BY gi)),
+{p}_f AS (SELECT *, coalesce({shown}, '') AS following, {tail} AS tail FROM {p}_a),
+{p}_k AS (SELECT *, CASE WHEN {sub} AND {roman} THEN 'B' WHEN {roman} THEN 'R' WHEN {sub} THEN 'S'
+    WHEN regexp_matches(t, '{label}') AND CAST(regexp_extract(t, '{label}', 1) AS INTEGER) BETWEEN 1 AND 20 AND ({useful}) THEN 'N' END AS kind FROM {p}_f),
+{p}_ev AS (SELECT document_id, page_number, gi, kind, row_number() OVER (PARTITION BY document_id ORDER BY gi) AS rn,
+    CASE WHEN kind = 'N' THEN CAST(regexp_extract(t, '{label}', 1) AS INTEGER) END AS main, regexp_extract(t, '{label}', 1) AS number,
+    CASE WHEN kind = 'N' THEN {group(label, 2)} ELSE {group(SUB_PART, 1)} END AS letter,
+    CASE WHEN kind = 'N' THEN {group(label, 3)} ELSE {group(SUB_PART, 2)} END AS sub_roman, {group(ROMAN_PART, 1)} AS roman FROM {p}_k WHERE kind IS NOT NULL),
+{p}_scan(document_id, rn, highest, letter, label, gi, page_number) AS (
+  SELECT document_id, 0::BIGINT, 0, NULL::VARCHAR, NULL::VARCHAR, 0::BIGINT, 0 FROM {p}_ev GROUP BY 1
+  UNION ALL
+  SELECT e.document_id, e.rn, CASE WHEN e.kind = 'N' AND e.main IN (s.highest, s.highest + 1) THEN greatest(s.highest, e.main) ELSE s.highest END,
+    CASE WHEN e.kind = 'N' AND e.main IN (s.highest, s.highest + 1) THEN e.letter
+         WHEN s.highest > 0 AND (e.kind = 'S' OR (e.kind = 'B' AND s.letter IS NULL)) THEN e.letter ELSE s.letter END,
+    CASE WHEN e.kind = 'N' AND e.main IN (s.highest, s.highest + 1) THEN e.number || coalesce('(' || e.letter || ')', '') || coalesce('(' || e.sub_roman || ')', '')
+         WHEN s.highest > 0 AND s.letter IS NOT NULL AND e.kind IN ('B', 'R') THEN s.highest || '(' || s.letter || ')(' || e.roman || ')'
+         WHEN s.highest > 0 AND e.kind IN ('B', 'S') THEN s.highest || '(' || e.letter || ')' || coalesce('(' || e.sub_roman || ')', '') END,
+    e.gi, e.page_number
+  FROM {p}_scan s JOIN {p}_ev e ON e.document_id = s.document_id AND e.rn = s.rn + 1),
+{p}_span AS (SELECT *, coalesce(lead(gi) OVER (PARTITION BY document_id ORDER BY gi), 9223372036854775807) AS until FROM {p}_scan WHERE label IS NOT NULL),
+{p}_text AS (SELECT x.document_id, x.gi, x.page_number, x.label, {Q.strip("string_agg(l.t, chr(10) ORDER BY l.gi)")} AS text
+  FROM {p}_span x JOIN {p}_t l ON l.document_id = x.document_id AND l.gi >= x.gi AND l.gi < x.until GROUP BY ALL),
+{p}_n AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY gi) AS sequence FROM {p}_text WHERE {Q.token_count('text')} >= 3),
+{p}_entry AS (SELECT *, document_id || '_{content.lower()}_' || printf('%04d', sequence) || '_' || left(sha256(CAST(to_json({{'document_id': document_id,
+    'page': page_number, 'sequence': sequence, 'text': text, 'type': '{content}'}}) AS VARCHAR)), 8) AS chunk_id,
+  TRY_CAST(regexp_extract(regexp_extract_all(text, '{marks}')[-1], '(\\d+)', 1) AS BIGINT) AS marks, '{content}' AS content_type, '{kind}' AS document_type FROM {p}_n)"""
+
+
+def parsed_sql(kind: str) -> str:
+    marks, empty = ("maximum_marks", "marks") if kind == "MARK_SCHEME" else ("marks", "maximum_marks")
+    relationship = "EXACT_MARK_SCHEME" if kind == "MARK_SCHEME" else "QUESTION_IDENTITY"
+    return f"""WITH RECURSIVE {Q.PAGES}, {entries_sql(kind, "e")}
+SELECT chunk_id, document_id, CAST(page_number AS BIGINT) AS page_start, label AS question_number, marks AS {marks}, NULL::BIGINT AS {empty},
+  '{relationship}' AS relationship, md5(text) AS text_hash FROM e_entry"""
+
+
+@query("paper_parse", parsed_sql("QUESTION_PAPER"))
 def paper_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """Question papers; checked against a line-at-a-time parser in the tests."""
     return _parsed(spark, sf, "QUESTION_PAPER")
 
 
-@query("scheme_parse")
+@query("scheme_parse", parsed_sql("MARK_SCHEME"))
 def scheme_parse(spark: SparkSession, sf: str) -> DataFrame:
     return _parsed(spark, sf, "MARK_SCHEME")
 
 
-@query("corpus_build")
+@query("corpus_build", f"""
+WITH RECURSIVE {Q.chunks(360, 55)}, {entries_sql("QUESTION_PAPER", "q")}, {entries_sql("MARK_SCHEME", "m")},
+sy_lab AS (SELECT p.*, list_filter(string_split({Q.collapse('clean_text')}, '. '), lambda s: s <> '') AS ss FROM pages_t p WHERE document_type = 'SYLLABUS'),
+sy_lines AS (SELECT unnest(ss) AS s, unnest(range(0, len(ss))) AS i FROM sy_lab),
+er_lab AS (SELECT p.*, list_filter(string_split({Q.collapse('clean_text')}, '. '), lambda s: s <> '') AS ss FROM pages_t p WHERE document_type = 'EXAMINER_REPORT'),
+er_lines AS (SELECT doc_id, unnest(ss) AS s, unnest(range(0, len(ss))) AS i FROM er_lab),
+every AS (
+  SELECT document_type, content_type, text FROM chunks_t WHERE document_type = 'TEXTBOOK'
+  UNION ALL SELECT 'SYLLABUS', 'LEARNING_OBJECTIVE', x FROM (SELECT (i // 3 + 1) || '.' || (i % 3 + 1) || ' ' || s AS x FROM sy_lines) WHERE {Q.token_count('x')} >= 18
+  UNION ALL SELECT 'EXAMINER_REPORT', 'EXAMINER_COMMENT', x FROM (SELECT 'Question ' || (i // 3 + 1) || ' ' || string_agg(s, chr(10) ORDER BY i) AS x
+    FROM er_lines GROUP BY doc_id, i // 3) WHERE {Q.token_count('x')} >= 25
+  UNION ALL SELECT document_type, content_type, text FROM q_entry UNION ALL SELECT document_type, content_type, text FROM m_entry)
+SELECT document_type, content_type, count(*) AS chunks, CAST(sum({Q.token_count('text')}) AS BIGINT) AS tokens FROM every GROUP BY ALL""")
 def corpus_build(spark: SparkSession, sf: str) -> DataFrame:
     """All five chunkers over the labelled pages, with counts per type and content type."""
     kinds = ("SYLLABUS", "QUESTION_PAPER", "MARK_SCHEME", "EXAMINER_REPORT")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import markdown, rubric
@@ -85,7 +86,11 @@ def naive_labels(texts, scheme):
     return [(label, t) for t, label in texts if len(re.findall(T.TOKEN, t)) >= 3]
 
 
-def test_papers_equal_a_plain_scan(spark):
+@pytest.mark.parametrize(("run", "fan"), [(64, 64), (1, 2), (3, 3)])
+def test_papers_equal_a_plain_scan(spark, monkeypatch, run, fan):
+    """Short runs and small blocks make several levels of composed tables."""
+    monkeypatch.setattr(chunking, "RUN_LINES", run)
+    monkeypatch.setattr(chunking, "FAN", fan)
     rng = random.Random(7)
     bits = ["1", "2 ", "3 (a)", "2(b)(ii) ", "(a) ", "(i) ", "(ii)", "(v) text", "", "Explain the idea of arrays", "no", "4 x", "21 many words in here",
             "17", "3", "words and more words", "(c)(iv) state", "5 Describe the use of it"]
