@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import quantiles
 
 # Cut-offs, failure advice, gates.
 DEPTH = 10
@@ -170,20 +171,21 @@ def answer_summary(rows: DataFrame) -> DataFrame:
 
 
 def latency(rows: DataFrame) -> DataFrame:
-    """Median, nearest-rank p95, extremes, failure rate and cost of the values as they are.
-
-    Exact percentiles merge one value-count map, which grows with the number of distinct values.
-    """
-    value = F.col("latency_ms")
-    return rows.agg(
+    """Median, nearest-rank p95, extremes, failure rate and cost of the values as they are."""
+    value, one = F.col("latency_ms"), F.lit(1).alias("_one")
+    totals = rows.agg(
         F.count("latency_ms").alias("count"),
-        F.median(value).alias("median_latency_ms"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").alias("p95_latency_ms"),
         F.min(value).alias("minimum_latency_ms"),
         F.max(value).alias("maximum_latency_ms"),
         F.avg(F.coalesce("technical_failure", F.lit(False)).cast("double")).alias("technical_failure_rate"),
         F.coalesce(F.sum("estimated_cost"), F.lit(0.0)).alias("estimated_cost"),
     )
+    picked = quantiles.at_ranks(rows, "latency_ms", lambda n: {
+        "low": F.floor((n + 1) / 2), "high": F.floor(n / 2) + 1, "p95_latency_ms": F.floor((n * 95 + 99) / 100),
+    }).select(((F.col("low") + F.col("high")) / 2).alias("median_latency_ms"), "p95_latency_ms", one)
+    return totals.select("*", one).join(picked, "_one").select(
+        "count", "median_latency_ms", "p95_latency_ms", "minimum_latency_ms", "maximum_latency_ms", "technical_failure_rate", "estimated_cost"
+    )
 
 
 def failures(records: DataFrame, retrieval_rows: DataFrame, answer_rows: DataFrame) -> DataFrame:

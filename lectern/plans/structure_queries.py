@@ -263,26 +263,44 @@ def stream_memory(spark: SparkSession, sf: str) -> DataFrame:
     turns.filter("role = 'assistant'").unionByName(turns.filter("position % 7 = 0")).write.mode("append").parquet(f"{folder}/inbox")
     turns.filter("role <> 'assistant'").write.mode("append").parquet(f"{folder}/inbox")
     stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/inbox")
-    stream_memory_ops.write_states(stream, folder, f"{folder}/state").awaitTermination()
-    return memory_rows(stream_memory_ops.read_states(spark, folder))
+    stream_memory_ops.write_states(stream, f"{folder}/rows", f"{folder}/state").awaitTermination()
+    return memory_rows(stream_memory_ops.read_states(spark, f"{folder}/rows"))
 
 
-@query("stream_telemetry", """
+DAILY = """
 WITH v AS (SELECT event_id // 3 AS trace_id, arg_max(ts, event_id) AS ts, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value
   FROM events GROUP BY 1)
 SELECT CAST(date_trunc('day', ts) AS VARCHAR)[1:10] AS day, event_type AS category, count(*) AS requests, count(*) FILTER (event_type = 'error') AS failures,
-  round(avg(value), 6) AS average_latency_ms, round(sum(value / 1000.0), 6) AS total_cost FROM v GROUP BY ALL""")
-def stream_telemetry(spark: SparkSession, sf: str) -> DataFrame:
-    """Three versions of every trace in two files, the later versions first; the last version counts."""
-    folder = scratch(spark)
+  round(avg(value), 6) AS average_latency_ms, round(sum(value / 1000.0), 6) AS total_cost FROM v GROUP BY ALL"""
+
+
+def versions(spark: SparkSession, sf: str, folder: str, parts: tuple[str, ...]) -> DataFrame:
+    """A stream of three versions of every trace, a file for each of ``parts``."""
     traces = A.table(spark, sf, "events").select(
         F.floor(F.col("event_id") / 3).cast("string").alias("trace_id"), F.col("event_id").alias("version"), F.col("ts").cast("timestamp").alias("created_at"),
         F.col("event_type").alias("category"), (F.col("event_type") != "error").alias("success"), F.col("value").alias("latency_ms"),
         (F.col("value") / 1000.0).alias("total_cost"),
     )
-    for part in ("version % 2 = 1", "version % 2 = 0"):
-        traces.filter(part).write.mode("append").parquet(f"{folder}/inbox")
-    stream = spark.readStream.schema(traces.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/inbox")
+    for part in parts:
+        traces.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/inbox")
+    return spark.readStream.schema(traces.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/inbox")
+
+
+@query("stream_telemetry", DAILY)
+def stream_telemetry(spark: SparkSession, sf: str) -> DataFrame:
+    """Two files, the later versions first; the last version counts."""
+    folder = scratch(spark)
+    stream = versions(spark, sf, folder, ("version % 2 = 1", "version % 2 = 0"))
     stream_telemetry_ops.write_traces(stream, f"{folder}/rows", f"{folder}/state").awaitTermination()
     rows = stream_telemetry_ops.daily(stream_telemetry_ops.read_traces(spark, f"{folder}/rows"))
     return rounded(rows.withColumn("day", F.col("day").cast("string")))
+
+
+@query("stream_daily_totals", DAILY)
+def stream_daily_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals written by the stream itself, from versions out of order and some of them twice."""
+    folder = scratch(spark)
+    stream = versions(spark, sf, folder, ("version % 3 = 1", "version % 3 = 2 AND version % 2 = 0", "version % 3 <> 2", "version % 3 = 2"))
+    stream_telemetry_ops.write_daily(stream, f"{folder}/rows", f"{folder}/state").awaitTermination()
+    rows = stream_telemetry_ops.read_daily(spark, f"{folder}/rows")
+    return rounded(rows.withColumn("day", F.col("day").cast("string")))

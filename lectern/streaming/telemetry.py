@@ -1,12 +1,26 @@
-"""Streaming telemetry: the last version of every trace, daily totals per category; the live answer log."""
+"""Streaming telemetry: the last version of every trace, daily totals per category; the live answer log.
+
+Daily totals are kept by difference.  The state store holds, per trace, what its last version counts; a newer version
+takes that back and adds its own, an older or repeated one changes nothing, however late it comes.  A micro-batch
+writes the sums of its differences per day and category, nothing else is read or written again.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lectern.operators.answers import answer_log
+from lectern.streaming import folders
+
+VERSION = "version long, day string, category string, success boolean, latency_ms double, total_cost double"
+AMOUNTS = ("requests", "failures", "measured", "latency_ms", "total_cost")
+DIFFERENCE = "day string, category string, requests long, failures long, measured long, latency_ms double, total_cost double"
 
 
 def write_traces(traces: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -42,6 +56,57 @@ def daily(traces: DataFrame) -> DataFrame:
     )
 
 
+class _Versions(StatefulProcessor):
+    """Differences that the new versions of a trace make to the totals."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", VERSION)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = tuple(self.last.get()) if self.last.exists() else None
+        now = before
+        for frame in rows:
+            for row in zip(*(frame[c.split()[0]] for c in VERSION.split(", ")), strict=True):
+                row = tuple(None if pd.isna(x) else x for x in row)
+                now = row if now is None else max(now, row, key=lambda r: [(x is not None, x if x is not None else 0) for x in r])
+        if now != before:
+            typed = (int(now[0]), now[1], now[2], None if now[3] is None else bool(now[3]), *(None if x is None else float(x) for x in now[4:]))
+            self.last.update(typed)
+            yield pd.DataFrame([_amounts(v, sign) for v, sign in ((before, -1), (now, 1)) if v], columns=["day", "category", *AMOUNTS])
+
+    def close(self) -> None:
+        pass
+
+
+def _amounts(version: tuple, sign: int) -> tuple:
+    _, day, category, success, latency, cost = version
+    return day, category, sign, sign * (success is not None and not success), sign * (latency is not None), sign * (latency or 0.0), sign * (cost or 0.0)
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("day", "category").agg(*[F.sum(a).alias(a) for a in AMOUNTS])
+
+
+def write_daily(traces: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Write the differences that every micro-batch of ``trace_id, version, ...`` makes to the daily totals below ``root``."""
+    counted = traces.select(
+        "trace_id", F.col("version").cast("long").alias("version"), F.date_format(F.date_trunc("day", "created_at"), "yyyy-MM-dd").alias("day"),
+        F.coalesce("category", F.lit("UNKNOWN")).alias("category"), "success", F.col("latency_ms").cast("double").alias("latency_ms"),
+        F.col("total_cost").cast("double").alias("total_cost"),
+    ).filter("version IS NOT NULL")
+    differences = counted.groupBy("trace_id").transformWithStateInPandas(_Versions(), DIFFERENCE, "update", "None")
+    return folders.start(differences, lambda batch, i: folders.save(_summed(batch), i, root, _summed), checkpoint)
+
+
+def read_daily(spark: SparkSession, root: str) -> DataFrame:
+    """The totals that the stream has written: requests, failures, mean latency and cost per day and category."""
+    totals = folders.read(spark, root, _summed).filter("requests > 0")
+    return totals.select(
+        F.to_date("day").alias("day"), "category", "requests", "failures",
+        (F.col("latency_ms") / F.nullif("measured", F.lit(0))).alias("average_latency_ms"), "total_cost",
+    )
+
+
 def append_answers(answers: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append finished answers to the log table."""
     return (

@@ -349,3 +349,46 @@ def test_gold_of_short_passages(spark):
     items = spark.createDataFrame([("a", "cat"), ("b", "nate it"), ("c", ""), ("e", "one cat sat")], "query_id string, query string")
     found = {(r.query_id, r.chunk_id) for r in _containing(items, corpus, None).collect()}
     assert found == {("a", "d1"), ("a", "d2"), ("b", "d2"), ("e", "d1")}
+
+
+def test_streamed_totals_take_old_versions_back(spark, tmp_path, monkeypatch):
+    """Late, repeated and equal versions, missing values, and a snapshot after every second batch."""
+    from lectern.streaming import folders
+    from lectern.streaming import telemetry as live
+
+    save = folders.save
+    monkeypatch.setattr(folders, "save", lambda batch, i, root, resolve: save(batch, i, root, resolve, 2))
+    schema = "trace_id string, version int, created_at timestamp, category string, success boolean, latency_ms double, total_cost double"
+    day, next_day = datetime(2024, 1, 1, 5), datetime(2024, 1, 2, 5)
+    batches = [
+        [("a", 2, day, "X", True, 4.0, 1.0), ("b", 1, day, None, False, None, None), ("c", 1, day, "X", True, 2.0, 1.0)],
+        [("a", 1, day, "Y", False, 9.0, 9.0), ("c", 2, next_day, "X", False, 8.0, 2.0)],
+        [("c", 2, next_day, "X", False, 8.0, 2.0), ("d", 1, next_day, "X", None, 4.0, 2.0)],
+        [("b", 3, next_day, "X", True, 3.0, 0.5)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        live.write_daily(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = {(str(r.day), r.category): (r.requests, r.failures, r.average_latency_ms, r.total_cost) for r in live.read_daily(spark, f"{tmp_path}/out").collect()}
+    assert got == {("2024-01-01", "X"): (1, 0, 4.0, 1.0), ("2024-01-02", "X"): (3, 1, 5.0, 4.5)}
+
+
+def test_order_statistics(spark):
+    import random
+    import statistics
+
+    from lectern.operators import evaluate, quantiles
+
+    rng = random.Random(2)
+    for n in (0, 1, 2, 3, 20, 21, 340, 1001):
+        values = [rng.choice([0.5, 1.0, 1.0, 2.25, rng.random()]) for _ in range(n)]
+        rows = spark.createDataFrame([(v, False, 0.0) for v in [*values, None]], "latency_ms double, technical_failure boolean, estimated_cost double")
+        r = evaluate.latency(rows).first()
+        assert r["count"] == n
+        if n:
+            assert r.median_latency_ms == statistics.median(values) and r.p95_latency_ms == sorted(values)[-(-95 * n // 100) - 1]
+            ranked = quantiles.at_ranks(rows, "latency_ms", lambda k: {"first": k * 0 + 1, "last": k, "beyond": k + 1}).first()
+            assert tuple(ranked) == (min(values), max(values), None)
+        else:
+            assert r.median_latency_ms is None and r.p95_latency_ms is None
