@@ -236,9 +236,12 @@ def parent_expand(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", "chunk_id", big("position"), big("step"))
 
 
-@query("grounded_context")
+@query("grounded_context", f"""
+WITH RECURSIVE {Q.GROUNDED}
+SELECT query_id, CAST(context_position AS BIGINT) AS context_position, chunk_id, document_id, document_type, CAST(page_start AS BIGINT) AS page_start,
+  compressed, original AS original_chars, length(x.text) AS context_chars, md5(x.text) AS text_hash FROM context_t x JOIN chunks_t USING (chunk_id)""")
 def grounded_context(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole path, with compression; checked against a row-at-a-time form in the tests."""
+    """The whole path: two passes, parents, compression and budget."""
     rows, _ = retrieval.retrieve(A.questions(spark, sf), settled_index(spark, sf))
     return rows.select(
         "query_id", big("context_position"), "chunk_id", "document_id", "document_type", big("page_start"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 TOKEN = r"[A-Za-z0-9][A-Za-z0-9_+/#.-]*"
 EDGE = r"[^\p{L}\p{M}\p{N}_]"
@@ -336,3 +338,82 @@ cover_t AS (
   JOIN (SELECT query_id, list_filter(list_distinct({tokens('query')}), lambda t: length(t) > 2 AND NOT list_contains({COVERAGE_STOP}, t)) AS terms
         FROM plan_t) q USING (query_id) GROUP BY 1)
 """
+
+
+# --- the whole path: a second pass for weak questions, parents, compression, budget ---------------------
+
+CORRECTED = (
+    f"trim({_bare('please|could you|explain|describe|write|answer|question')} || ' ' || CASE category "
+    "WHEN 'PROGRAMMING' THEN 'algorithm prerequisite steps pseudocode' WHEN 'SQL' THEN 'SQL syntax SELECT FROM WHERE example' "
+    "WHEN 'COMPARISON' THEN 'definition differences advantages disadvantages' WHEN 'CALCULATION' THEN 'method formula worked example' "
+    "ELSE 'definition explanation' END)"
+)
+_PASS = (
+    "questions_t", "ref_t", "profile_t", "plan_t", "bare_t", "both_t", "variants_t", "vt", "sparse_s", "sparse_r", "query_cells", "dense_pairs",
+    "dense_s", "dense_r", "exact_t", "both_r", "rrf_t", "fused_t", "exact_n", "cand_t", "question_w", "rerank_in", "rerank_t", "ranked_t", "cover_t",
+)
+
+
+def second_pass() -> str:
+    """The retrieval statements again, over ``questions_t2``."""
+    again = ",".join([PROFILE, VARIANTS, SPARSE, DENSE[DENSE.index("query_cells AS"):], EXACT, FUSED, RANKED])
+    return re.sub(rf"\b({'|'.join(_PASS)})\b", r"\g<1>2", again)
+
+
+def _report(n: str) -> str:
+    return f"""SELECT p.query_id, p.query, p.context_chunks, p.context_chars, coalesce(scheme, false) AS scheme,
+    coalesce(n_rows, 0) > 0 AND (coalesce(scheme, false) OR coalesce(coverage, 0.0) >= 0.2) AS sufficient FROM plan_t{n} p LEFT JOIN cover_t{n} USING (query_id)"""
+
+
+COMPRESSION_STOP = "['what','when','where','which','that','this','with','from','into','about','explain','define','answer','question','state','give','describe','identify']"
+_STATE = "{{'used': {used}, 'full': {full}, 'chosen': {chosen}}}"
+_FIRST = "len(a.chosen) = 0"
+_PIECE = f"CASE WHEN {_FIRST} THEN left(x.chosen[1].segment, CAST(lim AS BIGINT)) ELSE x.chosen[1].segment END"
+_ADDED = f"length({_PIECE}) + CASE WHEN {_FIRST} THEN 0 ELSE 2 END"
+_CHOSEN = _STATE.format(
+    used=f"a.used + {_ADDED}", full=f"a.used + {_ADDED} >= lim * 0.85",
+    chosen=f"list_concat(a.chosen, [{{'pos': x.chosen[1].pos, 'segment': {_PIECE}}}])",
+)
+_EMPTY = "{'used': 0::BIGINT, 'full': false, 'chosen': []::STRUCT(pos BIGINT, segment VARCHAR)[]}"
+_GREEDY = f"""array_to_string(list_transform(list_sort(list_reduce(list_concat([{_EMPTY}], i.segments),
+    lambda a, x: CASE WHEN a.full OR (NOT ({_FIRST}) AND a.used + {_ADDED} > lim) THEN a ELSE {_CHOSEN} END).chosen), lambda c: c.segment), chr(10) || chr(10))"""
+GROUNDED = f"""{RETRIEVAL}, {RANKED},
+report1 AS ({_report("")}),
+questions_t2 AS (SELECT q.query_id, q.item_id, q.passage, {CORRECTED.replace("query", "p.query", 1).replace("category", "p.category")} AS query, q.level
+  FROM questions_t q JOIN plan_t p USING (query_id) JOIN report1 r USING (query_id) WHERE NOT r.sufficient),
+{second_pass()},
+report2 AS ({_report("2")}),
+kept AS (SELECT r.query_id, r.chunk_id, r.position, r.route, f.* EXCLUDE (query_id) FROM ranked_t r JOIN report1 f USING (query_id) WHERE f.sufficient
+  UNION ALL SELECT r.query_id, r.chunk_id, r.position, r.route, f.* EXCLUDE (query_id) FROM ranked_t2 r JOIN report2 f USING (query_id)),
+steps AS (SELECT query_id, chunk_id, position, 0 AS step FROM kept WHERE NOT scheme AND sufficient
+  UNION ALL SELECT k.query_id, c.parent_chunk_id, k.position, 1 FROM kept k JOIN chunks_t c USING (chunk_id)
+    JOIN chunks_t p ON p.chunk_id = c.parent_chunk_id AND p.content_type = 'PARENT_CONTEXT' WHERE NOT k.scheme AND k.sufficient),
+grown AS (SELECT * FROM steps QUALIFY step = 0 OR row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY position, step) = 1),
+typed AS (SELECT g.*, c.text, k.query, k.context_chunks, k.context_chars, h.document_type IN ('MARK_SCHEME','QUESTION_PAPER','MARKING_PATTERN') AS whole
+  FROM grown g JOIN chunks_t c USING (chunk_id) JOIN kept k ON k.query_id = g.query_id AND k.position = g.position JOIN chunks_t h ON h.chunk_id = k.chunk_id),
+head AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position, step) AS rn FROM typed WHERE length(text) > 0 QUALIFY rn <= context_chunks),
+blocks AS (SELECT query_id, rn, list_filter(list_transform(regexp_split_to_array(text, '\n{WS}*\n'), lambda b: {strip('b')}), lambda b: b <> '') AS bs FROM head),
+cut AS (SELECT query_id, rn, flatten(list_transform(bs, lambda b: CASE WHEN contains(b, chr(10)) OR length(b) <= 420 THEN [b] ELSE
+    list_filter(list_transform(string_split(regexp_replace(b, '([.!?]){WS}+', '\1' || chr(1), 'g'), chr(1)), lambda s: {strip('s')}), lambda s: s <> '') END)) AS ss FROM blocks),
+asked AS (SELECT DISTINCT query_id, list_filter(list_distinct({tokens('query')}), lambda t: length(t) > 2 AND NOT list_contains({COMPRESSION_STOP}, t)) AS terms FROM kept),
+seg AS (SELECT query_id, rn, unnest(ss) AS segment, unnest(range(0, len(ss))) AS pos FROM cut),
+weighed AS (SELECT query_id, rn, segment, pos, length(segment) AS len, terms, list_distinct({tokens('segment')}) AS found FROM seg JOIN asked USING (query_id)),
+listed AS (SELECT query_id, rn, list({_STATE.format(used="0::BIGINT", full="false", chosen="[{'pos': pos, 'segment': segment}]")} ORDER BY
+    -round(len(list_intersect(terms, found)) / CAST(greatest(1, len(terms)) AS DOUBLE) * 4 + len(list_intersect(terms, found)) / CAST(greatest(1, len(found)) AS DOUBLE) * 2
+      + CASE WHEN pos = 0 OR len < 120 THEN 0.2 ELSE 0.0 END, 9), pos) AS segments FROM weighed GROUP BY ALL),
+items AS (SELECT h.*, coalesce(l.segments, []) AS segments FROM head h LEFT JOIN listed l USING (query_id, rn)),
+filled(query_id, rn, used, chunk_id, selected, original) AS (
+  SELECT DISTINCT query_id, 0::BIGINT, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, 0::BIGINT FROM items
+  UNION ALL
+  SELECT query_id, rn, used + length(sel), chunk_id, sel, length(text) FROM (
+    SELECT i.query_id, i.rn, i.used, i.chunk_id, i.text, CASE WHEN length(i.text) <= lim OR i.whole THEN left(i.text, CAST(lim AS BIGINT)) ELSE {_GREEDY} END AS sel
+    FROM (SELECT i.*, f.used, least(i.context_chars - f.used, 2400) AS lim FROM filled f JOIN items i ON i.query_id = f.query_id AND i.rn = f.rn + 1 WHERE f.used < i.context_chars) i)),
+context_t AS (
+  SELECT query_id, position AS context_position, chunk_id, false AS compressed, text, length(text) AS original FROM kept JOIN chunks_t USING (chunk_id) WHERE scheme AND route = 'exact_metadata'
+  UNION ALL SELECT query_id, rn, chunk_id, length(selected) < original, selected, original FROM filled WHERE rn > 0)"""
+
+#: Read more than once: computed once.
+_SHARED = (
+    "chunks_t|idx|post|tdf|st|chunk_cells|(?:plan_t|variants_t|sparse_r|dense_r|exact_t|cand_t|ranked_t|cover_t|report)[12]?|kept|grown|typed|head|items"
+)
+GROUNDED = re.sub(rf"\b({_SHARED}) AS \(", r"\g<1> AS MATERIALIZED (", GROUNDED)
