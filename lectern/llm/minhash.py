@@ -211,7 +211,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its component; rows without an id stay, repeated rows go."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    first = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("_kept_id"), "left_semi")
-    return first.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs`` that are the first of their component: the one with the smallest id, of equal ids the smallest hash.
+
+    A document is an id with a text, known by a 64-bit hash of both: rows that share an id but no text with anything
+    stay, a repeated row stays once.  Rows without an id stay.
+    """
+    keyed = docs.where(F.col(id_col).isNotNull()).withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
+    found = near_duplicates(keyed, "_row", text_col).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
+    first = keyed.select(F.col(id_col).alias("_id"), "_row").join(found, "_row").groupBy("_component").agg(F.min(F.struct("_id", "_row")).alias("_f"))
+    kept = keyed.join(first.select("_f._row"), "_row", "left_semi").dropDuplicates([id_col, "_row"]).drop("_row")
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

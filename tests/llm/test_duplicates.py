@@ -209,3 +209,11 @@ def test_levels_merge_geometrically():
     assert all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
     gram, code, doc = levels.one()
     assert len(gram) == 28 and doc.max() == 2
+
+
+def test_an_id_with_two_texts_is_two_documents(spark):
+    copy, own = "alpha beta gamma delta epsilon zeta eta", "one two three four five six seven eight nine ten"
+    rows = [(1, copy), (1, own), (2, copy), (3, copy + " theta"), (3, own), (3, own), (4, None), (4, ""), (None, copy), (None, copy)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _component", "'x' AS n_shingles")
+    kept = sorted(((r.doc_id, r.text) for r in minhash.deduplicate(df).select("doc_id", "text").collect()), key=str)
+    assert kept == sorted([(1, copy), (1, own), (4, None), (4, ""), (None, copy), (None, copy)], key=str)
