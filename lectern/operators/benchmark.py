@@ -10,6 +10,7 @@ from lectern.functions import understanding as U
 from lectern.operators import chunking, search, skew
 from lectern.operators.contracts import MEASURABLE, STATUSES
 from lectern.operators.index import Index
+from lectern.session import settled
 
 PAIR = ("subject_code", "year", "session", "component", "question_number")
 SESSION_LABELS = {"MJ": "M/J", "ON": "O/N", "FM": "F/M"}
@@ -103,28 +104,43 @@ def source_records(chunks: DataFrame, limit: int) -> DataFrame:
     )
 
 
+def with_all_terms(hits: DataFrame, terms: DataFrame, index: Index) -> DataFrame:
+    """``hits (case_id, chunk_id)`` whose chunk has every one of the case's ``terms (case_id, term)``.
+
+    The postings are intersected rarest term first, so the other terms are looked up only for chunks that have it;
+    a term that no chunk has leaves nothing.
+    """
+    wanted = terms.distinct().join(index.terms, "term", "left")
+    ordered = Window.partitionBy("case_id").orderBy(F.coalesce("df", F.lit(0)), "term")
+    placed = wanted.withColumn("_at", F.row_number().over(ordered)).select("case_id", "term", "_at")
+    has = index.postings.select("chunk_id", "term")
+    first = hits.select("case_id", "chunk_id").join(placed.filter("_at = 1"), "case_id").join(has, ["chunk_id", "term"], "left_semi")
+    others = first.select("case_id", "chunk_id").join(placed.filter("_at > 1"), "case_id").join(has, ["chunk_id", "term"], "left_semi")
+    found = others.groupBy("case_id", "chunk_id").agg(F.count("*").alias("_found"))
+    needed = placed.groupBy("case_id").agg((F.count("*") - 1).alias("_needed"))
+    counted = first.select("case_id", "chunk_id").join(found, ["case_id", "chunk_id"], "left").join(needed, "case_id")
+    return counted.filter(F.coalesce("_found", F.lit(0)) == F.col("_needed")).select("case_id", "chunk_id")
+
+
 def curriculum_sources(cases: DataFrame, index: Index, depth: int = 40) -> DataFrame:
-    """The source chunk of each curriculum case ``(case_id, query, level, terms)``.
+    """The source chunk of each curriculum case ``(case_id, query, level, terms)``; a case has at least one term.
 
     Among the top BM25 chunks of the level: a textbook chunk with all terms as words, else as tokens,
     else a syllabus chunk; the best-ranked one of the first kind found.
     """
-    asked = cases.select(F.col("case_id").alias("query_id"), "query", "level")
-    hits = search.bm25(asked, index, depth).select(F.col("query_id").alias("case_id"), "chunk_id", "rank")
-    text = index.chunks.select("chunk_id", "document_id", "page_start", "document_type", "retrieval_text")
-    rows = text.join(hits, "chunk_id").join(cases.select("case_id", "terms"), "case_id")
-    all_in = lambda found: F.size(F.array_except("terms", found)) == 0
-    plain = T.words(F.replace(F.lower("retrieval_text"), F.lit("’"), F.lit("'")))
-    kind = (
-        F.when((F.col("document_type") == "TEXTBOOK") & all_in(plain), 1)
-        .when((F.col("document_type") == "TEXTBOOK") & all_in(T.tokens("retrieval_text")), 2)
-        .when((F.col("document_type") == "SYLLABUS") & all_in(T.tokens("retrieval_text")), 3)
-    )
-    found = rows.withColumn("kind", kind).filter(F.col("kind").isNotNull())
-    best = found.groupBy("case_id").agg(
-        F.min_by(F.struct("chunk_id", "document_id", "page_start", "kind"), F.struct("kind", "rank")).alias("_row")
-    )
-    return best.select("case_id", "_row.*")
+    asked = cases.select(F.col("case_id").cast("string").alias("query_id"), "query", "level")
+    hits = settled(search.bm25(asked, index, depth).select(F.col("query_id").alias("case_id"), "chunk_id", "document_type", "rank"), "case_hits")
+    keyed = cases.select(F.col("case_id").cast("string").alias("case_id"), "terms")
+    # as words, punctuation and all: only the texts of the textbook hits tell
+    texts = index.chunks.select("chunk_id", T.words(F.replace(F.lower("retrieval_text"), F.lit("’"), F.lit("'"))).alias("_words"))
+    textbook = hits.filter("document_type = 'TEXTBOOK'").join(texts, "chunk_id").join(keyed, "case_id")
+    plain = textbook.filter(F.size(F.array_except("terms", "_words")) == 0).select("case_id", "chunk_id", "rank", F.lit(1).alias("kind"))
+    whole = with_all_terms(hits, keyed.select("case_id", F.explode("terms").alias("term")), index)
+    kind = F.when(F.col("document_type") == "TEXTBOOK", 2).when(F.col("document_type") == "SYLLABUS", 3)
+    as_tokens = hits.join(whole, ["case_id", "chunk_id"]).select("case_id", "chunk_id", "rank", kind.alias("kind")).filter("kind IS NOT NULL")
+    best = plain.unionByName(as_tokens).groupBy("case_id").agg(F.min(F.struct("kind", "rank", "chunk_id")).alias("_row"))
+    identity = index.chunks.select("chunk_id", "document_id", "page_start")
+    return best.select("case_id", "_row.*").join(identity, "chunk_id").select("case_id", "chunk_id", "document_id", "page_start", "kind")
 
 
 def generate(curriculum: DataFrame, pairs: DataFrame, chunks: DataFrame, target: int = 120) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import hashing as H
 from lectern.functions import text as T
-from lectern.operators import chunking
+from lectern.operators import chunking, phrases
 
 ROUTING = ("chunk_id", "ord", "document_type", "level")
 
@@ -35,14 +35,12 @@ class Index:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """Term frequencies of the searchable chunks; counting is combined before the shuffle."""
+    """Term frequencies of the searchable chunks, counted inside each row: nothing is shuffled."""
     rows = chunking.indexable(chunks).select(
         *ROUTING, T.tokens(F.coalesce("retrieval_text", "text")).alias("_tokens")
     )
-    exploded = rows.select(
-        *ROUTING, F.size("_tokens").alias("dl"), F.explode_outer("_tokens").alias("term")
-    ).filter(F.col("term").isNotNull())
-    return exploded.groupBy(*ROUTING, "dl", "term").agg(F.count("*").alias("tf"))
+    exploded = rows.select(*ROUTING, F.size("_tokens").alias("dl"), F.explode_outer(phrases.counted(F.col("_tokens"))).alias("_t"))
+    return exploded.filter(F.col("_t").isNotNull()).select(*ROUTING, "dl", F.col("_t.value").alias("term"), F.col("_t.n").cast("bigint").alias("tf"))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from lectern.plans import retrieval
 from lectern.plans import sql as Q
 from lectern.plans.records_queries import rounded
 from lectern.plans.registry import SQL, query
+from lectern.plans.retrieval_queries import settled_index
 from lectern.plans.text_queries import quality_sql
 from lectern.sources import adapters as A
 
@@ -276,8 +277,40 @@ DIFFICULTY_SQL = f"""CASE WHEN {Q.word_test('query', 'evaluate|justify|analyse|c
   WHEN regexp_matches(query, '(?i)^\\s*(?:state|define|identify|name|what is)(?:{Q.EDGE}|$)') THEN 'BEGINNER' ELSE 'INTERMEDIATE' END"""
 
 
+CURRICULUM = f"""
+case_w AS (SELECT item_id, {Q.words('text')} AS ws FROM benchmark),
+case_t AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'O_LEVEL' ELSE 'A_LEVEL' END AS level, array_to_string(ws[1:6], ' ') AS query,
+  list_distinct({Q.tokens("array_to_string(ws[1:2], ' ')")}) AS terms FROM case_w),
+variants_t AS (SELECT CAST(item_id AS VARCHAR) AS query_id, 1 AS variant, query AS vquery, level FROM case_t), {Q.SPARSE},
+case_hits AS (SELECT c.item_id, k.chunk_id, k.document_id, k.page_start, s.rank, CASE
+    WHEN k.document_type = 'TEXTBOOK' AND len(list_filter(c.terms, lambda t: NOT list_contains({Q.words("replace(lower(k.retrieval_text), '’', chr(39))")}, t))) = 0 THEN 1
+    WHEN k.document_type = 'TEXTBOOK' AND len(list_filter(c.terms, lambda t: NOT list_contains({Q.tokens('k.retrieval_text')}, t))) = 0 THEN 2
+    WHEN k.document_type = 'SYLLABUS' AND len(list_filter(c.terms, lambda t: NOT list_contains({Q.tokens('k.retrieval_text')}, t))) = 0 THEN 3 END AS kind
+  FROM sparse_r s JOIN case_t c ON s.query_id = CAST(c.item_id AS VARCHAR) JOIN chunks_t k USING (chunk_id) WHERE rank <= 40),
+case_best AS (SELECT * FROM case_hits WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY kind, rank) = 1)"""
+
+
+def curriculum_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Every passage as a case: its first six words asked, the tokens of the first two required."""
+    words = T.words("text")
+    return A.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("case_id"), F.array_join(F.slice(words, 1, 6), " ").alias("query"),
+        F.when(F.col("item_id") % 2 == 0, "O_LEVEL").otherwise("A_LEVEL").alias("level"),
+        T.token_set(F.array_join(F.slice(words, 1, 2), " ")).alias("terms"),
+    )
+
+
+@query("curriculum_evidence", f"""
+WITH {Q.CHUNKS}, {Q.INDEX}, {CURRICULUM}
+SELECT item_id AS case_id, chunk_id, document_id, CAST(page_start AS BIGINT) AS page_start, CAST(kind AS BIGINT) AS kind FROM case_best""")
+def curriculum_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    found = benchmark.curriculum_sources(curriculum_cases(spark, sf), settled_index(spark, sf, vectors=False))
+    return rounded(found.withColumn("case_id", F.col("case_id").cast("bigint")))
+
+
 @query("benchmark_generate", f"""
-WITH {PAIRS}, cur AS (SELECT item_id, text AS query, CASE WHEN item_id % 2 = 0 THEN 'O_LEVEL' ELSE 'A_LEVEL' END AS level FROM benchmark),
+WITH {PAIRS}, {Q.INDEX}, {CURRICULUM},
+cur AS (SELECT item_id, text AS query, CASE WHEN item_id % 2 = 0 THEN 'O_LEVEL' ELSE 'A_LEVEL' END AS level FROM benchmark JOIN case_best USING (item_id)),
 s1 AS (SELECT 1 AS stratum, row_number() OVER (ORDER BY item_id) AS o, 0 AS n, query AS question, {Q.CATEGORY} AS category, {DIFFICULTY_SQL} AS difficulty, level FROM cur),
 pq AS (SELECT p.ord, c.text AS query, c.level, row_number() OVER (ORDER BY p.ord) AS n, 'Answer ' || c.subject_code || '/' || c.component || '/' ||
     CASE c.session WHEN 'MJ' THEN 'M/J' WHEN 'ON' THEN 'O/N' WHEN 'FM' THEN 'F/M' ELSE c.session END || '/' || right(CAST(c.year AS VARCHAR), 2) ||
@@ -294,10 +327,12 @@ po AS (SELECT *, row_number() OVER (ORDER BY stratum, o) AS position FROM al QUA
 SELECT CASE stratum WHEN 1 THEN 'CURRICULUM_' || printf('%03d', o) WHEN 2 THEN 'BENCH_' || printf('%04d', n) ELSE 'SOURCE_' || printf('%04d', position) END AS id,
   category, difficulty, level, stratum, position, md5(question) AS question_hash FROM po""")
 def benchmark_generate(spark: SparkSession, sf: str) -> DataFrame:
-    """Curriculum questions from the passages, exact pairs by turns, and textbook questions up to the target."""
-    chunks = retrieval.settle(A.chunks(spark, sf))
+    """Curriculum questions of the passages that have a source, exact pairs by turns, and textbook questions up to the target."""
+    built = settled_index(spark, sf, vectors=False)
+    chunks = built.chunks
+    sources = benchmark.curriculum_sources(curriculum_cases(spark, sf), built).select(F.col("case_id").cast("bigint").alias("item_id"))
     pairs = benchmark.pair_records(benchmark.exact_pairs(chunks))
-    asked = A.table(spark, sf, "benchmark").select(
+    asked = A.table(spark, sf, "benchmark").join(sources, "item_id", "left_semi").select(
         F.col("item_id").alias("place"), F.col("text").alias("query"), F.when(F.col("item_id") % 2 == 0, "O_LEVEL").otherwise("A_LEVEL").alias("level"),
         F.lit(None).cast("int").alias("exam_year"))
     curriculum = U.with_profile(asked).select(
