@@ -218,3 +218,23 @@ def test_sparse_and_dense_hash_vectors_agree(spark):
     assert dense.shape == (384,) and abs(np.linalg.norm(dense) - 1) < 1e-9
     unit = search._unit(pd.DataFrame([sparse.first().asDict()]))
     assert np.allclose(unit[0], dense)
+
+
+def test_curriculum_source_has_every_term(spark):
+    """Words before tokens before the syllabus; a term that nothing has leaves a case without a source."""
+    from lectern.operators import benchmark, index
+
+    rows = [("w", "TEXTBOOK", "stack and queue here here here"), ("t", "TEXTBOOK", "the stack, and the queue."), ("s", "SYLLABUS", "stack queue heap"),
+            ("x", "TEXTBOOK", "stack only"), ("o", "TEXTBOOK", "heap alone")]
+    chunks = spark.createDataFrame(
+        [(c, "d", kind, "O_LEVEL", 1, text, text, "EXPLANATION", i) for i, (c, kind, text) in enumerate(rows)],
+        "chunk_id string, document_id string, document_type string, level string, page_start int, text string, retrieval_text string, content_type string, ord long")
+    built = index.lexical(chunks)
+    cases = spark.createDataFrame(
+        [(1, "stack queue", "O_LEVEL", ["stack", "queue"]), (2, "stack queue", "O_LEVEL", ["stack,", "the"]), (3, "heap stack", "O_LEVEL", ["stack", "heap"]),
+         (4, "stack", "O_LEVEL", ["stack", "nowhere"]), (5, "stack", "A_LEVEL", ["stack"])],
+        "case_id long, query string, level string, terms array<string>")
+    got = {r.case_id: (r.chunk_id, r.kind) for r in benchmark.curriculum_sources(cases, built).collect()}
+    assert got == {"1": ("w", 1), "2": ("t", 1), "3": ("s", 3)}
+    counts = {(r.chunk_id, r.term): (r.tf, r.dl) for r in built.postings.collect()}
+    assert counts[("w", "here")] == (3, 6) and counts[("x", "only")] == (1, 2)
