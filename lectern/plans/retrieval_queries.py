@@ -237,7 +237,7 @@ def parent_expand(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("grounded_context", f"""
-WITH RECURSIVE {Q.GROUNDED}
+WITH RECURSIVE {Q.grounded()}
 SELECT query_id, CAST(context_position AS BIGINT) AS context_position, chunk_id, document_id, document_type, CAST(page_start AS BIGINT) AS page_start,
   compressed, original AS original_chars, length(x.text) AS context_chars, md5(x.text) AS text_hash FROM context_t x JOIN chunks_t USING (chunk_id)""")
 def grounded_context(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,3 +247,22 @@ def grounded_context(spark: SparkSession, sf: str) -> DataFrame:
         "query_id", big("context_position"), "chunk_id", "document_id", "document_type", big("page_start"),
         "compressed", big("original_chars"), big("context_chars"), F.md5("text").alias("text_hash"),
     )
+
+
+GUIDANCE = " mark scheme examiner report marking guidance"
+
+
+GUIDED = Q.QUESTIONS.replace("questions_t AS (", "wording_t AS (") + f""",
+questions_t AS (SELECT CAST(item_id AS VARCHAR) || '#1' AS query_id, item_id, passage, query || '{GUIDANCE}' AS query, NULL::VARCHAR AS level FROM wording_t)"""
+
+
+@query("grading_evidence", f"""
+WITH RECURSIVE {Q.grounded(GUIDED, 6)}
+SELECT query_id, CAST(context_position AS BIGINT) AS context_position, chunk_id, document_type, compressed, md5(x.text) AS text_hash
+FROM context_t x JOIN chunks_t USING (chunk_id) WHERE document_type IN ('MARK_SCHEME', 'EXAMINER_REPORT', 'QUESTION_PAPER')""")
+def grading_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Marking evidence for every question as one that a submission answers."""
+    asked = A.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("submission_id"), F.lit(1).alias("number"), A.question_text(F.col("item_id"), F.col("text")).alias("question"))
+    rows = retrieval.grading_evidence(asked, settled_index(spark, sf))
+    return rows.select("query_id", big("context_position"), "chunk_id", "document_type", "compressed", F.md5("text").alias("text_hash"))

@@ -377,7 +377,16 @@ _CHOSEN = _STATE.format(
 _EMPTY = "{'used': 0::BIGINT, 'full': false, 'chosen': []::STRUCT(pos BIGINT, segment VARCHAR)[]}"
 _GREEDY = f"""array_to_string(list_transform(list_sort(list_reduce(list_concat([{_EMPTY}], i.segments),
     lambda a, x: CASE WHEN a.full OR (NOT ({_FIRST}) AND a.used + {_ADDED} > lim) THEN a ELSE {_CHOSEN} END).chosen), lambda c: c.segment), chr(10) || chr(10))"""
-GROUNDED = f"""{RETRIEVAL}, {RANKED},
+#: Read more than once: computed once.
+_SHARED = (
+    "chunks_t|idx|post|tdf|st|chunk_cells|(?:plan_t|variants_t|sparse_r|dense_r|exact_t|cand_t|ranked_t|cover_t|report)[12]?|kept|grown|typed|head|items"
+)
+
+
+def grounded(questions: str = QUESTIONS, maximum: int | None = None) -> str:
+    """Everything up to ``context_t`` for the rows of ``questions_t``; ``maximum`` takes the place of the plan's chunk count."""
+    first = ",".join([CHUNKS, INDEX, questions, PROFILE, VARIANTS, SPARSE, DENSE, EXACT, FUSED])
+    statements = f"""{first}, {RANKED},
 report1 AS ({_report("")}),
 questions_t2 AS (SELECT q.query_id, q.item_id, q.passage, {CORRECTED.replace("query", "p.query", 1).replace("category", "p.category")} AS query, q.level
   FROM questions_t q JOIN plan_t p USING (query_id) JOIN report1 r USING (query_id) WHERE NOT r.sufficient),
@@ -411,9 +420,6 @@ filled(query_id, rn, used, chunk_id, selected, original) AS (
 context_t AS (
   SELECT query_id, position AS context_position, chunk_id, false AS compressed, text, length(text) AS original FROM kept JOIN chunks_t USING (chunk_id) WHERE scheme AND route = 'exact_metadata'
   UNION ALL SELECT query_id, rn, chunk_id, length(selected) < original, selected, original FROM filled WHERE rn > 0)"""
-
-#: Read more than once: computed once.
-_SHARED = (
-    "chunks_t|idx|post|tdf|st|chunk_cells|(?:plan_t|variants_t|sparse_r|dense_r|exact_t|cand_t|ranked_t|cover_t|report)[12]?|kept|grown|typed|head|items"
-)
-GROUNDED = re.sub(rf"\b({_SHARED}) AS \(", r"\g<1> AS MATERIALIZED (", GROUNDED)
+    if maximum:
+        statements = statements.replace("greatest(p.context_chunks, 8)", str(max(maximum, 8))).replace("p.query, p.context_chunks,", f"p.query, {maximum} AS context_chunks,")
+    return re.sub(rf"\b({_SHARED}) AS \(", r"\g<1> AS MATERIALIZED (", statements)
