@@ -35,36 +35,50 @@ def cache_key(model: str, text: Column | str) -> Column:
     return F.sha2(F.concat(F.lit(model), F.lit("\x00"), T._col(text)), 256)
 
 
-def _token_slot(token: Column, dimensions: int) -> tuple[Column, Column]:
-    value = F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("bigint")
-    sign = F.when(value % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-    return (value % dimensions).cast("int"), sign
+def _cells(tokens: Column, dimensions: int) -> Column:
+    """``array<struct<slot, weight>>`` by slot: every token adds one to its slot or takes one away.
 
+    A token becomes twice its slot plus its sign bit; equal codes stand together once sorted, and the two codes of a
+    slot are neighbours, so one pass over the ends of the runs gives the weights.
+    """
+    digest = lambda t: F.conv(F.substring(F.sha2(t, 256), 1, 8), 16, 10).cast("bigint")
+    coded = F.transform(tokens, lambda t: T.let(digest(t), lambda v: ((v % dimensions) * 2 + v % 2).cast("int")))
 
-def hash_embedding(df: DataFrame, key: str, text: str, dimensions: int = HASH_DIMENSIONS) -> DataFrame:
-    """Sparse unit vectors ``(key, slots array<int>, weights array<double>)``, one row per key with
-    at least one non-zero slot.
+    def counted(codes: Column) -> Column:
+        size = F.size(codes)
+        at = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(codes, i) != F.get(codes, i - 1)))
 
-    Rows are hashed once by key; both aggregations then run inside that partitioning, and the
-    collected list never exceeds ``dimensions`` entries.
-    """
-    rows = df.select(key, T.tokens(text).alias("_tokens")).repartition(key)
-    slot, sign = _token_slot(F.col("_token"), dimensions)
-    weights = (
-        rows.select(key, F.explode_outer("_tokens").alias("_token"))
-        .filter(F.col("_token").isNotNull())
-        .groupBy(key, slot.alias("_slot"))
-        .agg(F.sum(sign).alias("_weight"))
-        .filter(F.col("_weight") != 0)
-    )
-    packed = weights.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_slot", "_weight"))).alias("_cells"),
-        F.sqrt(F.sum(F.col("_weight") * F.col("_weight"))).alias("_norm"),
-    )
-    return packed.select(
-        key,
-        F.col("_cells._slot").alias("slots"),
-        F.transform("_cells", lambda c: c["_weight"] / F.col("_norm")).alias("weights"),
+        def runs(starts: Column) -> Column:
+            ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(size))
+            return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(codes, a).alias("code"), (b - a).alias("n")))
+
+        return T.let(at, runs)
+
+    def paired(runs: Column) -> Column:
+        slot = lambda run: F.floor(run["code"] / 2).cast("int")
+
+        def weight(run: Column, i: Column) -> Column:
+            after, before = F.get(runs, i + 1), F.get(runs, F.when(i > 0, i - 1))
+            added = F.when(slot(after) == slot(run), after["n"]).otherwise(0)
+            value = F.when(run["code"] % 2 == 0, added - run["n"]).when(slot(before) == slot(run), F.lit(0)).otherwise(run["n"])
+            return F.struct(slot(run).alias("slot"), value.cast("double").alias("weight"))
+
+        return F.filter(F.transform(runs, weight), lambda c: c["weight"] != 0)
+
+    none = F.array().cast("array<struct<slot: int, weight: double>>")
+    return F.when(F.size(tokens) > 0, T.let(T.let(F.array_sort(coded), counted), paired)).otherwise(none)
+
+
+def hash_embedding(df: DataFrame, key: str, text: str, dimensions: int = HASH_DIMENSIONS) -> DataFrame:
+    """Sparse unit vectors ``(key, slots array<int>, weights array<double>)``, one row per row of ``df`` with
+    at least one non-zero slot; computed inside the row, nothing is shuffled."""
+    cells = T.let(T.tokens(text), lambda tokens: _cells(tokens, dimensions))
+    # the outer explode keeps the optimizer from copying the cells into the size filter
+    rows = df.select(key, F.explode_outer(F.array(cells)).alias("_cells")).filter(F.size("_cells") > 0)
+    norm = F.sqrt(F.aggregate("_cells", F.lit(0.0), lambda a, c: a + c["weight"] * c["weight"]))
+    return rows.select(
+        key, F.col("_cells.slot").alias("slots"),
+        T.let(norm, lambda n: F.transform("_cells", lambda c: c["weight"] / n)).alias("weights"),
     )
 
 

@@ -96,16 +96,18 @@ def assemble(rows: DataFrame) -> DataFrame:
 
 
 def _numbered_pieces(pages: DataFrame, pieces: Column) -> DataFrame:
-    """One row per entry of ``pieces`` with its 1-based sequence inside the document.
+    """One row per entry of ``pieces`` (of ``clean_text``) with its 1-based sequence inside the document.
 
+    Counts per page go through the window first and the offsets are joined to whole pages; a page is split after
+    that, so what crosses a shuffle is its text once, not its overlapping pieces.
     The outer explode keeps the optimizer from deriving a size filter that would evaluate ``pieces``
     again below the join.
     """
     kept = [c for c in (*DOCUMENT_COLUMNS, "page_number", *PAGE_FLAGS) if c in pages.columns]
-    prepared = pages.select(*kept, pieces.alias("_pieces"))
-    placed = skew.running_offset(prepared, "document_id", "page_number", F.size("_pieces"))
+    text = [] if "clean_text" in kept else ["clean_text"]
+    placed = skew.running_offset(pages.select(*kept, *text), "document_id", "page_number", F.size(pieces))
     return (
-        placed.select(*kept, "offset", F.posexplode_outer("_pieces").alias("_pos", "_piece"))
+        placed.select(*kept, "offset", F.posexplode_outer(pieces).alias("_pos", "_piece"))
         .filter(F.col("_pos").isNotNull())
         .withColumn("sequence", (F.col("offset") + F.col("_pos") + 1).cast("int"))
         .drop("offset", "_pos")

@@ -59,9 +59,10 @@ def lexical(chunks: DataFrame) -> Index:
 
 def hash_vectors(chunks: DataFrame) -> DataFrame:
     """Sparse vectors of the deterministic hash embedding for every searchable chunk with any token."""
-    rows = chunking.indexable(chunks).select(*ROUTING, F.coalesce("retrieval_text", "text").alias("_text"))
-    sparse = H.hash_embedding(rows, "chunk_id", "_text")
-    return rows.drop("_text").join(sparse, "chunk_id")
+    rows = chunking.indexable(chunks).select(
+        F.struct(*ROUTING).alias("_row"), F.coalesce("retrieval_text", "text").alias("_text")
+    )
+    return H.hash_embedding(rows, "_row", "_text").select("_row.*", "slots", "weights")
 
 
 def embed(texts: DataFrame, key: str, text: str, embed_fn: Callable[[list[str]], np.ndarray]) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -72,10 +73,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, index: Index, k: int = DEPTH) -> DataFrame:
     """Top ``k`` chunks per (query, variant) by BM25 with whole-collection statistics.
 
-    Three exact forms, chosen by checked sizes.  A weight matrix (terms by queries) of bounded size is
-    broadcast and multiplied with the term frequencies of each chunk batch, so only local winners are
-    shuffled.  A larger but bounded term list is broadcast into a join.  Beyond that, postings and
-    terms meet in a salted join, so a term found in a third of all chunks is spread.
+    A weight matrix (terms by queries) of checked size is broadcast and multiplied with the term frequencies of each
+    chunk; every task keeps a running top ``k``, so ``k`` rows a query leave it at most.  For more queries than such
+    a matrix holds, postings and terms meet in a salted join, so a term found in a third of all chunks is spread.
     """
     terms = query_terms(queries)
     n = index.stats.select("n").scalar()
@@ -85,33 +85,30 @@ def bm25(queries: DataFrame, index: Index, k: int = DEPTH) -> DataFrame:
     wanted = F.broadcast(terms) if small else terms
     weighted = index.terms.join(wanted, "term").withColumn("weight", F.col("qtf") * idf).drop("df", "qtf")
     saturation = F.col("tf") * K1_PLUS_1 / (F.col("tf") + K1 * (KEEP + SLOPE * F.col("dl") / average))
+    scored = None
     if small:
         head = weighted.limit(MATRIX_TERMS + 1).toPandas()
         cells = head["term"].nunique() * len(head[["query_id", "variant"]].drop_duplicates())
         if len(head) <= MATRIX_TERMS and cells <= MATRIX_CELLS:
             scored = _matrix_scores(head, index.postings, saturation, k)
-            return top_k(scored, ["query_id", "variant"], [F.desc("score"), F.col("ord")], k).withColumn(
-                "lane", F.lit("sparse")
-            )
-        joined = index.postings.join(F.broadcast(weighted), "term")
-    else:
-        joined = skew.salted_join(index.postings, weighted, ["term"], "chunk_id")
-    joined = joined.filter(
-        matches(F.col("want_level"), F.col("level")) & matches(F.col("want_type"), F.col("document_type"))
-    )
-    scored = joined.groupBy("query_id", "variant", "chunk_id", "ord", "document_type").agg(
-        F.round(F.sum(F.col("weight") * saturation), 9).alias("score")
-    ).filter(F.col("score") != 0)
+    if scored is None:
+        joined = skew.salted_join(index.postings, weighted, ["term"], "chunk_id").filter(
+            matches(F.col("want_level"), F.col("level")) & matches(F.col("want_type"), F.col("document_type"))
+        )
+        scored = joined.groupBy("query_id", "variant", "chunk_id", "ord", "document_type").agg(
+            F.round(F.sum(F.col("weight") * saturation), 9).alias("score")
+        ).filter(F.col("score") != 0)
     return top_k(scored, ["query_id", "variant"], [F.desc("score"), F.col("ord")], k).withColumn(
         "lane", F.lit("sparse")
     )
 
 
 def _matrix_scores(weighted: pd.DataFrame, postings: DataFrame, saturation: Column, k: int) -> DataFrame:
-    """Local BM25 winners of every chunk batch from one broadcast weight matrix.
+    """BM25 winners of every task from one broadcast weight matrix.
 
     Postings are cut to the query vocabulary and packed per chunk (never more cells than the chunk has
-    terms); Python sees one row per chunk.
+    terms); Python sees one row per chunk.  A block of chunks is multiplied only for the queries that it can
+    still change: the sum of its best cell per term, weighted, must reach the query's ``k``-th score so far.
     """
     spark = postings.sparkSession
     asked = weighted[["query_id", "variant", "want_level", "want_type"]].drop_duplicates(["query_id", "variant"]).reset_index(drop=True)
@@ -131,80 +128,126 @@ def _matrix_scores(weighted: pd.DataFrame, postings: DataFrame, saturation: Colu
         .agg(F.collect_list("_cell").alias("_cells"))
         .select("chunk_id", "ord", "document_type", "level", F.col("_cells.slot").alias("slots"), F.col("_cells.value").alias("values"))
     )
-    step = max(1, MATRIX_CELLS // max(1, len(vocabulary)))
+    most = max(1, MATRIX_CELLS // max(1, len(asked)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frame, matrix = shared.value
+        best = Winners(frame, k)
         for batch in batches:
-            for start in range(0, len(batch), step):
-                part = batch.iloc[start:start + step]
-                found = np.zeros((len(part), matrix.shape[0]))
-                sizes = part["slots"].map(len).to_numpy()
-                found[np.repeat(np.arange(len(part)), sizes), np.concatenate(part["slots"].tolist())] = np.concatenate(
-                    part["values"].tolist()
-                )
-                hits = _winners(frame, np.round(found @ matrix, 9), part, k)
-                yield hits[hits["score"] != 0]
+            for part in _parts(batch, _lengths(batch.column("slots")), most):
+                at, values = _flat(part.column("slots")), _flat(part.column("values"))
+                ceiling = np.zeros(len(matrix))
+                np.maximum.at(ceiling, at, values)
+                open_to = np.flatnonzero(ceiling @ matrix + 1e-6 >= best.floor)
+                if len(open_to):
+                    lengths = _lengths(part.column("slots"))
+                    starts = np.cumsum(lengths) - lengths
+                    scores = np.round(np.add.reduceat(matrix[np.ix_(at, open_to)] * values[:, None], starts, axis=0), 9)
+                    scores[scores == 0] = -np.inf
+                    best.add(scores, part, open_to)
+        yield best.batch()
 
-    return packed.mapInPandas(run, HIT_SCHEMA)
+    return packed.mapInArrow(run, HIT_SCHEMA)
 
 
-# --- dense ---------------------------------------------------------------------------------------------
+# --- running winners of a task ---------------------------------------------------------------------------
 
 HIT_SCHEMA = "query_id string, variant int, chunk_id string, ord bigint, document_type string, score double"
 
 
-def _unit(frame: pd.DataFrame) -> np.ndarray:
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _flat(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose rows have about ``most`` cells together, one row at least."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+class Winners:
+    """Best ``k`` rows seen so far for every query, by score and then ``ord``; filters of the queries applied."""
+
+    def __init__(self, queries: pd.DataFrame, k: int) -> None:
+        self.queries, self.k = queries.reset_index(drop=True), k
+        self.floor = np.full(len(queries), -np.inf)
+        self.kept = pd.DataFrame({
+            "owner": np.array([], np.int64), "score": np.array([], np.float64), "ord": np.array([], np.int64),
+            "chunk_id": np.array([], object), "document_type": np.array([], object),
+        })
+
+    def add(self, scores: np.ndarray, rows: pa.RecordBatch | pa.Table, columns: np.ndarray | None = None) -> None:
+        """Scores of ``rows`` (down) for the queries at ``columns`` (across; all of them by default)."""
+        columns = np.arange(len(self.queries)) if columns is None else columns
+        for name in ("level", "document_type"):
+            wanted = self.queries[name].to_numpy(dtype=object)[columns]
+            if not pd.isna(wanted).all():
+                have = rows.column(name).to_pandas().to_numpy(dtype=object)
+                scores = np.where((have[:, None] == wanted[None, :]) | pd.isna(wanted)[None, :], scores, -np.inf)
+        edge = self.floor[columns]
+        if len(scores) > self.k:
+            edge = np.maximum(edge, np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k])
+        at, owner = np.nonzero((scores >= edge) & np.isfinite(scores))
+        if not len(at):
+            return
+        taken = rows.take(pa.array(at))
+        fresh = pd.DataFrame({
+            "owner": columns[owner], "score": scores[at, owner], "ord": taken.column("ord").to_numpy(),
+            "chunk_id": taken.column("chunk_id").to_pandas().to_numpy(dtype=object),
+            "document_type": taken.column("document_type").to_pandas().to_numpy(dtype=object),
+        })
+        both = pd.concat([self.kept, fresh], ignore_index=True) if len(self.kept) else fresh
+        both = both.iloc[np.lexsort((both["ord"], -both["score"], both["owner"]))]
+        groups = both["owner"].to_numpy()
+        rank = np.arange(len(groups)) - np.searchsorted(groups, groups)
+        self.kept = both[rank < self.k]
+        last = both[rank == self.k - 1]
+        self.floor[last["owner"].to_numpy()] = last["score"].to_numpy()
+
+    def batch(self) -> pa.RecordBatch:
+        owner = self.kept["owner"].to_numpy()
+        return pa.RecordBatch.from_arrays([
+            pa.array(self.queries["query_id"].to_numpy(dtype=object)[owner], pa.string()),
+            pa.array(self.queries["variant"].to_numpy()[owner].astype(np.int32), pa.int32()),
+            pa.array(self.kept["chunk_id"].to_numpy(dtype=object), pa.string()),
+            pa.array(self.kept["ord"].to_numpy(), pa.int64()),
+            pa.array(self.kept["document_type"].to_numpy(dtype=object), pa.string()),
+            pa.array(self.kept["score"].to_numpy(), pa.float64()),
+        ], names=["query_id", "variant", "chunk_id", "ord", "document_type", "score"])
+
+
+# --- dense ---------------------------------------------------------------------------------------------
+
+DENSE_ROWS = 4096
+
+
+def _unit(rows: pa.RecordBatch | pa.Table | pd.DataFrame) -> np.ndarray:
     """Unit row vectors from an ``embedding`` column or from sparse ``slots`` and ``weights``."""
-    if "embedding" in frame.columns:
-        matrix = np.stack([np.asarray(r, dtype=np.float64) for r in frame["embedding"]])
+    rows = pa.Table.from_pandas(rows, preserve_index=False) if isinstance(rows, pd.DataFrame) else rows
+    column = lambda name: rows.column(name).combine_chunks() if isinstance(rows, pa.Table) else rows.column(name)
+    if not rows.num_rows:
+        return np.zeros((0, 1))
+    if "embedding" in rows.schema.names:
+        matrix = _flat(column("embedding")).astype(np.float64).reshape(rows.num_rows, -1)
     else:
-        matrix = np.zeros((len(frame), HASH_DIMENSIONS))
-        lengths = frame["slots"].map(len).to_numpy()
-        matrix[np.repeat(np.arange(len(frame)), lengths), np.concatenate(frame["slots"].tolist())] = np.concatenate(
-            frame["weights"].tolist()
-        )
+        matrix = np.zeros((rows.num_rows, HASH_DIMENSIONS))
+        slots = column("slots")
+        matrix[np.repeat(np.arange(rows.num_rows), _lengths(slots)), _flat(slots)] = _flat(column("weights"))
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-def _winners(queries: pd.DataFrame, scores: np.ndarray, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Best ``k`` rows of one score matrix (rows by queries) for every query, its filters applied."""
-    for name in ("level", "document_type"):
-        wanted = queries[name].to_numpy(dtype=object)
-        if not pd.isna(wanted).all():
-            allowed = (rows[name].to_numpy(dtype=object)[:, None] == wanted[None, :]) | pd.isna(wanted)[None, :]
-            scores = np.where(allowed, scores, -np.inf)
-    ords = rows["ord"].to_numpy()
-    picked, owners = [], []
-    for column in range(scores.shape[1]):
-        values = scores[:, column]
-        keep = np.arange(len(values))
-        if len(values) > k:
-            edge = np.partition(values, len(values) - k)[len(values) - k]
-            keep = np.flatnonzero(values >= edge)
-        keep = keep[np.lexsort((ords[keep], -values[keep]))][:k]
-        keep = keep[np.isfinite(values[keep])]
-        picked.append(keep)
-        owners.append(np.full(len(keep), column))
-    at, owner = np.concatenate(picked), np.concatenate(owners)
-    return pd.DataFrame({
-        "query_id": queries["query_id"].to_numpy()[owner],
-        "variant": queries["variant"].to_numpy()[owner],
-        "chunk_id": rows["chunk_id"].to_numpy()[at],
-        "ord": ords[at],
-        "document_type": rows["document_type"].to_numpy()[at],
-        "score": scores[at, owner],
-    })
-
-
-def _block_hits(queries: pd.DataFrame, unit_queries: np.ndarray, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Best ``k`` vectors of one batch for every query."""
-    return _winners(queries, np.round(_unit(vectors) @ unit_queries.T, 9), vectors, k)
-
-
 def dense(queries: DataFrame, vectors: DataFrame, k: int = DEPTH) -> DataFrame:
-    """Exact cosine top ``k`` per (query, variant): a matrix product per Arrow batch, a local top ``k``,
+    """Exact cosine top ``k`` per (query, variant): a matrix product per Arrow batch, a running top ``k`` per task,
     then one ranking over the survivors.
 
     Up to ``BROADCAST_QUERIES`` queries travel as one matrix.  More are cut into hashed query and
@@ -213,19 +256,20 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = DEPTH) -> DataFrame:
     values = ["embedding"] if "embedding" in vectors.columns else ["slots", "weights"]
     asked = _with_filters(queries).select("query_id", "variant", "level", "document_type", *values)
     stored = vectors.select("chunk_id", "ord", "level", "document_type", *values)
-    head = asked.limit(BROADCAST_QUERIES + 1).toPandas()
-    if len(head) <= BROADCAST_QUERIES:
-        shared = queries.sparkSession.sparkContext.broadcast(
-            (head.drop(columns=values), _unit(head) if len(head) else np.zeros((0, 1)))
-        )
+    head = asked.limit(BROADCAST_QUERIES + 1).toArrow()
+    if head.num_rows <= BROADCAST_QUERIES:
+        shared = queries.sparkSession.sparkContext.broadcast((head.drop_columns(values).to_pandas(), _unit(head)))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             frame, matrix = shared.value
+            best = Winners(frame, k)
             for batch in batches:
-                if len(batch) and len(frame):
-                    yield _block_hits(frame, matrix, batch, k)
+                for start in range(0, batch.num_rows if len(frame) else 0, DENSE_ROWS):
+                    part = batch.slice(start, DENSE_ROWS)
+                    best.add(np.round(_unit(part) @ matrix.T, 9), part)
+            yield best.batch()
 
-        local = stored.mapInPandas(run, HIT_SCHEMA)
+        local = stored.mapInArrow(run, HIT_SCHEMA)
     else:
         q_blocks = -(-asked.count() // BROADCAST_QUERIES)
         v_blocks = max(1, -(-stored.count() // VECTOR_BLOCK))
@@ -234,12 +278,16 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = DEPTH) -> DataFrame:
         left = asked.withColumn("qb", block("query_id", q_blocks)).withColumn("vb", fan(v_blocks))
         right = stored.withColumn("vb", block("chunk_id", v_blocks)).withColumn("qb", fan(q_blocks))
 
-        def meet(some_queries: pd.DataFrame, some_vectors: pd.DataFrame) -> pd.DataFrame:
-            if not len(some_queries) or not len(some_vectors):
-                return pd.DataFrame(columns=["query_id", "variant", "chunk_id", "ord", "document_type", "score"])
-            return _block_hits(some_queries, _unit(some_queries), some_vectors, k)
+        def meet(some_queries: pa.Table, some_vectors: pa.Table) -> pa.Table:
+            best = Winners(some_queries.drop_columns(values).to_pandas(), k)
+            if some_queries.num_rows:
+                matrix = _unit(some_queries)
+                for start in range(0, some_vectors.num_rows, DENSE_ROWS):
+                    part = some_vectors.slice(start, DENSE_ROWS)
+                    best.add(np.round(_unit(part) @ matrix.T, 9), part)
+            return pa.Table.from_batches([best.batch()])
 
-        local = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(meet, HIT_SCHEMA)
+        local = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(meet, HIT_SCHEMA)
     return top_k(local, ["query_id", "variant"], [F.desc("score"), F.col("ord")], k).withColumn(
         "lane", F.lit("dense")
     )

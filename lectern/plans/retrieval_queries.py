@@ -31,7 +31,7 @@ def settled_index(spark: SparkSession, sf: str, vectors: bool = True) -> indexin
     chunks = retrieval.settle(A.chunks(spark, sf))
     postings = retrieval.settle(indexing.postings(chunks))
     return indexing.Index(
-        chunks, postings, postings.groupBy("term").agg(F.count("*").alias("df")), indexing.corpus_stats(chunks),
+        chunks, postings, postings.groupBy("term").agg(F.count("*").alias("df")), retrieval.settle(indexing.corpus_stats(chunks)),
         retrieval.settle(indexing.hash_vectors(chunks)) if vectors else None, H.HASH_MODEL,
     )
 

@@ -238,3 +238,38 @@ def test_curriculum_source_has_every_term(spark):
     assert got == {"1": ("w", 1), "2": ("t", 1), "3": ("s", 3)}
     counts = {(r.chunk_id, r.term): (r.tf, r.dl) for r in built.postings.collect()}
     assert counts[("w", "here")] == (3, 6) and counts[("x", "only")] == (1, 2)
+
+
+def test_running_winners_keep_ties_by_order_and_skip_nothing():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    frame = pd.DataFrame({"query_id": ["a", "b", "c"], "variant": [1, 1, 1], "level": [None, "O", None], "document_type": [None, None, "T"]})
+    rows = pd.DataFrame({"chunk_id": [f"c{i}" for i in range(300)], "ord": rng.permutation(300), "level": rng.choice(["O", "A"], 300),
+                         "document_type": rng.choice(["T", "S"], 300)})
+    scores = rng.integers(0, 6, (300, 3)).astype(float)
+    best = search.Winners(frame, 7)
+    for start in range(0, 300, 40):
+        best.add(scores[start:start + 40], pa.RecordBatch.from_pandas(rows.iloc[start:start + 40], preserve_index=False))
+    got = best.batch().to_pandas()
+    for i, (allowed, name) in enumerate([(rows["ord"] >= 0, "a"), (rows["level"] == "O", "b"), (rows["document_type"] == "T", "c")]):
+        want = rows.assign(score=scores[:, i])[allowed].sort_values(["score", "ord"], ascending=[False, True]).head(7)
+        assert got[got["query_id"] == name]["chunk_id"].tolist() == want["chunk_id"].tolist()
+    assert search.Winners(frame, 7).batch().num_rows == 0
+
+
+def test_hash_vectors_count_signs_per_slot(spark):
+    texts = ["", None, "one", "one one one two", " ".join(f"w{i % 700}" for i in range(5000))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    got = {r.k: dict(zip(r.slots, r.weights)) for r in H.hash_embedding(df, "k", "t").collect()}
+    import hashlib
+
+    for i, text in enumerate(texts):
+        cells: dict[int, float] = {}
+        for token in (text or "").split():
+            value = int(hashlib.sha256(token.encode()).hexdigest()[:8], 16)
+            cells[value % 384] = cells.get(value % 384, 0.0) + (1.0 if value % 2 else -1.0)
+        cells = {slot: w for slot, w in cells.items() if w}
+        norm = sum(w * w for w in cells.values()) ** 0.5
+        want = {slot: w / norm for slot, w in cells.items()}
+        assert got.get(i, {}) == pytest.approx(want)
