@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -12,6 +12,8 @@ from lectern.operators import quantiles
 
 # Cut-offs, failure advice, gates.
 DEPTH = 10
+# Widths of page buckets: a range is filed under the first one that is not below its length.
+PAGE_WIDTHS = tuple(1 << bits for bits in range(0, 33, 4))
 ADVICE = {
     "RETRIEVAL_EXECUTION_FAILURE": "Inspect the row error, build manifest, and provider configuration.",
     "RETRIEVAL_RELEVANCE_FAILURE": "Inspect chunk boundaries, query variants, filters, fusion, and reranker ranks.",
@@ -55,35 +57,63 @@ def _gain(rank: Column) -> Column:
 def gold_matches(hits: DataFrame, gold: DataFrame) -> DataFrame:
     """Ordinals of the gold sources each of the first ten hits matches.
 
-    ``hits``: query_id, rank, document_id, page_start, chunk_id.  ``gold``: query_id, ordinal,
-    document_id, page, page_end, chunk_id, parent_chunk_id, policy.  The join is on (query, document).
-    At most ten ordinals per hit are kept: nine others at most can be taken before it, so the smallest
-    free one is always among them.
+    ``hits``: query_id, rank, document_id, page_start, chunk_id.  ``gold``: query_id, ordinal (unique inside a query),
+    document_id, page, page_end, chunk_id, parent_chunk_id, policy.  A gold source of policy PAGE, or without a chunk,
+    matches hits of its document that start on its pages; any other one matches its chunk or its parent.  Sources
+    without page and chunk match nothing.
+
+    Both are equi-joins: a page range lies in one or two buckets of the first width that is not below its length, and a
+    hit looks into its bucket of every width.  At most ten ordinals per hit are kept: nine others at most can be
+    taken before it, so the smallest free one is always among them.
     """
-    top = hits.filter(F.col("rank") <= DEPTH)
+    top = hits.filter(F.col("rank") <= DEPTH).select("query_id", "document_id", "rank", "page_start", "chunk_id")
+    chunk = F.nullif(F.col("chunk_id"), F.lit(""))
     g = gold.select(
-        "query_id", "document_id", "ordinal", "policy", F.col("page").alias("g_page"),
-        F.coalesce("page_end", "page").alias("g_end"), F.col("chunk_id").alias("g_chunk"),
-        F.col("parent_chunk_id").alias("g_parent"),
+        "query_id", "document_id", F.col("ordinal").cast("bigint").alias("ordinal"),
+        (F.coalesce(F.col("policy") == "PAGE", F.lit(False)) | chunk.isNull()).alias("_by_page"),
+        F.col("page").cast("bigint").alias("_first"), F.coalesce("page_end", "page").cast("bigint").alias("_last"),
+        F.array_distinct(F.array_compact(F.array(chunk, "parent_chunk_id"))).alias("_chunks"),
     )
-    on_page = F.col("page_start").between(F.col("g_page"), F.col("g_end"))
-    by_chunk = (F.col("chunk_id") == F.col("g_chunk")) | (F.col("chunk_id") == F.col("g_parent"))
-    fits = F.when((F.col("policy") == "PAGE") | F.col("g_chunk").isNull(), on_page).otherwise(by_chunk)
-    pairs = top.join(g, ["query_id", "document_id"]).filter(F.coalesce(fits, F.lit(False)))
-    from pyspark.sql import Window
-
+    length = F.col("_last") - F.col("_first") + 1
+    bucket = lambda page, width: F.floor(page / width).cast("bigint")
+    ranges = g.filter(F.col("_by_page") & (length >= 1)).withColumn(
+        "width", F.coalesce(*[F.when(length <= w, F.lit(w)) for w in PAGE_WIDTHS])
+    ).withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.col("_first"), F.col("width")), bucket(F.col("_last"), F.col("width"))))))
+    looked = F.array(*[F.struct(F.lit(w).alias("width"), bucket(F.col("page_start"), F.lit(w)).alias("bucket")) for w in PAGE_WIDTHS])
+    on_page = (
+        top.select("query_id", "document_id", "rank", "page_start", F.explode(looked).alias("_b"))
+        .select("query_id", "document_id", "rank", "page_start", "_b.*")
+        .join(ranges, ["query_id", "document_id", "width", "bucket"])
+        .filter(F.col("page_start").between(F.col("_first"), F.col("_last")))
+        .select("query_id", "rank", "ordinal")
+    )
+    named = g.filter(~F.col("_by_page")).select("query_id", "document_id", "ordinal", F.explode("_chunks").alias("chunk_id"))
+    by_chunk = top.join(named, ["query_id", "document_id", "chunk_id"]).select("query_id", "rank", "ordinal")
     first = Window.partitionBy("query_id", "rank").orderBy("ordinal")
-    kept = pairs.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= DEPTH)
+    kept = on_page.unionByName(by_chunk).withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= DEPTH)
     return kept.groupBy("query_id", "rank").agg(F.array_sort(F.collect_list("ordinal")).alias("ordinals"))
 
 
+def exact_scheme_rows(records: DataFrame, found: DataFrame) -> DataFrame:
+    """``(query_id, exact_scheme_correct)``: whether an official scheme was found just where the record says there is one.
+
+    ``records``: query_id, exact_mark_scheme_available.  ``found``: query_id, document_type of exact rows; a query
+    without any found nothing.  A null flag counts as none available.
+    """
+    official = found.groupBy("query_id").agg(F.bool_or(F.col("document_type") == "MARK_SCHEME").alias("_found"))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return records.join(official, "query_id", "left").select(
+        "query_id", (flag("_found") == flag("exact_mark_scheme_available")).alias("exact_scheme_correct")
+    )
+
+
 def retrieval(hits: DataFrame, gold: DataFrame) -> DataFrame:
     """Per query with gold: P@5/10, R@5/10, reciprocal rank and nDCG@10; each gold source counts once."""
     totals = gold.groupBy("query_id").agg(F.count("*").alias("n_gold"))
     ranked = gold_matches(hits, gold).groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "ordinals"))).alias("_ranks")
     )
-    start = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast("array<int>").alias("ranks"))
+    start = F.struct(F.array().cast("array<bigint>").alias("taken"), F.array().cast("array<int>").alias("ranks"))
 
     def step(state: Column, item: Column) -> Column:
         free = F.get(F.filter(item["ordinals"], lambda o: ~F.array_contains(state["taken"], o)), F.lit(0))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import evaluate, grading, memory, search, telemetry
+from lectern.operators import context, evaluate, grading, memory, search, telemetry
 from lectern.operators import index as indexing
 from lectern.plans import retrieval
 from lectern.plans import sql as Q
@@ -342,20 +342,42 @@ def retrieval_quality(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluate.retrieval(hits, gold))
 
 
+def _scheme_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact-scheme flags of every question; a scheme is available if the paper it names has one at all."""
+    understood, chunks = retrieval.understand(A.questions(spark, sf)), A.chunks(spark, sf)
+    paper = ("subject_code", "year", "session", "component")
+    schemes = chunks.filter("document_type = 'MARK_SCHEME'").select(*paper).distinct().withColumn("exact_mark_scheme_available", F.lit(True))
+    records = understood.select("query_id", *[F.col(f"profile.{c}").alias(c) for c in paper]).join(schemes, list(paper), "left")
+    return evaluate.exact_scheme_rows(records, search.exact(understood, chunks))
+
+
+SCHEME_FLAGS = f"""{Q.CHUNKS}, {Q.QUESTIONS}, {Q.PROFILE}, {Q.EXACT},
+flags AS (SELECT query_id, EXISTS (SELECT 1 FROM chunks_t c WHERE c.document_type = 'MARK_SCHEME' AND c.subject_code = p.subject_code AND c.year = p.year
+    AND c.session = p.session AND c.component = p.component) = EXISTS (SELECT 1 FROM exact_t e WHERE e.query_id = p.query_id AND e.document_type = 'MARK_SCHEME') AS correct
+  FROM plan_t p)"""
+
+
+@query("exact_scheme_flags", f"""
+WITH {SCHEME_FLAGS} SELECT query_id, correct AS exact_scheme_correct FROM flags""")
+def exact_scheme_flags(spark: SparkSession, sf: str) -> DataFrame:
+    return _scheme_flags(spark, sf)
+
+
 @query("quality_gates", f"""
-WITH {DOCUMENT_HITS},
+WITH {DOCUMENT_HITS}, {SCHEME_FLAGS},
 v AS (SELECT * FROM (SELECT 'benchmark_size' AS metric, count(*)::DOUBLE AS value FROM ng
   UNION ALL SELECT 'recall_at_5', round(avg(r5), 6) FROM met UNION ALL SELECT 'recall_at_10', round(avg(r10), 6) FROM met
   UNION ALL SELECT 'mrr', round(avg(rr), 6) FROM met UNION ALL SELECT 'ndcg_at_10', round(avg(ndcg), 6) FROM met
+  UNION ALL SELECT 'exact_scheme_retrieval_accuracy', round(avg(correct::INT), 6) FROM flags
   UNION ALL SELECT 'median_latency_ms', median(value) FROM events UNION ALL SELECT 'p95_latency_ms',
      list_sort(list(value))[CAST(ceil(0.95 * count(*)) AS BIGINT)] FROM events
   UNION ALL SELECT 'technical_failure_rate', round(avg((event_type = 'error')::INT), 6) FROM events)),
 g AS (SELECT * FROM (VALUES ('benchmark_size','>=',100.0),('recall_at_5','>=',0.9),('recall_at_10','>=',0.95),('mrr','>=',0.75),
-  ('ndcg_at_10','>=',0.85),('median_latency_ms','<=',5000.0),('p95_latency_ms','<=',10000.0),('technical_failure_rate','<=',0.01)) t(metric, operator, target))
+  ('ndcg_at_10','>=',0.85),('exact_scheme_retrieval_accuracy','>=',0.98),('median_latency_ms','<=',5000.0),('p95_latency_ms','<=',10000.0),('technical_failure_rate','<=',0.01)) t(metric, operator, target))
 SELECT metric, round(value, 6) AS value, operator, target::DOUBLE AS target, 'MEASURED' AS status,
   CASE operator WHEN '>=' THEN value >= target ELSE value <= target END AS passed FROM v JOIN g USING (metric)
 UNION ALL SELECT metric, NULL, operator, target::DOUBLE, 'NOT_MEASURED', NULL FROM (VALUES ('retrieval_evaluation_coverage','>=',1.0),
-  ('answer_evaluation_coverage','>=',1.0),('page_extraction_coverage','>=',0.99),('exact_scheme_retrieval_accuracy','>=',0.98),
+  ('answer_evaluation_coverage','>=',1.0),('page_extraction_coverage','>=',0.99),
   ('citation_identity_accuracy','>=',1.0),('citation_coverage','>=',0.9),('metadata_accuracy','>=',0.98),('question_boundary_accuracy','>=',0.97),
   ('ocr_text_accuracy','>=',0.95),('judge_context_precision','INFORMATIONAL',NULL),('judge_context_recall','INFORMATIONAL',NULL),
   ('judge_faithfulness','INFORMATIONAL',NULL),('judge_answer_relevancy','INFORMATIONAL',NULL),('judge_answer_correctness','INFORMATIONAL',NULL),
@@ -367,12 +389,67 @@ def quality_gates(spark: SparkSession, sf: str) -> DataFrame:
     speed = evaluate.latency(A.traces(spark, sf).select(
         "latency_ms", (~F.col("success")).alias("technical_failure"), F.col("total_cost").alias("estimated_cost")))
     names = ("benchmark_size", "recall_at_5", "recall_at_10", "mrr", "ndcg_at_10")
-    values = evaluate.summary_report(summary, names).unionByName(
+    exact = _scheme_flags(spark, sf).agg(F.avg(F.col("exact_scheme_correct").cast("double")).alias("exact_scheme_retrieval_accuracy"))
+    values = evaluate.summary_report(summary, names).unionByName(evaluate.summary_report(exact, exact.columns)).unionByName(
         evaluate.summary_report(speed, ("median_latency_ms", "p95_latency_ms", "technical_failure_rate"))
     )
     return rounded(evaluate.gates(values.select("metric", F.round("value", 6).alias("value"))))
 
 
+POLICY_GOLD = """
+held AS (SELECT q.query_id, q.item_id, c.document_id, c.page_start, c.chunk_id, c.parent_chunk_id, c.ord
+  FROM questions_t q JOIN chunks_t c ON c.content_type <> 'PARENT_CONTEXT' AND contains(c.text, q.passage)),
+gold_t AS (
+  SELECT query_id, 'CHUNK' AS policy, document_id, page_start AS first, page_start AS last, chunk_id, parent_chunk_id, ord AS ordinal FROM held WHERE item_id % 2 = 1
+  UNION ALL SELECT query_id, 'PAGE', document_id, min(page_start), max(page_start), NULL, NULL, min(ord) FROM held WHERE item_id % 2 = 0 GROUP BY query_id, document_id)"""
+
+
+@query("retrieval_by_policy", f"""
+WITH RECURSIVE {Q.CHUNKS}, {Q.INDEX}, {Q.QUESTIONS}, {Q.PROFILE}, {Q.VARIANTS}, {Q.SPARSE}, {POLICY_GOLD},
+ten AS (SELECT s.query_id, s.chunk_id, s.rank, c.parent_chunk_id FROM sparse_r s JOIN chunks_t c USING (chunk_id) WHERE variant = 1 AND rank <= 10),
+steps AS (SELECT query_id, chunk_id, rank, 0 AS step FROM ten UNION ALL SELECT query_id, parent_chunk_id, rank, 1 FROM ten WHERE parent_chunk_id IS NOT NULL),
+hit AS (SELECT query_id, document_id, page_start, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, step) AS rank
+  FROM (SELECT * FROM steps QUALIFY step = 0 OR row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank, step) = 1) JOIN chunks_t USING (chunk_id) QUALIFY rank <= 10),
+met AS MATERIALIZED (SELECT h.query_id, h.rank, list(g.ordinal ORDER BY g.ordinal) AS os FROM hit h JOIN gold_t g ON g.query_id = h.query_id AND g.document_id = h.document_id
+   AND CASE policy WHEN 'PAGE' THEN h.page_start BETWEEN g.first AND g.last ELSE h.chunk_id = g.chunk_id OR h.chunk_id = g.parent_chunk_id END GROUP BY ALL),
+n AS MATERIALIZED (SELECT query_id, policy, count(*) AS n_gold FROM gold_t GROUP BY ALL),
+walk(query_id, rank, taken, ranks) AS (
+  SELECT query_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM n
+  UNION ALL SELECT query_id, rank, CASE WHEN free IS NULL THEN taken ELSE list_append(taken, free) END, CASE WHEN free IS NULL THEN ranks ELSE list_append(ranks, rank) END
+  FROM (SELECT w.query_id, w.rank + 1 AS rank, taken, ranks, list_filter(coalesce(os, []), lambda o: NOT list_contains(taken, o))[1] AS free
+        FROM walk w LEFT JOIN met m ON m.query_id = w.query_id AND m.rank = w.rank + 1 WHERE w.rank < 10))
+SELECT query_id, policy, n_gold, len(list_filter(ranks, lambda r: r <= 5)) / 5.0::DOUBLE AS precision_at_5, len(ranks) / 10.0::DOUBLE AS precision_at_10,
+  round(len(list_filter(ranks, lambda r: r <= 5)) / n_gold::DOUBLE, 6) AS recall_at_5, round(len(ranks) / n_gold::DOUBLE, 6) AS recall_at_10,
+  round(coalesce(1.0::DOUBLE / list_min(ranks), 0.0), 6) AS reciprocal_rank,
+  round(coalesce(list_sum(list_transform(ranks, lambda r: 1 / log2(r + 1))), 0.0)
+    / list_sum(list_transform(range(1, least(10, n_gold) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg_at_10
+FROM walk JOIN n USING (query_id) WHERE rank = 10""")
+def retrieval_by_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits with their parents against gold chunks (odd items) or gold page ranges (even ones)."""
+    questions, chunks = A.questions(spark, sf), retrieval.settle(A.chunks(spark, sf))
+    postings = retrieval.settle(indexing.postings(chunks))
+    built = indexing.Index(chunks, postings, postings.groupBy("term").agg(F.count("*").alias("df")), indexing.corpus_stats(chunks))
+    asked = retrieval.variants(retrieval.understand(questions)).filter("variant = 1")
+    found = search.bm25(asked, built, k=evaluate.DEPTH).select("query_id", "chunk_id", F.col("rank").alias("position"))
+    ten = chunks.select("chunk_id", "document_id", "page_start", "parent_chunk_id").join(found, "chunk_id").withColumn("relationship", F.lit(None).cast("string"))
+    order = Window.partitionBy("query_id").orderBy("position", "step")
+    hits = context.expand_parents(ten, chunks).withColumn("rank", F.row_number().over(order))
+    children = indexing.chunking.indexable(chunks)
+    held = _containing(questions.select("query_id", F.col("passage").alias("query")), children, found).select("query_id", "chunk_id")
+    sources = held.join(children.select("chunk_id", "document_id", "page_start", "parent_chunk_id", "ord"), "chunk_id").join(
+        questions.select("query_id", (F.col("item_id") % 2 == 0).alias("_paged")), "query_id")
+    none = F.lit(None).cast("string")
+    by_chunk = sources.filter(~F.col("_paged")).select(
+        "query_id", "document_id", F.col("ord").alias("ordinal"), F.col("page_start").alias("page"), F.col("page_start").alias("page_end"),
+        "chunk_id", "parent_chunk_id", F.lit("CHUNK").alias("policy"))
+    by_page = sources.filter("_paged").groupBy("query_id", "document_id").agg(
+        F.min("ord").alias("ordinal"), F.min("page_start").alias("page"), F.max("page_start").alias("page_end")
+    ).select("*", none.alias("chunk_id"), none.alias("parent_chunk_id"), F.lit("PAGE").alias("policy"))
+    gold = retrieval.settle(by_chunk.unionByName(by_page))
+    policies = gold.groupBy("query_id").agg(F.min("policy").alias("policy"))
+    return rounded(evaluate.retrieval(hits, gold).join(policies, "query_id"))
+
+
 @query("source_recall", f"""
 WITH {DOCUMENT_HITS}
 SELECT CAST(item_id AS VARCHAR) AS query_id, count(rank) > 0 AS gold_source_recalled FROM ng LEFT JOIN cr USING (item_id) GROUP BY item_id""")

@@ -273,3 +273,43 @@ def test_hash_vectors_count_signs_per_slot(spark):
         norm = sum(w * w for w in cells.values()) ** 0.5
         want = {slot: w / norm for slot, w in cells.items()}
         assert got.get(i, {}) == pytest.approx(want)
+
+
+def test_gold_matches_equal_every_pair(spark):
+    rng = np.random.default_rng(17)
+    hits = [(f"q{q}", r, f"d{rng.integers(3)}", None if r == 9 else int(rng.integers(0, 70)), f"c{rng.integers(12)}") for q in range(6) for r in range(1, 13)]
+    gold = []
+    for q in range(6):
+        for i in range(25):
+            first = None if i == 3 else int(rng.integers(0, 60))
+            last = None if i % 4 == 0 or first is None else first + int(rng.choice([-1, 0, 3, 17, 2_000_000_000]))
+            chunk = rng.choice([None, "", *[f"c{k}" for k in range(12)]])
+            parent = rng.choice([None, *[f"c{k}" for k in range(12)]])
+            gold.append((f"q{q}", i, f"d{rng.integers(3)}", first, last, chunk, parent, rng.choice(["PAGE", "CHUNK", None])))
+    hit_rows = spark.createDataFrame(hits, "query_id string, rank int, document_id string, page_start int, chunk_id string")
+    gold_rows = spark.createDataFrame(
+        gold, "query_id string, ordinal int, document_id string, page int, page_end int, chunk_id string, parent_chunk_id string, policy string")
+
+    def fits(h, g):
+        if h[0] != g[0] or h[2] != g[2]:
+            return False
+        if g[7] == "PAGE" or not g[5]:
+            end = g[3] if g[4] is None else g[4]
+            return g[3] is not None and h[3] is not None and g[3] <= h[3] <= end
+        return h[4] in (g[5], g[6])
+
+    want = {}
+    for h in hits:
+        found = [g[1] for g in gold if fits(h, g)][:10]
+        if h[1] <= 10 and found:
+            want[h[0], h[1]] = found
+    got = {(r.query_id, r["rank"]): r.ordinals for r in evaluate.gold_matches(hit_rows, gold_rows).collect()}
+    assert got == want and len(want) > 20
+    assert evaluate.gold_matches(hit_rows.limit(0), gold_rows).count() == 0
+
+
+def test_exact_scheme_rows(spark):
+    records = spark.createDataFrame([("a", True), ("b", True), ("c", False), ("d", None), ("e", False)], "query_id string, exact_mark_scheme_available boolean")
+    found = spark.createDataFrame([("a", "MARK_SCHEME"), ("a", "QUESTION_PAPER"), ("b", "QUESTION_PAPER"), ("c", "MARK_SCHEME")], "query_id string, document_type string")
+    rows = {r.query_id: r.exact_scheme_correct for r in evaluate.exact_scheme_rows(records, found).collect()}
+    assert rows == {"a": True, "b": False, "c": False, "d": True, "e": True}
