@@ -266,3 +266,34 @@ def grading_evidence(spark: SparkSession, sf: str) -> DataFrame:
         F.col("item_id").alias("submission_id"), F.lit(1).alias("number"), A.question_text(F.col("item_id"), F.col("text")).alias("question"))
     rows = retrieval.grading_evidence(asked, settled_index(spark, sf))
     return rows.select("query_id", big("context_position"), "chunk_id", "document_type", "compressed", F.md5("text").alias("text_hash"))
+
+
+ASSESSMENTS = ("MCQ", "STRUCTURED", "TRACE_TABLE")
+LANES = f"""
+questions_t AS (
+  SELECT CAST(item_id AS VARCHAR) || '#' || lane AS query_id, item_id, text AS passage, query, CASE WHEN item_id % 3 = 0 THEN 'O_LEVEL' END AS level, wanted
+  FROM (SELECT item_id, text, unnest([
+      {{'lane': 'TEXTBOOK_CONTENT', 'query': text, 'wanted': 'TEXTBOOK'}},
+      {{'lane': 'PAST_PAPER_STYLE', 'query': 'Cambridge Computer Science past paper question ' || text, 'wanted': 'QUESTION_PAPER'}},
+      {{'lane': 'MARKING_PATTERN', 'query': 'Generate a Cambridge Computer Science ' || {list(ASSESSMENTS)}[item_id % 3 + 1]
+          || ' using mark scheme marking criteria and answer quality patterns for ' || text, 'wanted': NULL}}], recursive := true) FROM benchmark))"""
+
+
+@query("assessment_lanes", f"""
+WITH RECURSIVE {Q.typed(Q.grounded(LANES))},
+placed AS (SELECT split_part(query_id, '#', 1) AS request_id, split_part(query_id, '#', 2) AS lane, CAST(context_position AS BIGINT) AS context_position,
+  chunk_id, document_type, md5(x.text) AS text_hash FROM context_t x JOIN chunks_t USING (chunk_id))
+SELECT request_id, lane, CASE WHEN lane = 'MARKING_PATTERN' AND document_type = 'SYLLABUS' THEN 'CURRICULUM_SCOPE' ELSE lane END AS role,
+  context_position, chunk_id, document_type, text_hash FROM placed
+WHERE CASE lane WHEN 'TEXTBOOK_CONTENT' THEN document_type = 'TEXTBOOK' AND context_position <= 8
+  WHEN 'PAST_PAPER_STYLE' THEN document_type = 'QUESTION_PAPER' AND context_position <= 10
+  ELSE document_type IN ('MARK_SCHEME', 'EXAMINER_REPORT', 'SYLLABUS') END""")
+def assessment_lanes(spark: SparkSession, sf: str) -> DataFrame:
+    """Textbook, past-paper and marking evidence for an assessment on every benchmark passage."""
+    item = F.col("item_id")
+    requests = A.table(spark, sf, "benchmark").select(
+        item.cast("string").alias("request_id"), F.col("text").alias("topic"),
+        F.element_at(F.array(*[F.lit(a) for a in ASSESSMENTS]), (item % 3 + 1).cast("int")).alias("assessment_type"),
+        F.when(item % 3 == 0, F.lit("O_LEVEL")).alias("level"))
+    rows = retrieval.assessment_lanes(requests, settled_index(spark, sf))
+    return rows.select("request_id", "lane", "role", big("context_position"), "chunk_id", "document_type", F.md5("text").alias("text_hash"))

@@ -423,3 +423,25 @@ context_t AS (
     if maximum:
         statements = statements.replace("greatest(p.context_chunks, 8)", str(max(maximum, 8))).replace("p.query, p.context_chunks,", f"p.query, {maximum} AS context_chunks,")
     return re.sub(rf"\b({_SHARED}) AS \(", r"\g<1> AS MATERIALIZED (", statements)
+
+
+def typed(statements: str) -> str:
+    """``grounded`` statements whose ``questions_t`` also carry ``wanted``, the one document type they ask for (or null)."""
+    fits = lambda value: f"(wanted IS NULL OR wanted = {value})"
+    for old, new in (
+        ("SELECT query_id, item_id, passage, query, subject_code", "SELECT query_id, item_id, passage, wanted, query, subject_code"),
+        ("AS vquery, level FROM", "AS vquery, level, wanted FROM"),
+        ("q2, level FROM", "q2, level, wanted FROM"),
+        ("level AS want, term", "level AS want, wanted, term"),
+        ("(SELECT query_id, variant, level, unnest(", "(SELECT query_id, variant, level, wanted, unnest("),
+        ("WHERE want IS NULL OR want = level", f"WHERE (want IS NULL OR want = level) AND {fits('document_type')}"),
+        ("(v.level IS NULL OR v.level = i.level)", f"(v.level IS NULL OR v.level = i.level) AND {fits('i.document_type')}"),
+        ("AND c.component = p.component", f"AND c.component = p.component AND {fits('c.document_type')}"),
+        ("list_contains(preferred_types, r.document_type)", "(CASE WHEN wanted IS NULL THEN list_contains(preferred_types, r.document_type) ELSE r.document_type = wanted END)"),
+        ("coalesce(coverage, 0.0) >= 0.2)", "coalesce(coverage, 0.0) >= 0.2 OR coalesce(wanted = 'QUESTION_PAPER', false))"),
+        ("q.level\n  FROM questions_t q", "q.level, q.wanted\n  FROM questions_t q"),
+    ):
+        if old not in statements:
+            raise ValueError(f"the retrieval statements have no {old!r}")
+        statements = statements.replace(old, new)
+    return statements
