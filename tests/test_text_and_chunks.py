@@ -126,6 +126,14 @@ def test_syllabus_and_examiner_sections(spark):
     assert labels(out) == ["1", "12"]
 
 
+def test_examiner_sections_from_question_100_on(spark):
+    words = " ".join(["comment"] * 30)
+    text = "\n".join(f"Question {n} {words}" for n in (99, 100, 101))
+    out = chunking.examiner_report(pages(spark, [("e", 1, text)], document_type="EXAMINER_REPORT")).orderBy("ord").collect()
+    assert [r.text for r in out] == [f"Question {n} {words}" for n in (99, 100, 101)]
+    assert [r.question_number for r in out] == ["99", "10", "10"]
+
+
 def test_tokens_keep_trailing_punctuation(spark):
     assert one(spark, T.tokens("t"), t="Binary search. C++ a/b") == ["binary", "search.", "c++", "a/b"]
 
