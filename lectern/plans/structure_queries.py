@@ -275,15 +275,15 @@ SELECT CAST(date_trunc('day', ts) AS VARCHAR)[1:10] AS day, event_type AS catego
 
 
 def versions(spark: SparkSession, sf: str, folder: str, parts: tuple[str, ...]) -> DataFrame:
-    """A stream of three versions of every trace, a file for each of ``parts``."""
-    traces = A.table(spark, sf, "events").select(
+    """A stream of three versions of every trace, a batch for each of ``parts``: as many files as tasks write it."""
+    traces = A.spread(A.table(spark, sf, "events")).select(
         F.floor(F.col("event_id") / 3).cast("string").alias("trace_id"), F.col("event_id").alias("version"), F.col("ts").cast("timestamp").alias("created_at"),
         F.col("event_type").alias("category"), (F.col("event_type") != "error").alias("success"), F.col("value").alias("latency_ms"),
         (F.col("value") / 1000.0).alias("total_cost"),
     )
     for part in parts:
-        traces.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/inbox")
-    return spark.readStream.schema(traces.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/inbox")
+        traces.filter(part).write.mode("append").parquet(f"{folder}/inbox")
+    return spark.readStream.schema(traces.schema).option("maxFilesPerTrigger", traces.rdd.getNumPartitions()).parquet(f"{folder}/inbox")
 
 
 @query("stream_telemetry", DAILY)

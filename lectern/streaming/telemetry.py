@@ -1,8 +1,9 @@
 """Streaming telemetry: the last version of every trace, daily totals per category; the live answer log.
 
 Daily totals are kept by difference.  The state store holds, per trace, what its last version counts; a newer version
-takes that back and adds its own, an older or repeated one changes nothing, however late it comes.  A micro-batch
-writes the sums of its differences per day and category, nothing else is read or written again.
+takes that back and adds its own, an older or repeated one changes nothing, however late it comes.  Traces are kept
+in hashed buckets, one state entry each, so a micro-batch makes as many state calls as it meets buckets and compares
+whole columns.  It writes the sums of its differences per day and category and the buckets that changed.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,7 +20,14 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from lectern.operators.answers import answer_log
 from lectern.streaming import folders
 
-VERSION = "version long, day string, category string, success boolean, latency_ms double, total_cost double"
+#: What the state keeps of a trace's last version, in the order that decides between equal versions.
+STORED = pa.schema([
+    ("trace_id", pa.string()), ("version", pa.int64()), ("day", pa.string()), ("category", pa.string()), ("success", pa.bool_()),
+    ("latency_ms", pa.float64()), ("total_cost", pa.float64()),
+])
+COUNTED = STORED.names
+#: Traces share a state per bucket; a stream keeps the number it was started with.
+BUCKETS = 256
 AMOUNTS = ("requests", "failures", "measured", "latency_ms", "total_cost")
 DIFFERENCE = "day string, category string, requests long, failures long, measured long, latency_ms double, total_cost double"
 
@@ -57,44 +66,61 @@ def daily(traces: DataFrame) -> DataFrame:
 
 
 class _Versions(StatefulProcessor):
-    """Differences that the new versions of a trace make to the totals."""
+    """Differences that the new versions of a bucket's traces make to the totals; the state is the bucket as one table."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", VERSION)
+        self.last = handle.getValueState("last", "versions binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = tuple(self.last.get()) if self.last.exists() else None
-        now = before
+        before = pa.ipc.open_stream(self.last.get()[0]).read_pandas() if self.last.exists() else pd.DataFrame(columns=COUNTED)
+        now = before.assign(known=True)
         for frame in rows:
-            for row in zip(*(frame[c.split()[0]] for c in VERSION.split(", ")), strict=True):
-                row = tuple(None if pd.isna(x) else x for x in row)
-                now = row if now is None else max(now, row, key=lambda r: [(x is not None, x if x is not None else 0) for x in r])
-        if now != before:
-            typed = (int(now[0]), now[1], now[2], None if now[3] is None else bool(now[3]), *(None if x is None else float(x) for x in now[4:]))
-            self.last.update(typed)
-            yield pd.DataFrame([_amounts(v, sign) for v, sign in ((before, -1), (now, 1)) if v], columns=["day", "category", *AMOUNTS])
+            now = _last(pd.concat([now, frame[COUNTED].assign(known=False)], ignore_index=True) if len(now) else frame[COUNTED].assign(known=False))
+        changed = now[~now["known"].astype(bool)]
+        if len(changed):
+            self.last.update((_packed(now[COUNTED]),))
+            replaced = before[before["trace_id"].isin(changed["trace_id"])]
+            yield pd.concat([_amounts(v, sign) for v, sign in ((replaced, -1), (changed, 1)) if len(v)]).groupby(["day", "category"], dropna=False, as_index=False).sum()
 
     def close(self) -> None:
         pass
 
 
-def _amounts(version: tuple, sign: int) -> tuple:
-    _, day, category, success, latency, cost = version
-    return day, category, sign, sign * (success is not None and not success), sign * (latency is not None), sign * (latency or 0.0), sign * (cost or 0.0)
+def _last(versions: pd.DataFrame) -> pd.DataFrame:
+    """The greatest version of every trace, missing values first; of equal ones the one known before."""
+    return versions.sort_values([*COUNTED, "known"], na_position="first").drop_duplicates("trace_id", keep="last")
+
+
+def _packed(versions: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(versions, schema=STORED, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _amounts(versions: pd.DataFrame, sign: int) -> pd.DataFrame:
+    number = lambda name: sign * versions[name].astype(float)
+    return pd.DataFrame({
+        "day": versions["day"], "category": versions["category"], "requests": sign, "failures": sign * versions["success"].eq(False).astype(int),
+        "measured": sign * versions["latency_ms"].notna().astype(int), "latency_ms": number("latency_ms").fillna(0.0),
+        "total_cost": number("total_cost").fillna(0.0),
+    })
 
 
 def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("day", "category").agg(*[F.sum(a).alias(a) for a in AMOUNTS])
 
 
-def write_daily(traces: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+def write_daily(traces: DataFrame, root: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Write the differences that every micro-batch of ``trace_id, version, ...`` makes to the daily totals below ``root``."""
     counted = traces.select(
-        "trace_id", F.col("version").cast("long").alias("version"), F.date_format(F.date_trunc("day", "created_at"), "yyyy-MM-dd").alias("day"),
+        F.col("trace_id").cast("string").alias("trace_id"), F.col("version").cast("long").alias("version"), F.date_format(F.date_trunc("day", "created_at"), "yyyy-MM-dd").alias("day"),
         F.coalesce("category", F.lit("UNKNOWN")).alias("category"), "success", F.col("latency_ms").cast("double").alias("latency_ms"),
         F.col("total_cost").cast("double").alias("total_cost"),
     ).filter("version IS NOT NULL")
-    differences = counted.groupBy("trace_id").transformWithStateInPandas(_Versions(), DIFFERENCE, "update", "None")
+    keyed = counted.withColumn("bucket", F.pmod(F.xxhash64("trace_id"), F.lit(buckets)))
+    differences = keyed.groupBy("bucket").transformWithStateInPandas(_Versions(), DIFFERENCE, "update", "None")
     return folders.start(differences, lambda batch, i: folders.save(_summed(batch), i, root, _summed), checkpoint)
 
 

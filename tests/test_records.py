@@ -374,6 +374,24 @@ def test_streamed_totals_take_old_versions_back(spark, tmp_path, monkeypatch):
     assert got == {("2024-01-01", "X"): (1, 0, 4.0, 1.0), ("2024-01-02", "X"): (3, 1, 5.0, 4.5)}
 
 
+def test_streamed_totals_call_their_state_once_a_bucket(spark, tmp_path):
+    """Some thousand traces, one without an id, share a few state entries; equal versions keep the greatest row."""
+    from lectern.streaming import telemetry as live
+
+    schema = "trace_id string, version int, created_at timestamp, category string, success boolean, latency_ms double, total_cost double"
+    day = datetime(2024, 1, 1, 5)
+    first = [(str(i), 1, day, "X", True, 1.0, 1.0) for i in range(5000)] + [(None, 1, day, "X", False, None, 1.0)]
+    second = [(str(i), 1 + i % 2, day, "Y", None, 3.0, 1.0) for i in range(0, 5000, 5)] + [(None, 2, day, "Y", False, 5.0, None)]
+    for rows in (first, second):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        query = live.write_daily(stream, f"{tmp_path}/out", f"{tmp_path}/state", buckets=4)
+        query.awaitTermination()
+        assert sum(operator["numRowsTotal"] for operator in query.lastProgress["stateOperators"]) == 4
+    got = {r.category: (r.requests, r.failures, r.average_latency_ms, r.total_cost) for r in live.read_daily(spark, f"{tmp_path}/out").collect()}
+    assert got == {"X": (4000, 0, 1.0, 4000.0), "Y": (1001, 1, 3005.0 / 1001, 1000.0)}
+
+
 def test_order_statistics(spark):
     import random
     import statistics
