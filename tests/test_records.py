@@ -410,3 +410,20 @@ def test_order_statistics(spark):
             assert tuple(ranked) == (min(values), max(values), None)
         else:
             assert r.median_latency_ms is None and r.p95_latency_ms is None
+
+
+def test_missing_topics_asks_with_every_phrase(spark, sf, monkeypatch):
+    """The query looks for gaps with the whole catalogue of topics; gaps are found per topic and role."""
+    from lectern.plans import evidence_queries as E
+    from lectern.plans import registry
+
+    asked = {}
+    build = evidence.build
+    monkeypatch.setattr(evidence, "build", lambda requests, topics, *rest: asked.update(topics=topics) or build(requests, topics, *rest))
+    E.missing_topics(spark, sf)
+    columns = ["topic_id", "level", "content_phrases", "paper_phrases", "strict_phrases", "pdf_page_start", "pdf_page_end"]
+    assert asked["topics"].select(columns).exceptAll(E.topics(spark, sf).select(columns)).count() == 0
+    assert E.LONG_WORDS in registry.SQL["missing_topics"]
+    requests = spark.createDataFrame([("r", "O_LEVEL", ["a", "b"])], "request_id string, level string, topic_ids array<string>")
+    found = spark.createDataFrame([("r", "TEXTBOOK_CONTENT", ["a"]), ("r", "PAST_PAPER_STYLE", ["a", "b"])], "request_id string, role string, topic_ids array<string>")
+    assert [tuple(r) for r in evidence.missing_topics(requests, found).select("request_id", "topic_id", "missing").collect()] == [("r", "b", "TEXTBOOK_CONTENT")]
