@@ -51,6 +51,21 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     )
 
 
+def vocabulary(chunks: DataFrame) -> DataFrame:
+    """``(term, df, length)`` in one pass over the chunks; the row without a term has the number of searchable chunks
+    and the sum of their token lengths."""
+    words = chunking.indexable(chunks).select(T.tokens(F.coalesce("retrieval_text", "text")).alias("_tokens"))
+    marked = F.concat(F.array_distinct("_tokens"), F.array(F.lit(None).cast("string")))
+    rows = words.select(F.size("_tokens").alias("_n"), F.explode_outer(marked).alias("term"))
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("_n"))).alias("length"))
+
+
+def summary(words: DataFrame) -> DataFrame:
+    """``corpus_stats`` of a ``vocabulary``."""
+    whole = words.filter("term IS NULL").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), F.sum("length").alias("_length"))
+    return whole.select("n", F.coalesce(F.col("_length") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("average_length"))
+
+
 def lexical(chunks: DataFrame) -> Index:
     entries = postings(chunks)
     frequencies = entries.groupBy("term").agg(F.count("*").alias("df"))

@@ -12,18 +12,15 @@ from lectern.functions import text as T
 from lectern.functions import understanding as U
 from lectern.operators import context, grading, search
 from lectern.operators.index import Index
-from lectern.session import checkpoint_dir
+from lectern.session import settled
 
 MIN_RERANKED = 8
 Embedder = Callable[[DataFrame], DataFrame]
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage into the cluster's checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint()
+    """Cut lineage into the cluster's shared folder, as a table whose readers take only the columns they use."""
+    return settled(df, "retrieval")
 
 
 def hash_queries(variants: DataFrame) -> DataFrame:

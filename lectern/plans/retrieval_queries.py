@@ -17,18 +17,9 @@ from lectern.sources import adapters as A
 big = lambda name: F.col(name).cast("bigint").alias(name)
 
 
-def built_index(spark: SparkSession, sf: str, vectors: bool = True) -> indexing.Index:
-    chunks = A.chunks(spark, sf)
-    lexical = indexing.lexical(chunks)
-    return indexing.Index(
-        chunks, lexical.postings, lexical.terms, lexical.stats,
-        indexing.hash_vectors(chunks) if vectors else None, H.HASH_MODEL,
-    )
-
-
 def settled_index(spark: SparkSession, sf: str, vectors: bool = True) -> indexing.Index:
     """The index with its base tables written once, for plans that read them several times."""
-    chunks = retrieval.settle(A.chunks(spark, sf))
+    chunks = retrieval.settle(A.chunks(spark, sf).drop("content_hash", "contains_code", "contains_table", "contains_diagram", "figure_path"))
     postings = retrieval.settle(indexing.postings(chunks))
     return indexing.Index(
         chunks, postings, postings.groupBy("term").agg(F.count("*").alias("df")), retrieval.settle(indexing.corpus_stats(chunks)),
@@ -40,10 +31,10 @@ def settled_index(spark: SparkSession, sf: str, vectors: bool = True) -> indexin
 WITH {Q.CHUNKS}, {Q.INDEX}
 SELECT term, df, n, round(average_length, 6) AS average_length FROM tdf, st""")
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
-    built = built_index(spark, sf, vectors=False)
-    return built.terms.select(
-        "term", "df", built.stats.select("n").scalar().alias("n"),
-        F.round(built.stats.select("average_length").scalar(), 6).alias("average_length"),
+    words = retrieval.settle(indexing.vocabulary(A.chunks(spark, sf)))
+    stats = indexing.summary(words)
+    return words.filter("term IS NOT NULL").select(
+        "term", "df", stats.select("n").scalar().alias("n"), F.round(stats.select("average_length").scalar(), 6).alias("average_length"),
     )
 
 

@@ -313,3 +313,18 @@ def test_exact_scheme_rows(spark):
     found = spark.createDataFrame([("a", "MARK_SCHEME"), ("a", "QUESTION_PAPER"), ("b", "QUESTION_PAPER"), ("c", "MARK_SCHEME")], "query_id string, document_type string")
     rows = {r.query_id: r.exact_scheme_correct for r in evaluate.exact_scheme_rows(records, found).collect()}
     assert rows == {"a": True, "b": False, "c": False, "d": True, "e": True}
+
+
+def test_index_tables_are_read_by_column(spark, sf):
+    """Tables with several readers lie in columns, so a reader of terms doesn't read texts; counts take one pass."""
+    from lectern.operators import index as indexing
+    from lectern.plans.retrieval_queries import settled_index
+
+    built = settled_index(spark, sf)
+    for table in (built.chunks, built.postings, built.stats, built.vectors):
+        assert all(f.endswith(".parquet") for f in table.inputFiles()) and table.inputFiles()
+    words = indexing.vocabulary(built.chunks)
+    assert words.filter("term IS NOT NULL").select("term", "df").exceptAll(built.terms.select("term", "df")).count() == 0
+    assert words.filter("term IS NOT NULL").count() == built.terms.count()
+    assert indexing.summary(words).first() == built.stats.select("n", "average_length").first()
+    assert tuple(indexing.summary(indexing.vocabulary(built.chunks.limit(0))).first()) == (0, 0.0)
