@@ -224,7 +224,7 @@ SELECT document_type, count(*) AS chunks, count(DISTINCT document_id) AS documen
 def snapshot_publish(spark: SparkSession, sf: str) -> DataFrame:
     """Stage and publish a build of the chunk corpus, then read it through the pointer."""
     root = scratch(spark)
-    chunks = A.chunks(spark, sf)
+    chunks = A.chunks(spark, sf, flags=True)
     build_id = snapshot.stage(spark, root, {"chunks": chunks}, {"source": sf, "schema": snapshot.SCHEMA_VERSION})
     stored = spark.read.parquet(f"{root}/build_id={build_id}/chunks")
     snapshot.publish(spark, root, build_id, {"postings": indexing.postings(stored)}, {"sparse": "bm25"})
