@@ -7,14 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lectern.functions import hashing as H
 from lectern.functions import text as T
-from lectern.operators import chunking, phrases
+from lectern.operators import chunking
 
 ROUTING = ("chunk_id", "ord", "document_type", "level")
+#: Chunks whose terms are counted at once.
+COUNTED_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -24,6 +28,7 @@ class Index:
     ``postings``: one row per (chunk, term) with tf, chunk length and the filter columns.
     ``terms``: document frequency per term.  ``stats``: one row, chunk count and average length.
     ``vectors``: optional, ``chunk_id, ord, document_type, level`` and ``embedding`` (or sparse ``slots, weights``).
+    ``packed``: optional, the postings again, one row per chunk with ``terms`` and ``tfs``; without it a search groups them.
     """
 
     chunks: DataFrame
@@ -32,15 +37,49 @@ class Index:
     stats: DataFrame
     vectors: DataFrame | None = None
     embedding_model: str | None = None
+    packed: DataFrame | None = None
+
+
+def packed_postings(chunks: DataFrame) -> DataFrame:
+    """``terms`` and their ``tfs`` of every searchable chunk with any token, one row per chunk: nothing is shuffled.
+
+    The tokens of a batch of chunks are numbered once, and equal (chunk, token) pairs are counted together.
+    """
+    rows = chunking.indexable(chunks).select(*ROUTING, T.tokens(F.coalesce("retrieval_text", "text")).alias("_tokens"))
+    kept = [*rows.schema.fields[:-1], StructField("dl", IntegerType())]
+    cells = StructType([*kept, StructField("terms", ArrayType(StringType())), StructField("tfs", ArrayType(IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, COUNTED_ROWS):
+                part = batch.slice(start, COUNTED_ROWS)
+                lengths = part.column("_tokens").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                found = part.column("_tokens").flatten().dictionary_encode()
+                size = max(1, len(found.dictionary))
+                pairs = np.repeat(np.arange(part.num_rows), lengths) * size + found.indices.to_numpy(zero_copy_only=False)
+                pairs, counts = np.unique(pairs, return_counts=True)
+                held = lengths > 0
+                sizes = np.bincount(pairs // size, minlength=part.num_rows)[held]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    *[part.column(name).filter(pa.array(held)) for name in ROUTING],
+                    pa.array(lengths[held].astype(np.int32)),
+                    pa.ListArray.from_arrays(offsets, found.dictionary.take(pa.array(pairs % size))),
+                    pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32))),
+                ], names=cells.names)
+
+    return rows.mapInArrow(run, cells)
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """Postings of ``packed_postings``."""
+    rows = packed.select(*ROUTING, "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("_t"))
+    return rows.select(*ROUTING, "dl", F.col("_t.terms").alias("term"), F.col("_t.tfs").cast("bigint").alias("tf"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """Term frequencies of the searchable chunks, counted inside each row: nothing is shuffled."""
-    rows = chunking.indexable(chunks).select(
-        *ROUTING, T.tokens(F.coalesce("retrieval_text", "text")).alias("_tokens")
-    )
-    exploded = rows.select(*ROUTING, F.size("_tokens").alias("dl"), F.explode_outer(phrases.counted(F.col("_tokens"))).alias("_t"))
-    return exploded.filter(F.col("_t").isNotNull()).select(*ROUTING, "dl", F.col("_t.value").alias("term"), F.col("_t.n").cast("bigint").alias("tf"))
+    """Term frequencies of the searchable chunks."""
+    return unpacked(packed_postings(chunks))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -67,17 +106,33 @@ def summary(words: DataFrame) -> DataFrame:
 
 
 def lexical(chunks: DataFrame) -> Index:
-    entries = postings(chunks)
+    packed = packed_postings(chunks)
+    return of_packed(chunks, packed, corpus_stats(chunks))
+
+
+def of_packed(chunks: DataFrame, packed: DataFrame, stats: DataFrame, vectors: DataFrame | None = None, model: str | None = None) -> Index:
+    """The index of ``packed_postings``; the other lexical tables follow from them when they are read."""
+    entries = unpacked(packed)
     frequencies = entries.groupBy("term").agg(F.count("*").alias("df"))
-    return Index(chunks, entries, frequencies, corpus_stats(chunks))
+    return Index(chunks, entries, frequencies, stats, vectors, model, packed)
 
 
 def hash_vectors(chunks: DataFrame) -> DataFrame:
     """Sparse vectors of the deterministic hash embedding for every searchable chunk with any token."""
-    rows = chunking.indexable(chunks).select(
-        F.struct(*ROUTING).alias("_row"), F.coalesce("retrieval_text", "text").alias("_text")
-    )
-    return H.hash_embedding(rows, "_row", "_text").select("_row.*", "slots", "weights")
+    rows = chunking.indexable(chunks).select(*ROUTING, T.tokens(F.coalesce("retrieval_text", "text")).alias("_tokens"))
+    return H.hash_counted(rows, "_tokens")
+
+
+def packed_vectors(packed: DataFrame) -> DataFrame:
+    """The same vectors from ``packed_postings``, without reading the texts again."""
+    return H.hash_counted(packed.select(*ROUTING, "terms", "tfs"), "terms", "tfs")
+
+
+def packed_stats(chunks: DataFrame, packed: DataFrame) -> DataFrame:
+    """``corpus_stats`` from the lengths in ``packed_postings``; a chunk without tokens counts with length zero."""
+    n = chunking.indexable(chunks).agg(F.count("*").alias("n"))
+    whole = packed.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("_length"))
+    return n.crossJoin(whole).select("n", F.coalesce(F.col("_length") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("average_length"))
 
 
 def embed(texts: DataFrame, key: str, text: str, embed_fn: Callable[[list[str]], np.ndarray]) -> DataFrame:

@@ -19,11 +19,12 @@ big = lambda name: F.col(name).cast("bigint").alias(name)
 
 def settled_index(spark: SparkSession, sf: str, vectors: bool = True) -> indexing.Index:
     """The index with its base tables written once, for plans that read them several times."""
-    chunks = retrieval.settle(A.chunks(spark, sf).drop("content_hash", "contains_code", "contains_table", "contains_diagram", "figure_path"))
-    postings = retrieval.settle(indexing.postings(chunks))
-    return indexing.Index(
-        chunks, postings, postings.groupBy("term").agg(F.count("*").alias("df")), retrieval.settle(indexing.corpus_stats(chunks)),
-        retrieval.settle(indexing.hash_vectors(chunks)) if vectors else None, H.HASH_MODEL,
+    unread = ("content_hash", "token_count", "contains_code", "contains_table", "contains_diagram", "figure_path")
+    chunks = retrieval.settle(A.chunks(spark, sf).drop(*unread))
+    packed = retrieval.settle(indexing.packed_postings(chunks))
+    return indexing.of_packed(
+        chunks, packed, retrieval.settle(indexing.packed_stats(chunks, packed)),
+        retrieval.settle(indexing.packed_vectors(packed)) if vectors else None, H.HASH_MODEL,
     )
 
 
