@@ -29,6 +29,10 @@ def _sentences(text):
     return F.filter(F.split(flat, r"\. "), lambda s: s != "")
 
 
+#: Page columns that no result here shows; chunkers write their pages with all columns they are given.
+FLAGS = ("contains_code", "contains_table")
+
+
 def labelled_pages(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     """Pages whose sentences carry the labels of a ``kind``: every sentence of every page is kept."""
 
@@ -44,7 +48,7 @@ def labelled_pages(spark: SparkSession, sf: str, kind: str) -> DataFrame:
             return F.concat(number, F.lit("."), (i % 3 + 1).cast("string"), F.lit(" "), s)
         return F.concat(F.when(i % 3 == 0, F.concat(F.lit("Question "), number, F.lit(" "))).otherwise(""), s)
 
-    pages = A.pages(spark, sf).filter(F.col("document_type") == kind)
+    pages = A.pages(spark, sf).drop(*FLAGS).filter(F.col("document_type") == kind)
     return pages.withColumn("clean_text", F.array_join(F.transform(_sentences(F.col("clean_text")), line), "\n"))
 
 
@@ -179,7 +183,7 @@ SELECT document_type, content_type, count(*) AS chunks, CAST(sum({Q.token_count(
 def corpus_build(spark: SparkSession, sf: str) -> DataFrame:
     """All five chunkers over the labelled pages, with counts per type and content type."""
     kinds = ("SYLLABUS", "QUESTION_PAPER", "MARK_SCHEME", "EXAMINER_REPORT")
-    pages = A.pages(spark, sf).filter(F.col("document_type") == "TEXTBOOK")
+    pages = A.pages(spark, sf).drop(*FLAGS).filter(F.col("document_type") == "TEXTBOOK")
     for kind in kinds:
         pages = pages.unionByName(labelled_pages(spark, sf, kind))
     built = chunking.build(pages)

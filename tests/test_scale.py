@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.plans import structure_queries as S
 from lectern.sources import adapters as A
 
 
@@ -53,3 +55,8 @@ def test_chunks_clean_a_text_once(spark, sf):
     flagged = A.chunks(spark, sf, flags=True).join(A.pages(spark, sf).select("document_id", F.col("page_number").alias("page_start"), F.struct(
         "contains_code", "contains_table").alias("page")), ["document_id", "page_start"])
     assert flagged.filter("contains_code <> page.contains_code OR contains_table <> page.contains_table").count() == 0 < flagged.count()
+
+
+@pytest.mark.parametrize("query", [S.paper_parse, S.scheme_parse])
+def test_papers_are_cleaned_and_cut_once(spark, sf, query):
+    assert "UCLES" not in plan(query(spark, sf))

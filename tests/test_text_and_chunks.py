@@ -108,6 +108,27 @@ def test_papers_equal_a_plain_scan(spark, monkeypatch, run, fan):
             assert got.get(doc, []) == naive_labels(texts, scheme), doc
 
 
+@pytest.mark.parametrize("run", [512, 3])
+def test_entry_over_many_pages(spark, monkeypatch, run):
+    """Pages without labels, without lines and with missing numbers; a label that later pages decide on."""
+    monkeypatch.setattr(chunking, "RUN_LINES", run)
+    texts = {1: "before any label\n", 2: "1 Explain the use of arrays\n(a) one more line here\nend of a", 4: "goes on", 5: "", 9: "and on\n2\n", 10: "",
+             11: "\n", 12: "(a) words of the second one", 13: "3", 20: "no", 21: "", 22: "tail of it", 30: "3 Describe the stack and heap\n" + "x y z\n" * 9}
+    out = chunking.assessment_entries(pages(spark, [("p", n, t) for n, t in texts.items()]), False).orderBy("ord").collect()
+    assert [(r.question_number, r.text) for r in out] == naive_labels([t for t in texts.values() if t], False)
+    assert [(r.page_start, r.ord % chunking.ORD_STRIDE) for r in out] == [(2, 1), (2, 2), (12, 3), (30, 4)]  # "2" alone is too short
+
+
+def test_short_documents_need_no_state_tables(spark, monkeypatch):
+    def refuse(events):
+        raise AssertionError("a table for a document of one run")
+
+    monkeypatch.setattr(chunking, "_table", refuse)
+    text = "\n".join(f"({'abc'[i % 3]}) State what is meant by it" if i % 3 else f"{i // 3 + 1} Explain the use of arrays" for i in range(60))
+    out = chunking.assessment_entries(pages(spark, [("p", 1, text), ("p", 2, "(a) More about the last one"), ("q", 1, text)]), False)
+    assert out.count() == 121
+
+
 def test_textbook_children_stay_on_their_page(spark):
     rows = [("b", 10, " ".join(["alpha"] * 500)), ("b", 11, " ".join(["beta"] * 500))]
     out = chunking.textbook(pages(spark, rows, document_type="TEXTBOOK")).collect()
