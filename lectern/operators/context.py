@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import skew
 
 # Stop words, factual and full-text types, budgets.
 COVERAGE_STOP = (
@@ -60,17 +61,17 @@ def expand_parents(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """Put each hit's parent after it unless that chunk is already in the list.
 
     ``ranked`` has ``query_id, chunk_id, position, parent_chunk_id`` and chunk columns; the parent's
-    row takes its own chunk columns and the relationship PARENT_CONTEXT.
+    row takes its own chunk columns and the relationship PARENT_CONTEXT.  Only chunks that are a parent of ``ranked``
+    (a table) may cross a shuffle.
     """
     shared = [c for c in ranked.columns if c not in ("query_id", "chunk_id", "position", "relationship", "parent_chunk_id")]
     parents = chunks.filter(F.col("content_type") == "PARENT_CONTEXT").select(
         F.col("chunk_id").alias("parent_chunk_id"),
         *[(F.col(c) if c in chunks.columns else F.lit(None)).alias(c) for c in shared],
     )
+    wanted = ranked.select("query_id", "position", "parent_chunk_id").filter(F.col("parent_chunk_id").isNotNull())
     added = (
-        ranked.select("query_id", "position", "parent_chunk_id")
-        .filter(F.col("parent_chunk_id").isNotNull())
-        .join(parents, "parent_chunk_id")
+        wanted.join(skew.narrowed(parents, wanted, "parent_chunk_id"), "parent_chunk_id")
         .select(
             "query_id", F.col("parent_chunk_id").alias("chunk_id"), "position",
             F.lit("PARENT_CONTEXT").alias("relationship"), F.lit(None).cast("string").alias("parent_chunk_id"),

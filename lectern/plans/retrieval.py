@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import hashing as H
 from lectern.functions import text as T
 from lectern.functions import understanding as U
-from lectern.operators import context, grading, search
+from lectern.operators import context, grading, search, skew
 from lectern.operators.index import Index
 from lectern.session import settled
 
@@ -73,10 +73,11 @@ def ranked(
 ) -> DataFrame:
     """Exact rows in place, then the reranked rest; adds chunk text and routing columns.
 
+    ``found`` is a table; only chunks that may be in it cross a shuffle, and they are written once for their readers.
     When an exact question is known its wording replaces the paper reference as the rerank query.
     """
     columns = ["document_id", "page_start", "text", "retrieval_text", "authority_level", "parent_chunk_id", "content_type"]
-    rows = index.chunks.select("chunk_id", *columns).join(found, "chunk_id")
+    rows = settle(skew.narrowed(index.chunks.select("chunk_id", *columns), found, "chunk_id").join(found, "chunk_id"))
     is_exact = F.col("route") == "exact_metadata"
     question = (
         rows.filter(is_exact & (F.col("chunk_type") == "QUESTION_PAPER"))
@@ -116,7 +117,8 @@ def retrieve(
 
     def one_pass(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
         understood = understand(asked)
-        rows = settle(ranked(understood, candidates(understood, index, embedder=embedder), index, scorer, maximum_chunks))
+        found = settle(candidates(understood, index, embedder=embedder))
+        rows = settle(ranked(understood, found, index, scorer, maximum_chunks))
         report = understood.join(context.sufficiency(asked, rows), "query_id")
         return rows, settle(report.select("query_id", "query", "document_type", "profile", "context_chunks",
                                           "context_chars", "level", "exam_year", "evidence_coverage", "exact_scheme",

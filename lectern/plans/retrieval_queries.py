@@ -19,8 +19,8 @@ big = lambda name: F.col(name).cast("bigint").alias(name)
 
 def settled_index(spark: SparkSession, sf: str, vectors: bool = True) -> indexing.Index:
     """The index with its base tables written once, for plans that read them several times."""
-    unread = ("content_hash", "token_count", "contains_code", "contains_table", "contains_diagram", "figure_path")
-    chunks = retrieval.settle(A.chunks(spark, sf).drop(*unread))
+    unread = ("retrieval_text", "content_hash", "token_count", "contains_code", "contains_table", "contains_diagram", "figure_path")
+    chunks = indexing.chunking.with_retrieval_text(retrieval.settle(A.chunks(spark, sf).drop(*unread)))
     packed = retrieval.settle(indexing.packed_postings(chunks))
     return indexing.of_packed(
         chunks, packed, retrieval.settle(indexing.packed_stats(chunks, packed)),
