@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
-from lectern.operators import chunking, context, skew
+from lectern.operators import chunking, context, index, skew
+from lectern.plans import records_queries as R
 from lectern.plans import retrieval
 from lectern.plans import retrieval_queries as Q
 from lectern.session import settled
@@ -89,3 +90,26 @@ def test_chosen_chunks_leave_the_others_out_of_the_join(spark, sf):
     light = built.chunks.select("chunk_id", F.lit("q").alias("query_id"), F.lit(1).alias("position"), F.lit("R").alias("relationship"), "parent_chunk_id", "text")
     some = settled(light.filter("parent_chunk_id IS NOT NULL").orderBy("chunk_id").limit(5), "test")
     assert "getbit" in plan(context.expand_parents(some, built.chunks)).lower()
+
+
+def test_policy_packs_postings_without_grouping_them(spark, sf, monkeypatch):
+    monkeypatch.setattr(R.search, "_packed", lambda postings: pytest.fail("postings are grouped again"))
+    assert R.retrieval_by_policy(spark, sf).count() > 0
+
+
+def test_policy_counts_copies_of_a_chunk_as_one(spark, sf, monkeypatch):
+    """Copies have their terms put together, as when postings were grouped."""
+    real = Q.settled_index(spark, sf, vectors=False)
+    packed = settled(real.packed.unionByName(real.packed), "test")
+    copies = index.of_packed(real.chunks.unionByName(real.chunks), packed, real.stats)
+    grouped = []
+    monkeypatch.setattr(R, "settled_index", lambda *a, **b: copies)
+    monkeypatch.setattr(R.search, "_packed", lambda postings, f=R.search._packed: grouped.append(1) or f(postings))
+    assert R.retrieval_by_policy(spark, sf).count() > 0 and grouped
+
+
+def test_passages_of_few_words_are_still_found(spark):
+    corpus = spark.createDataFrame([("d1", "one two three four"), ("d2", "onetwo x"), ("d3", None)], "chunk_id string, text string")
+    items = spark.createDataFrame([("a", "two three four"), ("b", "two"), ("c", ""), ("d", None), ("e", "none of these")], "query_id string, query string")
+    found = {(r.query_id, r.chunk_id) for r in R._containing(items, corpus, None).collect()}
+    assert found == {("a", "d1"), ("b", "d1"), ("b", "d2")}
