@@ -9,7 +9,7 @@ from lectern.functions import text as T
 from lectern.functions import understanding as U
 from lectern.operators import chunking, search, skew
 from lectern.operators.contracts import MEASURABLE, STATUSES
-from lectern.operators.index import Index
+from lectern.operators.index import Index, unpacked
 from lectern.session import settled
 
 PAIR = ("subject_code", "year", "session", "component", "question_number")
@@ -105,15 +105,19 @@ def source_records(chunks: DataFrame, limit: int) -> DataFrame:
 
 
 def with_all_terms(hits: DataFrame, terms: DataFrame, index: Index) -> DataFrame:
-    """``hits (case_id, chunk_id)`` whose chunk has every one of the case's ``terms (case_id, term)``.
+    """``hits (case_id, chunk_id)``, a table, whose chunk has every one of the case's ``terms (case_id, term)``.
 
     The postings are intersected rarest term first, so the other terms are looked up only for chunks that have it;
-    a term that no chunk has leaves nothing.
+    a term that no chunk has leaves nothing.  Only the asked terms are counted, and only their postings in chunks that may
+    be hits are shuffled.
     """
-    wanted = terms.distinct().join(index.terms, "term", "left")
+    words = terms.select("term").distinct()
+    few = skew.fits(words, search.BROADCAST_TERMS)
+    wanted = terms.distinct().join(search.frequencies(terms, index) if few else index.terms, "term", "left")
     ordered = Window.partitionBy("case_id").orderBy(F.coalesce("df", F.lit(0)), "term")
     placed = wanted.withColumn("_at", F.row_number().over(ordered)).select("case_id", "term", "_at")
-    has = index.postings.select("chunk_id", "term")
+    held = skew.narrowed(index.postings if index.packed is None else index.packed, hits, "chunk_id")
+    has = (held if index.packed is None else unpacked(held)).select("chunk_id", "term").join(skew.maybe_broadcast(words), "term", "left_semi")
     first = hits.select("case_id", "chunk_id").join(placed.filter("_at = 1"), "case_id").join(has, ["chunk_id", "term"], "left_semi")
     others = first.select("case_id", "chunk_id").join(placed.filter("_at > 1"), "case_id").join(has, ["chunk_id", "term"], "left_semi")
     found = others.groupBy("case_id", "chunk_id").agg(F.count("*").alias("_found"))

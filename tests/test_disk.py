@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
-from lectern.operators import chunking, context, index, skew
+from lectern.operators import benchmark, chunking, context, index, skew
 from lectern.plans import records_queries as R
 from lectern.plans import retrieval
 from lectern.plans import retrieval_queries as Q
@@ -90,6 +90,9 @@ def test_chosen_chunks_leave_the_others_out_of_the_join(spark, sf):
     light = built.chunks.select("chunk_id", F.lit("q").alias("query_id"), F.lit(1).alias("position"), F.lit("R").alias("relationship"), "parent_chunk_id", "text")
     some = settled(light.filter("parent_chunk_id IS NOT NULL").orderBy("chunk_id").limit(5), "test")
     assert "getbit" in plan(context.expand_parents(some, built.chunks)).lower()
+    found = settled(some.select("query_id", "chunk_id"), "test")
+    assert "getbit" in plan(benchmark.with_all_terms(
+        found.withColumnRenamed("query_id", "case_id"), spark.createDataFrame([("q", "the")], "case_id string, term string"), built)).lower()
 
 
 def test_policy_packs_postings_without_grouping_them(spark, sf, monkeypatch):
