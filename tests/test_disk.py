@@ -116,3 +116,11 @@ def test_passages_of_few_words_are_still_found(spark):
     items = spark.createDataFrame([("a", "two three four"), ("b", "two"), ("c", ""), ("d", None), ("e", "none of these")], "query_id string, query string")
     found = {(r.query_id, r.chunk_id) for r in R._containing(items, corpus, None).collect()}
     assert found == {("a", "d1"), ("b", "d1"), ("b", "d2")}
+
+
+def test_marking_evidence_joins_few_chunks(spark, sf, monkeypatch):
+    """Texts of chunks, ranked ones and parents, are joined only after the others are left out."""
+    met = []
+    monkeypatch.setattr(skew, "narrowed", lambda big, small, key, f=skew.narrowed: met.append(big.columns) or f(big, small, key))
+    assert Q.grading_evidence(spark, sf).count() > 0
+    assert sum("text" in c for c in met) == 3  # both passes and the parents
