@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
-from lectern.operators import benchmark, chunking, context, index, skew
+from lectern.operators import benchmark, chunking, context, evidence, index, skew
+from lectern.plans import evidence_queries as E
 from lectern.plans import records_queries as R
 from lectern.plans import retrieval
 from lectern.plans import retrieval_queries as Q
@@ -124,3 +125,54 @@ def test_marking_evidence_joins_few_chunks(spark, sf, monkeypatch):
     monkeypatch.setattr(skew, "narrowed", lambda big, small, key, f=skew.narrowed: met.append(big.columns) or f(big, small, key))
     assert Q.grading_evidence(spark, sf).count() > 0
     assert sum("text" in c for c in met) == 3  # both passes and the parents
+
+
+def topics_and_chunks(spark):
+    """Topics and chunks with every kind of gap: no level, page, range or phrase, and phrases of several pieces."""
+    rng = random.Random(11)
+    words = ["array", "arrays", "sub-array", "c++", "loop", "while loop", "sql", "(sql)", "été", "a", "explain", "中文", "stack"]
+    pick = lambda n: [rng.choice(words) for _ in range(n)]
+    chunks = [(
+        f"c{i}", f"d{i % 9}", rng.choice(["TEXTBOOK", "QUESTION_PAPER", "MARK_SCHEME", None]), rng.choice(["O", "A", None]), rng.choice([None, 3, 11, 12, 13, 20, 40]),
+        rng.choice(["EXPLANATION", "PARENT_CONTEXT", None]), " \n".join(pick(rng.choice([1, 8, 200]))).title(),
+    ) for i in range(300)]
+    topics = [(
+        f"t{i}" if i else None, rng.choice(["O", "A", None]), rng.choice([None, pick(4), [*pick(2), None, "array", "array"]]), rng.choice([None, [], pick(3), ["While  Loop", "c++ loop"]]),
+        rng.choice([True, False, None]), *rng.choice([(None, None), (12, 13), (11, None), (20, 12), (3, 40)]),
+    ) for i in range(40)]
+    return (
+        spark.createDataFrame(topics, "topic_id string, level string, content_phrases array<string>, paper_phrases array<string>, strict_phrases boolean, "
+                              "pdf_page_start int, pdf_page_end int"),
+        spark.createDataFrame(chunks, "chunk_id string, document_id string, document_type string, level string, page_start int, content_type string, text string"),
+    )
+
+
+def test_topics_score_chunks_where_they_are(spark, monkeypatch):
+    topics, chunks = topics_and_chunks(spark)
+    found = evidence.topic_index(chunks)
+    here = evidence.topic_scores(topics, found)
+    assert "MapInArrow" in plan(here) and not joins(here)
+    monkeypatch.setattr(evidence, "SCORED_ROWS", 7)
+    monkeypatch.setattr(skew, "fits", lambda *a: False)
+    joined = evidence.topic_scores(topics, found)
+    assert joins(joined) and joined.count() > 200
+    assert same(here, joined) and here.schema["score"].dataType == joined.schema["score"].dataType
+
+
+def test_copies_of_a_chunk_or_topic_take_the_joins(spark):
+    topics, chunks = topics_and_chunks(spark)
+    one = topics.filter("topic_id = 't3'")
+    assert joins(evidence.topic_scores(topics.unionByName(one), evidence.topic_index(chunks)))
+    assert joins(evidence.topic_scores(topics, evidence.topic_index(chunks.unionByName(chunks.filter("document_type = 'TEXTBOOK'").limit(1)))))
+
+
+def test_topics_of_no_rows(spark):
+    topics, chunks = topics_and_chunks(spark)
+    assert evidence.topic_scores(topics.filter("false"), evidence.topic_index(chunks)).collect() == []
+    assert evidence.topic_scores(topics, evidence.topic_index(chunks.filter("false"))).collect() == []
+
+
+@pytest.mark.parametrize("query", ["catalog_readiness"])
+def test_evidence_takes_no_join_of_all_words(spark, sf, monkeypatch, query):
+    monkeypatch.setattr(evidence.phrases, "occurrences", lambda *a, **b: pytest.fail("the words of all chunks are joined"))
+    getattr(E, query)(spark, sf).collect()
