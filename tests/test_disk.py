@@ -172,7 +172,7 @@ def test_topics_of_no_rows(spark):
     assert evidence.topic_scores(topics, evidence.topic_index(chunks.filter("false"))).collect() == []
 
 
-@pytest.mark.parametrize("query", ["catalog_readiness", "evidence_merge", "missing_topics", "evidence_lanes"])
+@pytest.mark.parametrize("query", ["catalog_readiness", "slot_assignment", "evidence_merge", "missing_topics", "evidence_lanes"])
 def test_evidence_takes_no_join_of_all_words(spark, sf, monkeypatch, query):
     monkeypatch.setattr(evidence.phrases, "occurrences", lambda *a, **b: pytest.fail("the words of all chunks are joined"))
     getattr(E, query)(spark, sf).collect()
