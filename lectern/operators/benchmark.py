@@ -68,12 +68,12 @@ def pair_records(pairs: DataFrame) -> DataFrame:
     )
 
 
-def round_robin(rows: DataFrame, category: str, order: str, target: int) -> DataFrame:
-    """The first ``target`` rows when categories take turns.
+def round_robin(rows: DataFrame, category: str, order: str, target: int, *ties: Column) -> DataFrame:
+    """The first ``target`` rows when categories take turns; ``ties`` order rows of one category and ``order``.
 
     A category gives at most ``target`` rows, so each partition is trimmed before the shuffle.
     """
-    window = Window.partitionBy(category).orderBy(order)
+    window = Window.partitionBy(category).orderBy(order, *ties)
     turns = rows.withColumn("turn", F.row_number().over(window)).filter(F.col("turn") <= target)
     return turns.orderBy("turn", category).limit(target)
 
@@ -155,7 +155,7 @@ def generate(curriculum: DataFrame, pairs: DataFrame, chunks: DataFrame, target:
     """
     columns = [c for c in curriculum.columns if c in pairs.columns and c in SOURCE_COLUMNS]
     counted = skew.dense_index(pairs.withColumn("_all", F.lit(0)), "_all", "place", chunking.ORD_STRIDE)
-    exact = round_robin(counted, "category", "place", target)
+    exact = round_robin(counted, "category", "place", target, F.desc("n"))
     stratum = lambda n: F.lit(n).alias("stratum")
     order = lambda *keys: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys)).alias("_order")
     first = curriculum.orderBy("place").limit(target).select(*columns, stratum(1), order("place"), F.lit(0).cast("bigint").alias("_n"))

@@ -176,3 +176,11 @@ def test_topics_of_no_rows(spark):
 def test_evidence_takes_no_join_of_all_words(spark, sf, monkeypatch, query):
     monkeypatch.setattr(evidence.phrases, "occurrences", lambda *a, **b: pytest.fail("the words of all chunks are joined"))
     getattr(E, query)(spark, sf).collect()
+
+
+def test_copies_of_a_pair_keep_their_order(spark):
+    """Of two pairs at one place the later number comes first, however the chunk table lies."""
+    rows = spark.createDataFrame([("THEORY", 5, 1), ("THEORY", 5, 2), ("THEORY", 4, 3)], "category string, place long, n long")
+    for table in (rows, rows.orderBy(F.desc("n")).coalesce(1)):
+        turns = benchmark.round_robin(table, "category", "place", 3, F.desc("n")).collect()
+        assert [(r.turn, r.n) for r in turns] == [(1, 3), (2, 2), (3, 1)]
